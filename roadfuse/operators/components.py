@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     e = cut_lineage(e)
-    mark = _signature(e)
-    while mark[0]:
+    mark = None
+    while True:
         # Large-star: every larger neighbour of a node moves to the node's lowest neighbour.
         lowest = e.groupBy(F.col("big").alias("small")).agg(F.min("small").alias("low"))
         e = e.join(lowest, "small", "left").select("big", F.coalesce("low", "small").alias("small")).distinct()

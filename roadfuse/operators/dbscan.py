@@ -245,7 +245,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     spots = cut_lineage(weighted_spots(points, side))
     marked = _mark_core(spots, side, eps2, min_points)
     core = marked.filter("is_core").select("x", "y", "rep", "cell")
-    cells = core.groupBy("cell").agg(*_box([F.min("rep").alias("rep")])).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = core.groupBy("cell").agg(*_box([F.min("rep").alias("rep")]))
     links = _linked_cells(core, side, eps2, cells)
     component = connected_components(links, "a_cell", "b_cell")
     grouped = cells.join(component, cells.cell == component.node, "left").select(
@@ -260,7 +260,6 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
         .unionByName(border)
     )
     assigned = cut_lineage(assigned)
-    cells.unpersist()
     labels = assigned.groupBy("component").agg(F.min("rep").alias("label"))
     named = assigned.join(labels, "component").select("x", "y", "label")
     return points.join(named, ["x", "y"])

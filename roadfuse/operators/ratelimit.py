@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadfuse.operators.running import hash_byte, running_total
+
 # Fixed values.
 BUCKET_SECONDS = 60
 WINDOW_SECONDS = 3600
@@ -18,37 +20,9 @@ def bucket_start(us: Column) -> Column:
 
 def bucket_counts(requests: DataFrame) -> DataFrame:
     """The ``device_rate_limit`` rows of a batch of requests."""
-    return (
-        requests.groupBy(*_KEY, F.timestamp_seconds(bucket_start(F.unix_micros("received_at"))).alias("window_start"))
-        .agg(F.sum("n").cast("long").alias("request_count"))
-    )
-
-
-def running_total(rows: DataFrame, value: str, group: list[str], levels: list[str], order: list) -> DataFrame:
-    """Adds ``running``: the sum of ``value`` up to each row inside its group.
-
-    ``levels`` are nested, coarse to fine. Sums are taken per finest slice and then up the
-    levels, so every window sorts either the children of one node or the rows of one slice;
-    a group of any size never meets in one task.
-    """
-    keys = [group + levels[: d + 1] for d in range(len(levels))]
-    sums = [rows.groupBy(*keys[-1]).agg(F.sum(value).alias("s"))]
-    for k in reversed(keys[:-1]):
-        sums.insert(0, sums[0].groupBy(*k).agg(F.sum("s").alias("s")))
-    offset = None
-    for depth, level in enumerate(levels):
-        parent = keys[depth - 1] if depth else group
-        before = Window.partitionBy(*parent).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        own = sums[depth].withColumn("o", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-        if offset is not None:
-            own = own.join(offset.withColumnRenamed("o", "up"), parent).withColumn("o", F.col("o") + F.col("up")).drop("up")
-        offset = own
-    inside = Window.partitionBy(*keys[-1]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("_in", F.sum(value).over(inside))
-        .join(offset, keys[-1])
-        .withColumn("running", F.col("_in") + F.col("o"))
-        .drop("_in", "o")
+    start = F.timestamp_seconds(bucket_start(F.unix_micros("received_at")))
+    return requests.groupBy(*_KEY, start.alias("window_start")).agg(
+        F.sum("n").cast("long").alias("request_count")
     )
 
 
@@ -103,12 +77,16 @@ def check_rate_limit(
 
     hottest = per_bucket.agg(F.max("rows")).first()[0] if hot_bucket_rows is not None else None
     if hottest is not None and hottest > hot_bucket_rows:
-        byte = F.conv(F.substring("_md5", 1, 2), 16, 10).cast("long")
-        rows = rows.withColumns({"ms": F.floor(F.col("us") / 1000), "slice": F.col("us") * 256 + byte})
-        rows = running_total(rows, "n", [*_KEY, "bucket"], ["ms", "slice"], ["_md5", "request_id"]).drop("ms", "slice")
+        rows = rows.withColumns(
+            {"ms": F.floor(F.col("us") / 1000), "slice": F.col("us") * 256 + hash_byte("_md5")}
+        )
+        rows = running_total(
+            rows, "n", [*_KEY, "bucket"], ["ms", "slice"], ["_md5", "request_id"]
+        ).drop("ms", "slice")
     else:
         arrival = Window.partitionBy(*_KEY, "bucket").orderBy("us", "_md5", "request_id")
-        rows = rows.withColumn("running", F.sum("n").over(arrival.rowsBetween(Window.unboundedPreceding, 0)))
+        so_far = F.sum("n").over(arrival.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("running", so_far)
 
     on_minute = F.col("us") % (BUCKET_SECONDS * 1_000_000) == 0
     current = F.col("running") + F.when(on_minute, F.col("with_edge")).otherwise(F.col("inside_hour"))

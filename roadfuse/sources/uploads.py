@@ -18,19 +18,19 @@ _CORRUPT = "_corrupt"
 def _parse(df: DataFrame, text: str, ddl: str) -> DataFrame:
     shape = T.StructType.fromDDL(ddl).add(_CORRUPT, T.StringType())
     parsed = F.from_json(F.col(text), shape, {"columnNameOfCorruptRecord": _CORRUPT})
-    return df.withColumn("_u", parsed).select(
-        *[F.col(c) for c in df.columns], *[F.col(f"_u.{f.name}") for f in shape.fields]
-    )
+    # inline() keeps the parse in one place; as plain struct fields every later use of a field
+    # would be optimised into a parse of its own.
+    return df.select(*[F.col(c) for c in df.columns if c != text], F.inline(F.array(parsed)))
 
 
 def observation_envelopes_from_text(df: DataFrame, text: str = "value") -> DataFrame:
     """One row per request; ``_corrupt`` holds text that does not fit the envelope."""
-    return _parse(df, text, schema.OBSERVATION_ENVELOPE).drop(text)
+    return _parse(df, text, schema.OBSERVATION_ENVELOPE)
 
 
 def frame_metadata_from_text(df: DataFrame, text: str = "value") -> DataFrame:
     """One row per frame request; ``_corrupt`` holds text that does not fit."""
-    return _parse(df, text, schema.FRAME_METADATA).drop(text)
+    return _parse(df, text, schema.FRAME_METADATA)
 
 
 def read_observation_envelopes(spark: SparkSession, path: str) -> DataFrame:
