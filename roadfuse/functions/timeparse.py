@@ -17,36 +17,39 @@ _GENERAL = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _general(ts: Column) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(ts, _GENERAL, i)
-
-    def num(i: int) -> Column:
-        return F.coalesce(part(i).try_cast("int"), F.lit(0))
-
-    year = F.coalesce(*[part(i).try_cast("int") for i in (1, 4, 7)])
-    month = F.coalesce(*[part(i).try_cast("int") for i in (2, 5)])
-    day = F.coalesce(*[part(i).try_cast("int") for i in (3, 6)])
-    week, weekday = part(8).try_cast("int"), F.coalesce(part(9).try_cast("int"), F.lit(1))
-    fourth = F.to_date(F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-04")))
-    week_day = F.date_add(F.trunc(fourth, "week"), (week - 1) * 7 + weekday - 1)
-    # Week 53 must still belong to its own ISO year.
-    week_ok = week.between(1, 53) & weekday.between(1, 7) & (
-        (week < 53) | (F.year(F.date_add(F.trunc(week_day, "week"), 3)) == year)
-    )
-    calendar = F.when(week.isNotNull(), F.when(week_ok, week_day)).otherwise(
-        F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in ((year, 4), (month, 2), (day, 2))]).try_cast("date")
-    )
-    micros = F.rpad(F.substring(part(13), 1, 6), 6, "0").try_cast("long")
-    clock = (num(10) * 3600 + num(11) * 60 + num(12)).cast("long") * 1_000_000 + F.coalesce(micros, F.lit(0))
-    offset = (num(15) * 3600 + num(16) * 60 + num(17)).cast("long") * 1_000_000
-    shift = F.when(part(14) == "-", -offset).otherwise(offset)
-    in_range = (
-        (num(10) < 24) & (num(11) < 60) & (num(12) < 60)
-        & (num(15) < 24) & (num(16) < 60) & (num(17) < 60) & (year >= 1)
-    )
-    day_us = F.unix_date(calendar).cast("long") * 86_400_000_000
-    return F.when(in_range & calendar.isNotNull(), F.timestamp_micros(day_us + clock - shift))
+    groups = F.struct(*[F.regexp_extract(ts, _GENERAL, i).alias(f"g{i}") for i in range(1, 18)])
+
+    def moment(g: Column) -> Column:
+        def num(i: int) -> Column:
+            return g.getField(f"g{i}").try_cast("int")
+
+        def or_zero(i: int) -> Column:
+            return F.coalesce(num(i), F.lit(0))
+
+        year = F.coalesce(num(1), num(4), num(7))
+        fourth = F.make_date(year, F.lit(1), F.lit(4))
+        monday = F.date_add(F.trunc(fourth, "week"), (num(8) - 1) * 7)
+        # A week 53 only exists where its Thursday still belongs to the year.
+        week_ok = num(8).between(1, 53) & or_zero(9).between(0, 7) & (F.year(F.date_add(monday, 3)) == year)
+        by_week = F.when(week_ok & (g.getField("g9") != "0"), F.date_add(monday, F.coalesce(num(9), F.lit(1)) - 1))
+        digits = F.concat_ws("-", *[F.concat(g.getField(f"g{a}"), g.getField(f"g{b}")) for a, b in ((1, 4), (2, 5), (3, 6))])
+        micros = F.coalesce(F.rpad(F.substring(g.getField("g13"), 1, 6), 6, "0").try_cast("long"), F.lit(0))
+        clock = (or_zero(10) * 3600 + or_zero(11) * 60 + or_zero(12)).cast("long") * 1_000_000 + micros
+        offset = (or_zero(15) * 3600 + or_zero(16) * 60 + or_zero(17)).cast("long") * 1_000_000
+        in_range = (year >= 1) & (or_zero(10) < 24) & (or_zero(15) < 24)
+        for i in (11, 12, 16, 17):
+            in_range = in_range & (or_zero(i) < 60)
+        day = F.when(num(8).isNotNull(), by_week).otherwise(digits.try_cast("date"))
+        shift = F.when(g.getField("g14") == "-", -offset).otherwise(offset)
+        return F.when(in_range, F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + clock - shift))
+
+    return _let(groups, moment)
 
 
 def parse_iso(ts: Column) -> Column:

@@ -11,6 +11,7 @@ from roadfuse.config import Config
 from roadfuse.functions.timeparse import parse_iso
 from roadfuse.operators import validate
 from roadfuse.schema import table_schema
+from roadfuse.session import compute_once
 from roadfuse.sources.uploads import blob_path, explode_envelopes
 
 
@@ -53,12 +54,9 @@ def _as_table(df: DataFrame, name: str) -> DataFrame:
 
 def _reject_envelopes(envelopes: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds ``_reasons`` of the request as a whole (malformed text first)."""
-    return envelopes.withColumn(
-        "_reasons",
-        F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("malformed"))).otherwise(
-            validate.failures(rules)
-        ),
-    )
+    malformed = F.array(F.lit("malformed"))
+    reasons = F.when(F.col("_corrupt").isNotNull(), malformed).otherwise(validate.failures(rules))
+    return compute_once(envelopes, {"_reasons": reasons})
 
 
 def ingest_observations(
@@ -78,14 +76,14 @@ def ingest_observations(
         fails = F.exists(
             "events", lambda e: F.size(validate.failures(validate.observation_rules(e.getField))) > 0
         )
-        good = good.withColumn("batch_fails", fails)
+        good = compute_once(good, {"batch_fails": fails})
     items = explode_envelopes(good)
-    items = validate.with_reasons(items, validate.observation_rules(F.col))
+    reasons = validate.failures(validate.observation_rules(F.col))
     if mode == "whole_batch":
-        refused = F.col("batch_fails") & (F.size("reasons") == 0)
-        items = items.withColumn(
-            "reasons", F.when(refused, F.array(F.lit("batch"))).otherwise(F.col("reasons"))
-        )
+        whole = F.when(F.col("batch_fails"), F.array(F.lit("batch"))).otherwise(F.array().cast("array<string>"))
+        items = compute_once(items, {"_own": reasons})
+        reasons = F.when(F.size("_own") > 0, F.col("_own")).otherwise(whole)
+    items = compute_once(items, {"reasons": reasons, "ts_utc": parse_iso(F.col("ts"))})
     ok = items.filter(F.size("reasons") == 0)
     rejected = items.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons").unionByName(
         checked.filter(F.size("_reasons") > 0).select(
@@ -97,7 +95,6 @@ def ingest_observations(
     )
     rows = ok.withColumns(
         {
-            "ts_utc": parse_iso(F.col("ts")),
             "schema_version": F.coalesce("schema_version", F.lit(1)),
             "asset_type": F.lit("pothole"),
         }

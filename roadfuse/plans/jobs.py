@@ -11,7 +11,7 @@ import logging
 from uuid import uuid4
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.config import Config
@@ -38,31 +38,35 @@ def _audit(tables: Tables, name: str, row: tuple, run_id: str) -> None:
 # ── ingest ─────────────────────────────────────────────────────────────────────
 
 
-def admit(requests: DataFrame, resource: str, items, tables: Tables, cfg: Config, batch: str) -> DataFrame:
-    """Applies the hourly limit and stores the new bucket counts; keeps the allowed requests.
+def decide(requests: DataFrame, tables: Tables, cfg: Config, batch: str) -> DataFrame:
+    """Checks a batch of requests against the hourly limit and stores its bucket counts.
 
-    A request counts with its number of items, also when it is then refused.
+    Only the hour before the batch is read back, and never the batch's own earlier attempt.
     """
-    counted = requests.select(
+    limits = {"events": cfg.rate_limit_events_per_hour, "frames": cfg.rate_limit_frames_per_hour}
+    first = requests.agg(F.min("received_at")).first()[0]
+    stored = tables.read("device_rate_limit", but_not=batch)
+    if first is not None:
+        hour = datetime.timedelta(seconds=ratelimit.WINDOW_SECONDS)
+        stored = stored.filter(F.col("window_start") >= F.lit(first - hour))
+    checked = cut_lineage(ratelimit.check_rate_limit(requests, limits, stored))
+    tables.append("device_rate_limit", ratelimit.bucket_counts(requests), batch)
+    return checked
+
+
+def admit(
+    uploads: DataFrame, resource: str, items: Column, tables: Tables, cfg: Config, batch: str
+) -> DataFrame:
+    """Upload requests that are within the limit; each counts with its number of items."""
+    requests = uploads.select(
         F.trim("device_id").alias("device_id"),
         F.lit(resource).alias("resource"),
         "request_id",
         "received_at",
         items.cast("long").alias("n"),
     )
-    limits = {"events": cfg.rate_limit_events_per_hour, "frames": cfg.rate_limit_frames_per_hour}
-    stored = tables.read("device_rate_limit")
-    checked = ratelimit.check_rate_limit(counted, limits, stored)
-    allowed = cut_lineage(checked.filter("allowed").select("request_id"))
-    fresh = ratelimit.bucket_counts(counted)
-    key = ["device_id", "resource", "window_start"]
-    summed = (
-        fresh.unionByName(stored.join(fresh.select(*key), key, "left_semi"))
-        .groupBy(*key)
-        .agg(F.sum("request_count").alias("request_count"))
-    )
-    tables.replace("device_rate_limit", upsert.upsert(stored, summed, key))
-    return requests.join(allowed, "request_id", "left_semi")
+    allowed = decide(requests, tables, cfg, batch).filter("allowed").select("request_id")
+    return uploads.join(allowed, "request_id", "left_semi")
 
 
 def run_ingest_observations(

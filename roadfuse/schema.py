@@ -76,6 +76,10 @@ TABLES = {
         "left INT, right INT, path_length DOUBLE"
     ),
     "model_activation": "model_version STRING, activated_at TIMESTAMP",
+    "rate_limit_decision": (
+        "device_id STRING, resource STRING, request_id STRING, received_at TIMESTAMP, n LONG, "
+        "current LONG, limit LONG, allowed BOOLEAN"
+    ),
     "device_rate_limit": (
         "device_id STRING, resource STRING, window_start TIMESTAMP, request_count LONG"
     ),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "roadfuse", **conf) -> SparkSession:
@@ -47,3 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` whose values are computed once, however often later steps use them.
+
+    Plain projected expressions are copied into every filter and projection above them; for
+    long ones (rule lists, parsed text) that multiplies the work. A generator is not merged.
+    """
+    kept = [df[c] for c in df.columns if c not in columns]
+    return df.select(F.inline(F.array(F.struct(*kept, *[e.alias(n) for n, e in columns.items()]))))

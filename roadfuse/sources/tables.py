@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadfuse.schema import empty, table_schema
 
-SNAPSHOTS = ("fusion_pair", "cluster", "cluster_link", "device_rate_limit")
+SNAPSHOTS = ("fusion_pair", "cluster", "cluster_link")
+
+
+def _batch_folder(batch: str) -> str:
+    return "batch-" + re.sub(r"[^A-Za-z0-9_.-]", "_", batch)
 
 
 class Tables:
@@ -34,8 +38,9 @@ class Tables:
                 done.append((path.getName(), path.toString()))
         return sorted(done)
 
-    def read(self, name: str) -> DataFrame:
-        folders = [path for _, path in self._folders(name)]
+    def read(self, name: str, but_not: str | None = None) -> DataFrame:
+        """The table; ``but_not`` leaves out one batch (the one about to be repeated)."""
+        folders = [path for f, path in self._folders(name) if but_not is None or f != _batch_folder(but_not)]
         if not folders:
             return empty(self.spark, name)
         if name in SNAPSHOTS:
@@ -43,8 +48,7 @@ class Tables:
         return self.spark.read.schema(table_schema(name)).parquet(*folders)
 
     def append(self, name: str, rows: DataFrame, batch: str) -> None:
-        folder = re.sub(r"[^A-Za-z0-9_.-]", "_", batch)
-        self._fit(name, rows).write.mode("overwrite").parquet(f"{self.root}/{name}/batch-{folder}")
+        self._fit(name, rows).write.mode("overwrite").parquet(f"{self.root}/{name}/{_batch_folder(batch)}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         versions = self._folders(name)
