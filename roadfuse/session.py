@@ -56,5 +56,5 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     Plain projected expressions are copied into every filter and projection above them; for
     long ones (rule lists, parsed text) that multiplies the work. A generator is not merged.
     """
-    kept = [df[c] for c in df.columns if c not in columns]
+    kept = [F.col(c) for c in df.columns if c not in columns]
     return df.select(F.inline(F.array(F.struct(*kept, *[e.alias(n) for n, e in columns.items()]))))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadfuse.schema import empty, table_schema
 
@@ -59,4 +60,4 @@ class Tables:
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def _fit(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in table_schema(name).fields])
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(name).fields])
