@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS-84 semi-major axis (m) and squared eccentricity.
@@ -92,19 +92,31 @@ def grid_cell(lat: Column, lon: Column, radius_m: float) -> Column:
     return band * _KEY + F.least(_column_of(lon, columns), columns - 1)
 
 
-def grid_cells_within(lat: Column, lon: Column, radius_m: float) -> Column:
-    """All cells that may hold a point within ``radius_m``; wraps at the antimeridian."""
+def explode_cells(df: DataFrame, lat: str, lon: str, radius_m: float, name: str) -> DataFrame:
+    """One row per cell that may hold a point within ``radius_m``, as ``name``.
+
+    Wraps at the antimeridian; near the poles all columns of a band are taken. Bands and
+    columns are exploded one after the other, which keeps the arithmetic in generated code.
+    """
     height = _band_height(radius_m)
     reach = radius_m / _LAT_DEG_M
-    bands = F.sequence(F.floor((lat - reach + 90.0) / height), F.floor((lat + reach + 90.0) / height))
-
-    def cells(band: Column) -> Column:
-        columns = _band_columns(band, height, radius_m)
-        dlon = radius_m / (_LON_DEG_M * _band_cos(band, height, lat))
-        first, last = _column_of(lon - dlon, columns), _column_of(lon + dlon, columns)
-        span = F.when(
-            last - first >= columns - 1, F.sequence(F.lit(0).cast("long"), columns - 1)
-        ).otherwise(F.sequence(first, last))
-        return F.transform(span, lambda c: band * _KEY + F.pmod(c, columns))
-
-    return F.array_distinct(F.flatten(F.transform(bands, cells)))
+    y, x = F.col(lat), F.col(lon)
+    bands = F.sequence(F.floor((y - reach + 90.0) / height), F.floor((y + reach + 90.0) / height))
+    out = df.withColumn("_band", F.explode(bands))
+    dlon = radius_m / (_LON_DEG_M * _band_cos(F.col("_band"), height, y))
+    out = out.withColumns({"_columns": _band_columns(F.col("_band"), height, radius_m), "_dlon": dlon})
+    out = out.withColumns(
+        {
+            "_first": _column_of(x - F.col("_dlon"), F.col("_columns")),
+            "_last": _column_of(x + F.col("_dlon"), F.col("_columns")),
+        }
+    )
+    whole = F.col("_last") - F.col("_first") >= F.col("_columns") - 1
+    span = F.when(whole, F.sequence(F.lit(0).cast("long"), F.col("_columns") - 1)).otherwise(
+        F.sequence("_first", "_last")
+    )
+    return (
+        out.withColumn("_column", F.explode(span))
+        .withColumn(name, F.col("_band") * _KEY + F.pmod("_column", "_columns"))
+        .drop("_band", "_columns", "_dlon", "_first", "_last", "_column")
+    )

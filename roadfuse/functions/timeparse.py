@@ -23,11 +23,16 @@ def _let(value: Column, body) -> Column:
 
 
 def _general(ts: Column) -> Column:
-    groups = F.struct(*[F.regexp_extract(ts, _GENERAL, i).alias(f"g{i}") for i in range(1, 18)])
+    # One match rewrites the text to its groups, separated by bars.
+    groups = F.split(F.regexp_replace(ts, _GENERAL, "|".join(f"${i}" for i in range(1, 18))), "\\|")
 
     def moment(g: Column) -> Column:
+        def part(i: int) -> Column:
+            return g[i - 1]
+
         def num(i: int) -> Column:
-            return g.getField(f"g{i}").try_cast("int")
+            # Guarded, because a cast that fails is far slower than one that is not tried.
+            return F.when(part(i) != "", part(i).cast("int"))
 
         def or_zero(i: int) -> Column:
             return F.coalesce(num(i), F.lit(0))
@@ -37,16 +42,16 @@ def _general(ts: Column) -> Column:
         monday = F.date_add(F.trunc(fourth, "week"), (num(8) - 1) * 7)
         # A week 53 only exists where its Thursday still belongs to the year.
         week_ok = num(8).between(1, 53) & or_zero(9).between(0, 7) & (F.year(F.date_add(monday, 3)) == year)
-        by_week = F.when(week_ok & (g.getField("g9") != "0"), F.date_add(monday, F.coalesce(num(9), F.lit(1)) - 1))
-        digits = F.concat_ws("-", *[F.concat(g.getField(f"g{a}"), g.getField(f"g{b}")) for a, b in ((1, 4), (2, 5), (3, 6))])
-        micros = F.coalesce(F.rpad(F.substring(g.getField("g13"), 1, 6), 6, "0").try_cast("long"), F.lit(0))
+        by_week = F.when(week_ok & (part(9) != "0"), F.date_add(monday, F.coalesce(num(9), F.lit(1)) - 1))
+        digits = F.concat_ws("-", *[F.concat(part(a), part(b)) for a, b in ((1, 4), (2, 5), (3, 6))])
+        micros = F.when(part(13) != "", F.rpad(F.substring(part(13), 1, 6), 6, "0").cast("long")).otherwise(0)
         clock = (or_zero(10) * 3600 + or_zero(11) * 60 + or_zero(12)).cast("long") * 1_000_000 + micros
         offset = (or_zero(15) * 3600 + or_zero(16) * 60 + or_zero(17)).cast("long") * 1_000_000
         in_range = (year >= 1) & (or_zero(10) < 24) & (or_zero(15) < 24)
         for i in (11, 12, 16, 17):
             in_range = in_range & (or_zero(i) < 60)
         day = F.when(num(8).isNotNull(), by_week).otherwise(digits.try_cast("date"))
-        shift = F.when(g.getField("g14") == "-", -offset).otherwise(offset)
+        shift = F.when(part(14) == "-", -offset).otherwise(offset)
         return F.when(in_range, F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + clock - shift))
 
     return _let(groups, moment)

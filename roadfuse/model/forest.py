@@ -105,12 +105,14 @@ def _flatten(nodes: tuple[ForestNode, ...]) -> dict[str, np.ndarray]:
     for i, n in enumerate(ordered):
         start.setdefault(n.tree_id, i)
     base = np.array([start[n.tree_id] for n in ordered], dtype=np.int32)
+    children = np.empty(2 * len(ordered), dtype=np.int32)
+    children[0::2] = np.array([n.left for n in ordered]) + base
+    children[1::2] = np.array([n.right for n in ordered]) + base
     return {
         "roots": np.array(sorted(start.values()), dtype=np.int32),
         "feature": np.array([max(n.feature, 0) for n in ordered], dtype=np.int32),
         "threshold": np.array([n.threshold if n.feature >= 0 else np.inf for n in ordered]),
-        "left": np.array([n.left for n in ordered], dtype=np.int32) + base,
-        "right": np.array([n.right for n in ordered], dtype=np.int32) + base,
+        "children": children,
         "path": np.array([n.path_length for n in ordered]),
     }
 
@@ -126,14 +128,16 @@ def anomaly_score(df: DataFrame, nodes: tuple[ForestNode, ...], sample: int) ->
         t = shared.value
         x = np.column_stack([v.to_numpy(float) for v in (a, b, c, d, e)])
         out = np.empty(len(x))
+        width = x.shape[1]
         for lo in range(0, len(x), 1024):
             part = x[lo : lo + 1024]
+            flat = np.ascontiguousarray(part).ravel()
+            row = (np.arange(len(part), dtype=np.int32) * width)[:, None]
             at = np.broadcast_to(t["roots"], (len(part), len(t["roots"])))
-            row = np.arange(len(part))[:, None]
             for _ in range(depth):
-                left = part[row, t["feature"][at]] < t["threshold"][at]
-                at = np.where(left, t["left"][at], t["right"][at])
-            out[lo : lo + 1024] = t["path"][at].mean(axis=1)
+                v = flat.take(t["feature"].take(at) + row)
+                at = t["children"].take(2 * at + (v >= t["threshold"].take(at)))
+            out[lo : lo + 1024] = t["path"].take(at).mean(axis=1)
         return pd.Series(out)
 
     return F.pow(F.lit(2.0), -mean_path(*[c.cast("double") for c in outlier_inputs(df)]) / average_path(sample))

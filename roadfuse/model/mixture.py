@@ -19,6 +19,9 @@ from roadfuse.functions.posterior import z_score
 from roadfuse.model.artifact import Component, Standardization
 
 
+_POINTS_PER_TASK = 50_000
+
+
 class FitError(RuntimeError):
     """Too few rows, or no variety, to fit the model."""
 
@@ -88,7 +91,8 @@ def fit_mixture(rows: DataFrame, stats: FitStats, k: int, seed: int, restarts: i
     taxonomy share the top class. Only k means and covariances reach the driver.
     """
     points = weighted_points(rows, stats.standardization).select("features", "weight")
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    # Many short passes: tasks of at least this many points.
+    points = points.coalesce(math.ceil(stats.n / _POINTS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def attempt(i: int):
         # The stop rule is 1e-3 of log-likelihood per row.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ class IngestResult(NamedTuple):
     accepted: DataFrame  # request_id, pos, client_id; duplicates and repeats included
     rejected: DataFrame  # request_id, pos, client_id, reasons
     new_rows: DataFrame  # rows to append to the target
+    checked: DataFrame  # the cached items behind all three; unpersist when done
 
 
 def first_by_id(rows: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
@@ -84,6 +86,8 @@ def ingest_observations(
         items = compute_once(items, {"_own": reasons})
         reasons = F.when(F.size("_own") > 0, F.col("_own")).otherwise(whole)
     items = compute_once(items, {"reasons": reasons, "ts_utc": parse_iso(F.col("ts"))})
+    # Parsed and checked once for all outputs, and for both sides of the insert-if-absent.
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)
     ok = items.filter(F.size("reasons") == 0)
     rejected = items.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons").unionByName(
         checked.filter(F.size("_reasons") > 0).select(
@@ -100,7 +104,7 @@ def ingest_observations(
         }
     )
     new = append_new(rows, existing, "client_id", ["received_at", "request_id", "pos"])
-    return IngestResult(ok.select("request_id", "pos", "client_id"), rejected, _as_table(new, "observation"))
+    return IngestResult(ok.select("request_id", "pos", "client_id"), rejected, _as_table(new, "observation"), items)
 
 
 def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cfg: Config) -> IngestResult:
@@ -108,9 +112,9 @@ def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cf
     rules = validate.envelope_rules() | validate.frame_rules(F.col)
     checked = _reject_envelopes(metadata, rules).join(blobs, "path", "left")
     reason = validate.blob_reason(F.col("length"), F.col("head"), cfg)
-    checked = checked.withColumn(
-        "reasons", F.when(F.size("_reasons") > 0, F.col("_reasons")).otherwise(F.array_compact(F.array(reason)))
-    ).withColumn("pos", F.lit(0))
+    reasons = F.when(F.size("_reasons") > 0, F.col("_reasons")).otherwise(F.array_compact(F.array(reason)))
+    checked = checked.withColumns({"reasons": reasons, "pos": F.lit(0), "ts_utc": parse_iso(F.col("ts"))})
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     ok = checked.filter(F.size("reasons") == 0)
     rejected = checked.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons")
     device = F.trim("device_id")
@@ -118,7 +122,6 @@ def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cf
         {
             "jpeg_url": blob_path(device, F.col("client_id"), cfg.storage_bucket),
             "device_id": device,
-            "ts_utc": parse_iso(F.col("ts")),
             "device_probability": F.col("device_p_on_device"),
             "device_model_id": F.col("model_id"),
             "device_detections": F.when(F.size("detections") > 0, F.to_json("detections")),
@@ -126,4 +129,4 @@ def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cf
         }
     )
     new = append_new(rows, existing, "client_id", ["received_at", "request_id"])
-    return IngestResult(ok.select("request_id", "pos", "client_id"), rejected, _as_table(new, "frame"))
+    return IngestResult(ok.select("request_id", "pos", "client_id"), rejected, _as_table(new, "frame"), checked)

@@ -28,8 +28,8 @@ def suppress_repaired(rows: DataFrame, clusters: DataFrame, eps_m: float) -> Dat
         clusters.filter(F.col("repaired_at").isNotNull())
         .groupBy(F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
         .agg(F.max("repaired_at").alias("c_repaired_at"))
-        .withColumn("c_cell", F.explode(geo.grid_cells_within(F.col("c_lat"), F.col("c_lon"), eps_m)))
     )
+    repaired = geo.explode_cells(repaired, "c_lat", "c_lon", eps_m, "c_cell")
     placed = rows.withColumn("_cell", geo.grid_cell(F.col("lat"), F.col("lon"), eps_m))
     explained = (
         (placed["_cell"] == repaired["c_cell"])

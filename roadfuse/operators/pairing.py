@@ -48,16 +48,18 @@ def candidate_pairs(
             geo.grid_cell(F.col("lat"), F.col("lon"), window_m).alias("cell"),
         )
     )
-    probes = (
+    placed = geo.explode_cells(
         frames.select(
             "device_id",
             F.col("client_id").alias("frame_client_id"),
             at.alias("f_us"),
             F.col("lat").alias("f_lat"),
             F.col("lon").alias("f_lon"),
-        )
-        .withColumn("bucket", F.explode(F.sequence(bucket(f_at - window_us), bucket(f_at + window_us))))
-        .withColumn("cell", F.explode(geo.grid_cells_within(F.col("f_lat"), F.col("f_lon"), window_m)))
+        ),
+        "f_lat", "f_lon", window_m, "cell",
+    )
+    probes = placed.withColumn(
+        "bucket", F.explode(F.sequence(bucket(f_at - window_us), bucket(f_at + window_us)))
     )
     near = (F.abs(F.col("f_us") - F.col("o_us")) < window_us) & (
         geo.distance_m(F.col("f_lat"), F.col("f_lon"), F.col("o_lat"), F.col("o_lon")) <= window_m

@@ -17,9 +17,7 @@ def candidate_matches(fresh: DataFrame, clusters: DataFrame, eps_m: float) -> Da
         F.col("lon").alias("c_lon"),
         geo.grid_cell(F.col("lat"), F.col("lon"), eps_m).alias("cell"),
     )
-    probes = fresh.select(
-        "label", "lat", "lon", F.explode(geo.grid_cells_within(F.col("lat"), F.col("lon"), eps_m)).alias("cell")
-    )
+    probes = geo.explode_cells(fresh.select("label", "lat", "lon"), "lat", "lon", eps_m, "cell")
     d = geo.distance_m(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))
     return (
         probes.join(stored, "cell")

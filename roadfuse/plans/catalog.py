@@ -927,6 +927,7 @@ def delete_device(spark, sf):
 )
 def grid_cells(spark, sf):
     """Every point lies in a cell its own search box covers."""
-    lat, lon = F.col("lat"), F.col("lon")
-    inside = F.array_contains(geo.grid_cells_within(lat, lon, 25.0), geo.grid_cell(lat, lon, 25.0))
-    return adapter.observations(spark, sf).filter(inside).agg(F.count("*").alias("n"))
+    rows = adapter.observations(spark, sf).select("client_id", "lat", "lon")
+    cells = geo.explode_cells(rows, "lat", "lon", 25.0, "cell")
+    own = cells.filter(F.col("cell") == geo.grid_cell(F.col("lat"), F.col("lon"), 25.0))
+    return own.agg(F.count("*").alias("n"))

@@ -72,6 +72,7 @@ def admit(
 def run_ingest_observations(
     envelopes: DataFrame, tables: Tables, cfg: Config, batch: str, mode: str = "per_row"
 ) -> ingest.IngestResult:
+    """Appends the new rows; the caller reads the outcome and unpersists ``checked``."""
     result = ingest.ingest_observations(envelopes, tables.read("observation"), cfg, mode)
     tables.append("observation", result.new_rows, batch)
     return result

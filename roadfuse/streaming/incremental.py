@@ -53,7 +53,7 @@ def start_observation_ingest(
             rules = envelope_rules() | batch_rules(cfg)
             sound = F.col("_corrupt").isNull() & (F.size(failures(rules)) == 0)
             envelopes = jobs.admit(envelopes.filter(sound), "events", F.size("events"), tables, cfg, name)
-        jobs.run_ingest_observations(envelopes, tables, cfg, name, mode)
+        jobs.run_ingest_observations(envelopes, tables, cfg, name, mode).checked.unpersist()
 
     return _start(text, "observation-ingest", checkpoint, trigger, each)
 

@@ -33,8 +33,8 @@ def interval_pairs(
         )
         .withWatermark("f_ts", delay)
         .withColumn("f_bucket", F.explode(F.sequence(bucket(f_us - width // 2), bucket(f_us + width // 2))))
-        .withColumn("f_cell", F.explode(geo.grid_cells_within(F.col("f_lat"), F.col("f_lon"), window_m)))
     )
+    probes = geo.explode_cells(probes, "f_lat", "f_lon", window_m, "f_cell")
     spots = (
         observations.select(
             F.col("device_id").alias("o_device"),

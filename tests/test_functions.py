@@ -134,8 +134,9 @@ def test_grid_covers_every_point_within_the_radius(spark, lat, lon):
         q = (lon + max(-180.0, min(180.0, east)) + 180.0) % 360.0 - 180.0
         rows.append((p, q))
     df = spark.createDataFrame(rows, "lat double, lon double")
-    near = geo.distance_m(num(lat), num(lon), F.col("lat"), F.col("lon")) <= r
-    cell = geo.grid_cell(F.col("lat"), F.col("lon"), r)
-    found = F.array_contains(geo.grid_cells_within(num(lat), num(lon), r), cell)
-    assert df.filter(near & ~found).count() == 0
-    assert df.filter(near).count() > 0
+    near = df.filter(geo.distance_m(num(lat), num(lon), F.col("lat"), F.col("lon")) <= r)
+    box = geo.explode_cells(spark.createDataFrame([(lat, lon)], "a double, b double"), "a", "b", r, "cell")
+    assert box.count() == box.distinct().count()
+    placed = near.withColumn("cell", geo.grid_cell(F.col("lat"), F.col("lon"), r))
+    assert placed.count() > 0
+    assert placed.join(box, "cell", "left_anti").count() == 0
