@@ -39,21 +39,31 @@ def outlier_inputs(df: DataFrame) -> list[Column]:
 def tree_samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
     """``sample`` rows per tree: those with the smallest hash of (id, tree).
 
-    Rows are thinned by the hash first, to twice the need per tree, so the data is not
-    multiplied by the number of trees before the exact cut.
+    Rows are thinned by hashes first, to about twice the need per tree: one hash decides
+    whether a row is looked at for any tree, and only rows that are get one hash per tree. The
+    data is never multiplied by the number of trees before the exact cut.
     """
     rate = min(1.0, 2.0 * sample / n)
-    bound = min(int(rate * 2.0**64) - 2**63, 2**63 - 1)
+    looked_at = min(1.0, rate * trees)
+
+    def below(share: float) -> int:
+        return min(int(share * 2.0**64) - 2**63, 2**63 - 1)
 
     def key(tree: Column) -> Column:
         return F.xxhash64(F.col("client_id"), tree, F.lit(seed))
 
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: key(t) <= bound)
-    picked = rows.select(
-        "client_id",
-        *[c.cast("double").alias(n) for c, n in zip(outlier_inputs(rows), _FEATURES)],
-        F.explode(chosen).alias("tree_id"),
-    ).withColumn("h", key(F.col("tree_id")))
+    chosen = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: key(t) <= below(rate / looked_at)
+    )
+    picked = (
+        rows.filter(F.xxhash64(F.lit(seed), F.col("client_id")) <= below(looked_at))
+        .select(
+            "client_id",
+            *[c.cast("double").alias(n) for c, n in zip(outlier_inputs(rows), _FEATURES)],
+            F.explode(chosen).alias("tree_id"),
+        )
+        .withColumn("h", key(F.col("tree_id")))
+    )
     w = Window.partitionBy("tree_id").orderBy("h", "client_id")
     return picked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample).drop("h")
 

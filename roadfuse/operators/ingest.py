@@ -80,12 +80,13 @@ def ingest_observations(
         )
         good = compute_once(good, {"batch_fails": fails})
     items = explode_envelopes(good)
-    reasons = validate.failures(validate.observation_rules(F.col))
+    items = compute_once(items, {"ts_utc": parse_iso(F.col("ts"))})
+    reasons = validate.failures(validate.observation_rules(F.col, F.col("ts_utc")))
     if mode == "whole_batch":
         whole = F.when(F.col("batch_fails"), F.array(F.lit("batch"))).otherwise(F.array().cast("array<string>"))
         items = compute_once(items, {"_own": reasons})
         reasons = F.when(F.size("_own") > 0, F.col("_own")).otherwise(whole)
-    items = compute_once(items, {"reasons": reasons, "ts_utc": parse_iso(F.col("ts"))})
+    items = compute_once(items, {"reasons": reasons})
     # Parsed and checked once for all outputs, and for both sides of the insert-if-absent.
     items = items.persist(StorageLevel.MEMORY_AND_DISK)
     ok = items.filter(F.size("reasons") == 0)

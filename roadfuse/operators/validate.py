@@ -63,12 +63,14 @@ def failures(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*names))
 
 
-def observation_rules(field: Field) -> dict[str, Column]:
+def observation_rules(field: Field, parsed_ts: Column | None = None) -> dict[str, Column]:
+    """``parsed_ts`` is the already parsed ``ts``, where the caller has it."""
+    instant = parse_iso(field("ts")) if parsed_ts is None else parsed_ts
     version = F.coalesce(field("schema_version"), F.lit(SCHEMA_VERSION[0]))
     return {
         "client_id": _id_ok(field("client_id")),
         "schema_version": version.between(*SCHEMA_VERSION),
-        "ts": parse_iso(field("ts")).isNotNull(),
+        "ts": instant.isNotNull(),
         **{n: _required(field(n), b) for n, b in OBSERVATION_REQUIRED.items()},
         **{n: _optional(field(n), b) for n, b in OBSERVATION_OPTIONAL.items()},
         "raw_window_b64": _max_length(field("raw_window_b64"), RAW_WINDOW_MAX),
