@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadfuse.config import Config
 from roadfuse.functions import geo
 from roadfuse.functions.fusion import FusionStrategy, PairColumns
+from roadfuse.session import cut_lineage
 
 
 def whole_ms(delta_us: Column) -> Column:
@@ -29,10 +30,9 @@ def candidate_pairs(
     instant are first reduced to their smallest id: no other of them can be nearest.
     """
     window_us = window_ms * 1000
-    width = 2 * window_us
 
     def bucket(us: Column) -> Column:
-        return F.floor(us / width)
+        return F.floor(us / (2 * window_us))
 
     at, f_at = F.unix_micros("ts_utc"), F.col("f_us")
     spots = (
@@ -73,10 +73,7 @@ def candidate_pairs(
     )
 
 
-def nearest_observation(
-    frames: DataFrame, observations: DataFrame, window_ms: int = 3000, window_m: float = 25.0
-) -> DataFrame:
-    """One row per frame that has a candidate: ids, ``delta_ms`` and ``delta_m``."""
+def _nearest(frames: DataFrame, observations: DataFrame, window_ms: int, window_m: float) -> DataFrame:
     first = Window.partitionBy("frame_client_id").orderBy(
         F.abs("delta_us"), "delta_m", "event_client_id"
     )
@@ -84,10 +81,55 @@ def nearest_observation(
         candidate_pairs(frames, observations, window_ms, window_m)
         .withColumn("rank", F.row_number().over(first))
         .filter("rank = 1")
-        .select("frame_client_id", "event_client_id", whole_ms(F.col("delta_us")).alias("delta_ms"), "delta_m")
+        .select(
+            "frame_client_id", "event_client_id", whole_ms(F.col("delta_us")).alias("delta_ms"), "delta_m"
+        )
     )
 
 
+def nearest_observation(
+    frames: DataFrame,
+    observations: DataFrame,
+    window_ms: int = 3000,
+    window_m: float = 25.0,
+    first_ms: tuple[int, ...] = (),
+) -> DataFrame:
+    """One row per frame that has a candidate: ids, ``delta_ms`` and ``delta_m``.
+
+    ``first_ms`` lists smaller time windows to try before the full one. Time decides before
+    distance, so a frame that finds a candidate in a small window needs no larger one; where
+    observations are very dense this saves most comparisons (see :func:`dense_steps`).
+    """
+    found = None
+    for ms in (*first_ms, window_ms):
+        hit = _nearest(frames, observations, ms, window_m)
+        if ms != window_ms:
+            hit = cut_lineage(hit)
+            done = hit.select(F.col("frame_client_id").alias("client_id"))
+            frames = cut_lineage(frames.join(done, "client_id", "left_anti"))
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
+def dense_steps(
+    observations: DataFrame, window_ms: int, window_m: float, spots_per_key: int = 10_000
+) -> tuple[int, ...]:
+    """Smaller windows to try first, if some device has very many observations in one place.
+
+    Counts them per join key with partial sums; only the largest count reaches the driver.
+    """
+    bucket = F.floor(F.unix_micros("ts_utc") / (2000 * window_ms))
+    cell = geo.grid_cell(F.col("lat"), F.col("lon"), window_m)
+    counts = observations.groupBy("device_id", bucket.alias("bucket"), cell.alias("cell")).count()
+    densest = counts.agg(F.max("count")).first()[0] or 0
+    steps = []
+    ms = window_ms
+    while densest > spots_per_key and ms > 1:
+        ms, densest = max(1, ms // 8), densest // 8
+        steps.insert(0, ms)
+    return tuple(steps)
+
+
 def around_frames(frames: DataFrame, observations: DataFrame, window_ms: int) -> DataFrame:
     """Observations that lie in the time span of this batch of frames.
 
@@ -141,6 +183,9 @@ def pair_and_fuse(
     scores: DataFrame | None,
     strategy: FusionStrategy,
     cfg: Config,
+    first_ms: tuple[int, ...] = (),
 ) -> DataFrame:
-    pairs = nearest_observation(frames, observations, cfg.fusion_window_ms, cfg.fusion_window_m)
+    pairs = nearest_observation(
+        frames, observations, cfg.fusion_window_ms, cfg.fusion_window_m, first_ms
+    )
     return fuse(attach_signals(pairs, frames, observations, scores), strategy)

@@ -79,11 +79,13 @@ def pairing_quality(
 def ingest_rate_anomalies(rows: DataFrame, spread: float = 3.0) -> DataFrame:
     """Hours whose arrivals leave the mean by more than ``spread`` deviations.
 
-    Hourly counts are few however many rows there are, so the global mean is cheap.
+    Hourly counts are few however many rows there are; their mean and deviation are one row.
     """
     hourly = rows.groupBy(F.date_trunc("hour", "received_at").alias("hour")).agg(F.count("*").alias("n"))
-    stats = hourly.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
-    return hourly.crossJoin(stats).filter(F.abs(F.col("n") - F.col("mean")) > spread * F.col("deviation"))
+    s = hourly.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation")).first()
+    if s.mean is None:
+        return hourly
+    return hourly.filter(F.abs(F.col("n") - s.mean) > spread * s.deviation)
 
 
 def model_disagreement(frames: DataFrame, device: str, server: str) -> DataFrame:

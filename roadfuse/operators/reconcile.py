@@ -36,15 +36,15 @@ def exclusive_matches(edges: DataFrame) -> DataFrame:
     label left in each group of competitors; without competition one round does it.
     """
     best = Window.partitionBy("label").orderBy("distance", "cluster_id")
-    rivals = Window.partitionBy("cluster_id")
     left = cut_lineage(edges)
     settled = None
     while not left.isEmpty():
+        first = left.groupBy("cluster_id").agg(F.min("label").alias("label"))
         final = (
             left.withColumn("rank", F.row_number().over(best))
-            .withColumn("first", F.min("label").over(rivals))
-            .filter((F.col("rank") == 1) & (F.col("label") == F.col("first")))
+            .filter("rank = 1")
             .select("label", "cluster_id")
+            .join(first, ["label", "cluster_id"], "left_semi")
         )
         final = cut_lineage(final)
         settled = final if settled is None else settled.union(final)

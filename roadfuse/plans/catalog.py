@@ -617,7 +617,7 @@ _UPSERTED_SQL = f"""
 SELECT coalesce(n.cluster_id, c.cluster_id) AS cluster_id,
   round(CASE WHEN n.cluster_id IS NULL THEN c.severity ELSE n.severity END, 6) AS severity,
   CASE WHEN n.cluster_id IS NULL THEN c.observation_count ELSE n.observation_count END AS observation_count,
-  coalesce(c.source, 'crowd') AS source, c.repaired_us AS repaired_us,
+  coalesce(c.source, 'crowd') AS source, coalesce(c.repaired_us, 0) AS repaired_us,
   CASE WHEN c.cluster_id IS NULL THEN {t.AS_OF_US} ELSE {t.EARLIER_US} END AS created_us,
   CASE WHEN n.cluster_id IS NULL THEN {t.EARLIER_US} ELSE {t.AS_OF_US} END AS updated_us
 FROM site_cluster c FULL JOIN (SELECT m.cluster_id, f.* FROM mapped m JOIN fresh f ON f.label = m.label) n
@@ -630,7 +630,8 @@ def upsert_clusters(spark, sf):
     kept = ["asset_type", "source", "repaired_at", "created_at"]
     rows = jobs.cluster_rows(fresh, mapping, AS_OF)
     return upsert.upsert(stages.site_clusters(spark, sf), rows, ["cluster_id"], kept).select(
-        "cluster_id", r("severity"), "observation_count", "source", us("repaired_at", "repaired_us"),
+        "cluster_id", r("severity"), "observation_count", "source",
+        F.coalesce(F.unix_micros("repaired_at"), F.lit(0)).alias("repaired_us"),
         us("created_at", "created_us"), us("updated_at", "updated_us"),
     )
 

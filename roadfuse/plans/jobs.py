@@ -153,8 +153,9 @@ def pair_new(
             return 0
         strategy = select_strategy(cfg, model is not None)
         observations = pairing.around_frames(frames, tables.read("observation"), cfg.fusion_window_ms)
+        steps = pairing.dense_steps(observations, cfg.fusion_window_ms, cfg.fusion_window_m)
         fused = pairing.pair_and_fuse(
-            frames, observations, tables.read("observation_score"), strategy, cfg
+            frames, observations, tables.read("observation_score"), strategy, cfg, steps
         )
         pairs = cut_lineage(
             fused.withColumns({"fusion_run_id": F.lit(run_id), "created_at": _lit(as_of)})

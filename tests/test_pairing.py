@@ -67,8 +67,8 @@ def test_equals_brute_force_for_any_partitioning(spark):
     for r in every.filter("abs(us) < 3000000 and m <= 25").collect():
         key = (abs(r.us), r.m, r.o)
         want[r.f] = min(want.get(r.f, key), key)
-    for n in (1, 13):
-        got = pairing.nearest_observation(frames.repartition(n), obs.repartition(n))
+    for n, first in ((1, ()), (13, ()), (5, (20, 400))):
+        got = pairing.nearest_observation(frames.repartition(n), obs.repartition(n), first_ms=first)
         assert {r.frame_client_id: r.event_client_id for r in got.collect()} == {k: v[2] for k, v in want.items()}
 
 
@@ -77,3 +77,10 @@ def test_observations_are_cut_to_the_span_of_the_frames(spark):
     obs = table(spark, "observation", [observation("in", ts_utc=at(2)), observation("out", ts_utc=at(60))])
     assert [r.client_id for r in pairing.around_frames(frames, obs, 3000).collect()] == ["in"]
     assert pairing.around_frames(frames.limit(0), obs, 3000).count() == 0
+
+
+def test_dense_steps(spark):
+    obs = table(spark, "observation", [observation(f"o{i}", ts_utc=at(i / 100)) for i in range(300)])
+    assert pairing.dense_steps(obs, 3000, 25.0) == ()
+    assert pairing.dense_steps(obs, 3000, 25.0, spots_per_key=50) == (375,)
+    assert pairing.dense_steps(obs, 3000, 25.0, spots_per_key=5) == (46, 375)
