@@ -60,7 +60,8 @@ def _id_ok(c: Column) -> Column:
 def failures(rules: dict[str, Column]) -> Column:
     """Names of the broken rules, in rule order."""
     names = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    return F.array_compact(F.array(*names))
+    # Not array_compact: that one is interpreted and takes the rules out of generated code.
+    return F.array_except(F.array(*names), F.array(F.lit(None).cast("string")))
 
 
 def observation_rules(field: Field, parsed_ts: Column | None = None) -> dict[str, Column]:
