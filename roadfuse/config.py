@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Engine versions as they are recorded in the run audit.
 PRIMARY_ENGINE = "fusion.matlab_port_v1"
 FALLBACK_ENGINE = "fusion.python_v1"
 

@@ -19,6 +19,7 @@ def local_session(cores: str | int = "*", app: str = "roadfuse", **conf) -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
