@@ -11,7 +11,6 @@ because its neighbours may form a pair of a lower rank, which then comes first.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.llm.chunks import ChunkEncoder, encoded
+from roadfuse.llm.shared import remembered
 from roadfuse.llm.wordhash import hash_spans, ragged, strings
 
 #: Bytes of text that share one slice.
@@ -148,10 +148,9 @@ def _chunk_ids(ranks: Ranks, pattern: str):
     return encode
 
 
-@functools.cache
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    """One per Python worker; what it remembers holds for later tasks of the worker."""
-    return ChunkEncoder(_chunk_ids(Ranks(path), pattern))
+    """One per Python worker; the chunks it knows serve later tasks of the worker too."""
+    return remembered(("bpe", path, pattern), lambda: ChunkEncoder(_chunk_ids(Ranks(path), pattern)))
 
 
 def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:

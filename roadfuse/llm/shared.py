@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,14 @@ def publish(uri: str, write) -> int:
     return system.get_file_info(path).size
 
 
+def remembered(key: tuple, make: Callable):
+    """``make()``, once per Python worker and key. Task functions travel by value, so module globals last one task only."""
+    memory = sys.modules.setdefault("roadfuse_worker_memory", types.ModuleType("roadfuse_worker_memory")).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts: what the number of buckets and files is derived from."""
     from pyspark.sql import functions as F

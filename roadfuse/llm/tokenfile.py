@@ -9,7 +9,6 @@ seek table from the end of the file and unpacks only the frames that hold the wa
 
 from __future__ import annotations
 
-import functools
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from roadfuse.llm.chunks import ChunkEncoder, encoded
-from roadfuse.llm.shared import file_system, publish
+from roadfuse.llm.shared import file_system, publish, remembered
 from roadfuse.llm.wordhash import strings
 
 FRAME_TOKENS = 65_536
@@ -119,9 +118,12 @@ class TokenFileReader:
             at, left = at + len(part), left - len(part)
 
 
-@functools.cache
 def _encoder(path: str) -> ChunkEncoder:
-    """One per Python worker; what it remembers holds for later tasks of the worker."""
+    """One per Python worker; the chunks it knows serve later tasks of the worker too."""
+    return remembered(("tokens", path), lambda: ChunkEncoder(_chunk_ids(path)))
+
+
+def _chunk_ids(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -139,7 +141,7 @@ def _encoder(path: str) -> ChunkEncoder:
         ids = np.concatenate(found)
         return ids, np.diff(np.searchsorted(np.cumsum(width[ids]), ends, "right"), prepend=0)
 
-    return ChunkEncoder(encode)
+    return encode
 
 
 def write_tokens(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 0, files: int | None = None) -> DataFrame:
