@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, langid, tokenfile
+from roadfuse.llm import bpe, decontaminate, langid, linededup, tokenfile
 from roadfuse.llm.shared import shared_folder
 
 
@@ -33,6 +33,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.delete_repeated_lines(docs).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,10 +49,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches")).select("doc_id", "item_id", "edits")
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-TWINS: dict[str, str] = {}
+TWINS = {
+    "op6_line_dedup": linededup.TWIN,
+}
