@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, decontaminate, langid, linededup, tokenfile
+from roadfuse.llm import bpe, decontaminate, jaccard, langid, linededup, tokenfile
 from roadfuse.llm.shared import shared_folder
 
 
@@ -33,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.delete_repeated_lines(docs).select(
@@ -58,6 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
