@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, decontaminate, jaccard, langid, linededup, tokenfile
-from roadfuse.llm.shared import shared_folder
+from roadfuse.llm import bpe, decontaminate, jaccard, langid, linededup, quality, tokenfile
+from roadfuse.llm.shared import shared_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality.apply_rules(docs, keep_measured=lambda df: written(df.drop("text"), "quality-measures"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     root = shared_folder(spark, "token-files")
@@ -60,6 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
     "op5_jaccard_join": op5_jaccard_join,
@@ -69,5 +76,6 @@ QUERIES = {
 }
 
 TWINS = {
+    "op1_quality_rules": quality.TWIN,
     "op6_line_dedup": linededup.TWIN,
 }

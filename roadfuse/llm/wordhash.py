@@ -108,8 +108,8 @@ def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             if b - a >= k:
                 yield np.unique(grams[a : b - k + 1])
             elif b > a:
-                short = (h[a:b] * _WEIGHTS[24 : 24 + b - a]).sum(dtype=_U) + _WEIGHTS[40 + b - a]
-                yield mix(np.array([short], _U))
+                short = (h[a:b] * _WEIGHTS[24 : 24 + b - a]).sum(dtype=_U, keepdims=True)
+                yield mix(short + _WEIGHTS[40 + b - a])
             else:
                 yield np.zeros(0, _U)
 
