@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, decontaminate, jaccard, langid, linededup, quality, tokenfile
+from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, linededup, quality, tokenfile
 from roadfuse.llm.shared import shared_folder, written
 
 
@@ -50,6 +50,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '{chat.PROBE}' AS text FROM range(2)")
+    said = said.unionByName(probe)
+    formatted = chat.format_chat(said.select("conv_id", "turn", "role", chat.plain_parts(F.col("text")).alias("parts")))
+    return chat.digests(chat.read_chat(formatted))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +79,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -78,4 +87,5 @@ QUERIES = {
 TWINS = {
     "op1_quality_rules": quality.TWIN,
     "op6_line_dedup": linededup.TWIN,
+    "op7_chat_format": chat.TWIN,
 }
