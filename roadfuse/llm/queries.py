@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, linededup, quality, tokenfile
+from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, tokenfile, warc
 from roadfuse.llm.shared import shared_folder, written
 
 
@@ -39,6 +39,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    files = written(warc.write_archives(pages, shared_folder(spark, "warc-files"), least_bytes=0), "warc-manifest")
+    # The last chunk of a record carries the size and the digest of all.
+    return warc.read_chunks(files).filter("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +74,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.array_min(F.transform("licenses", lambda x: x["contained"])).alias("least_contained"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, _table(spark, sf_dir, "benchmark"))
@@ -77,10 +94,12 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op4_warc_chunks": op4_warc_chunks,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 

@@ -49,9 +49,9 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, size: int = 1 << 22) -> Iterato
         row = end
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, row) of every word; ``offsets`` start at 0."""
-    letter = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, row) of every word; ``offsets`` start at 0, ``outside`` marks bytes of no word."""
+    letter = ~outside[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], letter))[: len(raw)]
