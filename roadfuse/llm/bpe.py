@@ -26,17 +26,20 @@ from roadfuse.llm.shared import remembered
 from roadfuse.llm.wordhash import hash_spans, ragged, strings
 
 #: Bytes of text that share one slice.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 6_000_000
 _NONE = np.int32(2**31 - 1)
 
 
+def _read(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
+
+
 class Ranks:
-    """Token bytes of a rank file, and the rank of each pair of tokens that a merge can join."""
+    """Ranks of a file's tokens, and the rank of each pair of tokens that a merge can join."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
-        self.token = {rank: token for token, rank in self.rank.items()}
+        self.rank = _read(path)
         pairs = [
             (left * 2**32 + right, rank)
             for token, rank in self.rank.items()
@@ -175,6 +178,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(ids)).schema)
 
 
+def _letters(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per rank its number of bytes (-1: no such token) and their start in the third array."""
+    by_rank = sorted((rank, token) for token, rank in _read(path).items())
+    lengths = np.full(by_rank[-1][0] + 1 if by_rank else 0, -1, np.int64)
+    lengths[[rank for rank, _ in by_rank]] = [len(token) for _, token in by_rank]
+    own = np.maximum(lengths, 0)
+    return lengths, np.cumsum(own) - own, np.frombuffer(b"".join(token for _, token in by_rank), np.uint8)
+
+
 def decode(tokens: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``tokens`` with the column ``data`` binary: the bytes of the array<int> column ``ids``.
 
@@ -183,13 +195,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", data: str = "decoded"
     tokens = tokens.drop(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Ranks(path).token
-        size = max(token, default=0) + 1
-        lengths = np.full(size, -1, np.int64)
-        for rank, own in token.items():
-            lengths[rank] = len(own)
-        starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
-        letters = np.frombuffer(b"".join(token[r] for r in sorted(token)), np.uint8)
+        lengths, starts, letters = remembered(("tokens of ranks", path), lambda: _letters(path))
         for batch in batches:
             out = []
             for row in batch.column(batch.schema.get_field_index(ids)):
@@ -197,7 +203,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", data: str = "decoded"
                     out.append(None)
                     continue
                 own = row.values.to_numpy(zero_copy_only=False)
-                if len(own) and (own.min() < 0 or own.max() >= size or lengths[own].min() < 0):
+                if len(own) and (own.min() < 0 or own.max() >= len(lengths) or lengths[own].min() < 0):
                     raise ValueError("an id has no token in this vocabulary")
                 out.append(letters[ragged(starts[own], lengths[own])].tobytes())
             yield _with_column(batch, data, pa.array(out, pa.binary()))

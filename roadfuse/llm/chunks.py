@@ -57,7 +57,7 @@ class ChunkEncoder:
     That bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 2_500_000):
+    def __init__(self, encode: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
         self._encode, self._most = encode, most
         self._reset()
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, tokenfile, warc
-from roadfuse.llm.shared import shared_folder, written
+from roadfuse.llm.shared import shared_folder, small_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

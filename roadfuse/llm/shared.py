@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{use_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches: a thousand long texts already fill a task's share of an executor outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read again.
 
