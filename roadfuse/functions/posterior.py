@@ -17,9 +17,14 @@ def z_score(x: Column, mean: float, std: float) -> Column:
 
 
 def density(component: Component, z0: Column, z1: Column) -> Column:
-    """Weighted 2-D normal density. It may underflow to 0, which marks a degenerate point."""
+    """Weighted 2-D normal density. It may underflow to 0, which marks a degenerate point.
+
+    A stored covariance without an inverse gives 0 everywhere.
+    """
     (a, b), (c, d) = component.sigma
     det = a * d - b * c
+    if not det > 0:
+        return z0 * 0.0
     dx, dy = z0 - component.mu[0], z1 - component.mu[1]
     q = (dx * dx * d - dx * dy * (b + c) + dy * dy * a) / det
     return F.exp(q * -0.5) * (component.weight / (2.0 * math.pi * math.sqrt(det)))
@@ -31,10 +36,9 @@ def score_columns(df: DataFrame, model: SensorModel) -> DataFrame:
     Everything is column arithmetic over model literals: one projection, no join. Ties go to
     the class that comes first in component order.
     """
-    s = model.standardization
     ratio, gbar = features.classifier_features(F.col("magnitude"), F.col("accel_std"), F.col("gbar_in_max"))
     out = df.withColumns(
-        {"_z0": z_score(ratio, s.ratio_mean, s.ratio_std), "_z1": z_score(gbar, s.gbar_mean, s.gbar_std)}
+        {f"_z{i}": z_score(x, m, s) for i, (x, m, s) in enumerate(zip((ratio, gbar), model.centre, model.spread))}
     )
     out = out.withColumns(
         {f"_d{i}": density(c, F.col("_z0"), F.col("_z1")) for i, c in enumerate(model.components)}
@@ -58,7 +62,7 @@ def score_columns(df: DataFrame, model: SensorModel) -> DataFrame:
             "sensor_class": F.when(F.col("_degenerate"), F.lit(CLASS_NOT)).otherwise(winner),
             "sensor_p_pothole": F.when(F.col("_degenerate"), F.lit(0.0)).otherwise(pothole),
             "sensor_severity": features.severity(
-                F.col("magnitude"), F.col("speed_mps"), model.severity.speed_ref, model.severity.scale
+                F.col("magnitude"), F.col("speed_mps"), model.pace_floor, model.impact_scale
             ),
         }
     )

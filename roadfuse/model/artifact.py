@@ -11,20 +11,6 @@ from pyspark.sql import functions as F
 from roadfuse.schema import table_schema
 
 
-@dataclass(frozen=True)
-class Standardization:
-    ratio_mean: float
-    ratio_std: float
-    gbar_mean: float
-    gbar_std: float
-
-
-@dataclass(frozen=True)
-class SeverityCalibration:
-    speed_ref: float = 5.0
-    scale: float = 2.0
-
-
 @dataclass(frozen=True)
 class Component:
     mu: tuple[float, float]
@@ -49,9 +35,13 @@ class ForestNode:
 @dataclass(frozen=True)
 class SensorModel:
     version: str
-    standardization: Standardization
     components: tuple[Component, ...]
-    severity: SeverityCalibration = SeverityCalibration()
+    #: Mean and deviation of the two classifier features, in their order.
+    centre: tuple[float, float] = (0.0, 0.0)
+    spread: tuple[float, float] = (1.0, 1.0)
+    #: Speed below which severity stops growing, and impact per unit of speed that counts as 1.
+    pace_floor: float = 5.0
+    impact_scale: float = 2.0
     k: int = 3
     n_observations: int = 0
     bic: float | None = None
@@ -63,15 +53,14 @@ class SensorModel:
 
 def model_rows(spark: SparkSession, model: SensorModel, fitted_at: datetime.datetime) -> DataFrame:
     """The model as one row of ``sensor_model``."""
-    s = model.standardization
     row = (
         model.version,
         model.k,
         model.n_observations,
         model.bic,
-        ((s.ratio_mean, s.ratio_std), (s.gbar_mean, s.gbar_std)),
+        tuple(zip(model.centre, model.spread)),
         [(list(c.mu), [list(r) for r in c.sigma], c.weight, c.label) for c in model.components],
-        (model.severity.speed_ref, model.severity.scale),
+        (model.pace_floor, model.impact_scale),
         model.forest_sample,
         model.outlier_threshold,
         fitted_at,
@@ -94,22 +83,21 @@ def activation_rows(spark: SparkSession, version: str, at: datetime.datetime) ->
 
 def load_active(models: DataFrame, forests: DataFrame, activations: DataFrame) -> SensorModel | None:
     """The active model, or None. Reads one model row and its bounded forest."""
-    latest = activations.agg(F.max_by("model_version", "activated_at").alias("v")).first()
+    latest = activations.agg(F.max_by("model_version", F.struct("activated_at", "model_version")).alias("v")).first()
     if latest is None or latest.v is None:
         return None
     r = models.filter(F.col("model_version") == latest.v).first()
     nodes = forests.filter(F.col("model_version") == latest.v).orderBy("tree_id", "node_id").collect()
     return SensorModel(
         version=r.model_version,
-        standardization=Standardization(
-            r.standardization.ratio.mean, r.standardization.ratio.std,
-            r.standardization.gbar.mean, r.standardization.gbar.std,
-        ),
+        centre=(r.standardization.ratio.mean, r.standardization.gbar.mean),
+        spread=(r.standardization.ratio.std, r.standardization.gbar.std),
         components=tuple(
             Component(tuple(c.mu), tuple(tuple(row) for row in c.sigma), c.weight, c["class"])
             for c in r.components
         ),
-        severity=SeverityCalibration(r.severity_calib.speed_ref, r.severity_calib.scale),
+        pace_floor=r.severity_calib.speed_ref,
+        impact_scale=r.severity_calib.scale,
         k=r.k,
         n_observations=r.n_observations,
         bic=r.bic,

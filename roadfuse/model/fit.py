@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadfuse.config import Config
 from roadfuse.functions.posterior import score_columns
 from roadfuse.model import forest, mixture
-from roadfuse.model.artifact import SensorModel, SeverityCalibration
+from roadfuse.model.artifact import SensorModel
 
 log = logging.getLogger(__name__)
 
@@ -28,16 +28,18 @@ def fit_model(rows: DataFrame, cfg: Config) -> SensorModel:
     size = min(cfg.iforest_sample, stats.n)
     nodes = tuple(forest.grow_forest(rows, stats.n, cfg.iforest_trees, size, cfg.random_state))
     return SensorModel(
-        version=f"sensor_gmm_v1_{uuid4().hex[:12]}",
-        standardization=stats.standardization,
+        version=f"mixture-{uuid4()}",
+        centre=stats.centre,
+        spread=stats.spread,
         components=mix.components,
-        severity=SeverityCalibration(cfg.severity_speed_ref, cfg.severity_scale),
+        pace_floor=cfg.severity_speed_ref,
+        impact_scale=cfg.severity_scale,
         k=cfg.fit_k,
         n_observations=stats.n,
         bic=mix.bic,
         forest=nodes,
         forest_sample=size,
-        outlier_threshold=forest.outlier_threshold(rows, stats.n, nodes, size, cfg.iforest_contamination),
+        outlier_threshold=forest.outlier_threshold(rows, nodes, size, cfg.iforest_contamination),
     )
 
 

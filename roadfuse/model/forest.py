@@ -10,15 +10,16 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadfuse.functions import features
 from roadfuse.model.artifact import ForestNode
+from roadfuse.operators.quantile import exact_quantile
 
 _FEATURES = [f"x{i}" for i in range(len(features.OUTLIER_FEATURES))]
 _NODE = "tree_id int, node_id int, feature int, threshold double, left int, right int, path_length double"
-_EXACT_QUANTILE_ROWS = 5_000_000
 
 
 def average_path(n: float) -> float:
@@ -36,14 +37,14 @@ def outlier_inputs(df: DataFrame) -> list[Column]:
     )
 
 
-def tree_samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
+def tree_samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int, excess: float = 2.0) -> DataFrame:
     """``sample`` rows per tree: those with the smallest hash of (id, tree).
 
-    Rows are thinned by hashes first, to about twice the need per tree: one hash decides
+    Rows are thinned by hashes first, to about ``excess`` times the need per tree: one hash decides
     whether a row is looked at for any tree, and only rows that are get one hash per tree. The
     data is never multiplied by the number of trees before the exact cut.
     """
-    rate = min(1.0, 2.0 * sample / n)
+    rate = min(1.0, excess * sample / n)
     looked_at = min(1.0, rate * trees)
 
     def below(share: float) -> int:
@@ -105,8 +106,17 @@ def grow_forest(rows: DataFrame, n: int, trees: int, sample: int, seed: int) ->
         out.insert(0, "tree_id", tree)
         return out
 
-    nodes = tree_samples(rows, n, trees, sample, seed).groupBy("tree_id").applyInPandas(build, _NODE)
-    return [ForestNode(*r) for r in sorted(tuple(r) for r in nodes.collect())]
+    excess = 2.0
+    while True:
+        picked = tree_samples(rows, n, trees, sample, seed, excess).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            full = picked.groupBy("tree_id").count().filter(F.col("count") >= size).count()
+            if full == trees or excess * sample >= n:
+                nodes = picked.groupBy("tree_id").applyInPandas(build, _NODE)
+                return [ForestNode(*r) for r in sorted(tuple(r) for r in nodes.collect())]
+        finally:
+            picked.unpersist()
+        excess *= 2  # a tree fell short of its sample
 
 
 def _flatten(nodes: tuple[ForestNode, ...]) -> dict[str, np.ndarray]:
@@ -153,11 +163,10 @@ def anomaly_score(df: DataFrame, nodes: tuple[ForestNode, ...], sample: int) ->
     return F.pow(F.lit(2.0), -mean_path(*[c.cast("double") for c in outlier_inputs(df)]) / average_path(sample))
 
 
-def outlier_threshold(rows: DataFrame, n: int, nodes, sample: int, contamination: float) -> float:
-    """Cut of ``-score`` below which a training row counts as an outlier."""
-    scored = rows.select((-anomaly_score(rows, nodes, sample)).alias("s"))
-    if n <= _EXACT_QUANTILE_ROWS:
-        cut = F.percentile("s", F.lit(contamination))
-    else:
-        cut = F.percentile_approx("s", F.lit(contamination), F.lit(100_000))
-    return float(scored.agg(cut.alias("t")).first().t)
+def outlier_threshold(rows: DataFrame, nodes, sample: int, contamination: float) -> float:
+    """Cut of ``-score`` below which a training row counts as an outlier: an exact quantile at every size."""
+    scored = rows.select((-anomaly_score(rows, nodes, sample)).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return exact_quantile(scored, "s", contamination)
+    finally:
+        scored.unpersist()

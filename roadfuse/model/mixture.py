@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.config import CLASSES
 from roadfuse.functions import features
 from roadfuse.functions.posterior import z_score
-from roadfuse.model.artifact import Component, Standardization
+from roadfuse.model.artifact import Component
 
-
-_POINTS_PER_TASK = 50_000
+#: Rows that the starts of all restarts are chosen from; passes over the data at most; added to every variance.
+START_ROWS, MAX_PASSES, FLOOR = 2048, 100, 1e-6
+#: A restart stops once its log-likelihood per row grows by less than this.
+_TOLERANCE = 1e-3
 
 
 class FitError(RuntimeError):
@@ -27,8 +28,11 @@ class FitError(RuntimeError):
 
 
 class FitStats(NamedTuple):
+    """Rows, and mean and deviation of the two features."""
+
     n: int
-    standardization: Standardization
+    centre: tuple[float, float]
+    spread: tuple[float, float]
 
 
 class Mixture(NamedTuple):
@@ -58,15 +62,10 @@ def feature_stats(rows: DataFrame) -> DataFrame:
 def check_fittable(rows: DataFrame, k: int) -> FitStats:
     r = feature_stats(rows).first()
     if r.n < k:
-        raise FitError(f"need at least {k} observations, got {r.n}")
-    if r.ratio_std <= 0 and r.gbar_std <= 0:
-        raise FitError("features have zero variance")
-    return FitStats(r.n, Standardization(r.ratio_mean, r.ratio_std, r.gbar_mean, r.gbar_std))
-
-
-def energy_order(means: np.ndarray) -> list[int]:
-    """Component indices by ascending norm of the mean; ties keep their order."""
-    return [int(i) for i in np.argsort(np.linalg.norm(means, axis=1), kind="stable")]
+        raise FitError(f"{r.n} rows are too few for {k} components")
+    if max(r.ratio_std, r.gbar_std) <= 0:
+        raise FitError("all rows have the same features")
+    return FitStats(r.n, (r.ratio_mean, r.gbar_mean), (r.ratio_std, r.gbar_std))
 
 
 def bic(log_likelihood: float, n: int, k: int, d: int = 2) -> float:
@@ -74,50 +73,118 @@ def bic(log_likelihood: float, n: int, k: int, d: int = 2) -> float:
     return -2.0 * log_likelihood + free * math.log(n)
 
 
-def weighted_points(rows: DataFrame, s: Standardization) -> DataFrame:
-    """Standardised feature vectors, equal ones collapsed to one row with a weight."""
-    ratio, gbar = features.classifier_features(F.col("magnitude"), F.col("accel_std"), F.col("gbar_in_max"))
-    points = rows.select(
-        z_score(ratio, s.ratio_mean, s.ratio_std).alias("z0"), z_score(gbar, s.gbar_mean, s.gbar_std).alias("z1")
-    )
-    counted = points.groupBy("z0", "z1").agg(F.count("*").cast("double").alias("weight"))
-    return VectorAssembler(inputCols=["z0", "z1"], outputCol="features").transform(counted)
+def standard_points(rows: DataFrame, stats: FitStats) -> DataFrame:
+    """The standardised features z0 and z1, and a hash of the row's id that starts are chosen by."""
+    both = features.classifier_features(F.col("magnitude"), F.col("accel_std"), F.col("gbar_in_max"))
+    z = [z_score(x, m, s).alias(f"z{i}") for i, (x, m, s) in enumerate(zip(both, stats.centre, stats.spread))]
+    return rows.select(*z, F.md5("client_id").alias("h"))
+
+
+class Parameters:
+    """Weights, means and covariances of several restarts at once: arrays of (restart, component, ...)."""
+
+    def __init__(self, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray):
+        self.weight, self.mean, self.cov = weight, mean, cov
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """(row, restart, component): log of each weighted density."""
+        a, b, d = self.cov[..., 0, 0], self.cov[..., 0, 1], self.cov[..., 1, 1]
+        det = a * d - b * b
+        dx = x[:, None, None, :] - self.mean
+        q = (dx[..., 0] ** 2 * d - 2 * dx[..., 0] * dx[..., 1] * b + dx[..., 1] ** 2 * a) / det
+        return np.log(self.weight) - math.log(2 * math.pi) - 0.5 * (np.log(det) + q)
+
+    def statistics(self, x: np.ndarray) -> np.ndarray:
+        """(restart, component, 7): shares, their first and second moments, and the log-likelihood in the first component."""
+        logs = self.log_density(x)
+        top = logs.max(2, keepdims=True)
+        total = top[..., 0] + np.log(np.exp(logs - top).sum(2))
+        share = np.exp(logs - total[..., None])
+        moments = np.column_stack([np.ones(len(x)), x, x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2])
+        out = np.zeros((*self.weight.shape, 7))
+        out[..., :6] = np.einsum("nrk,nm->rkm", share, moments)
+        out[:, 0, 6] = total.sum(0)
+        return out
+
+    @classmethod
+    def maximised(cls, s: np.ndarray) -> Parameters:
+        n = np.maximum(s[..., 0], 1e-12)
+        mean = s[..., 1:3] / n[..., None]
+        second = s[..., [3, 4, 4, 5]].reshape(*s.shape[:2], 2, 2) / n[..., None, None]
+        cov = second - mean[..., :, None] * mean[..., None, :]
+        cov[..., [0, 1], [0, 1]] = np.maximum(cov[..., [0, 1], [0, 1]], 0) + FLOOR
+        # Rounding may leave a correlation just above one.
+        most = np.sqrt(cov[..., 0, 0] * cov[..., 1, 1]) * (1 - 1e-9)
+        cov[..., 0, 1] = cov[..., 1, 0] = np.clip(cov[..., 0, 1], -most, most)
+        return cls(n / n.sum(1, keepdims=True), mean, cov)
+
+
+def _starts(sample: np.ndarray, k: int, seed: int, restarts: int) -> Parameters:
+    """Spread-out means drawn from the sample, each restart by its own generator, and the clusters around them."""
+    all_stats = np.zeros((restarts, k, 7))
+    for r in range(restarts):
+        rng = np.random.default_rng([seed, r])
+        means = [sample[rng.integers(len(sample))]]
+        while len(means) < k:
+            gap = np.min([((sample - m) ** 2).sum(1) for m in means], axis=0)
+            means.append(sample[rng.choice(len(sample), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(sample))])
+        near = np.argmin([((sample - m) ** 2).sum(1) for m in means], axis=0)
+        for j in range(k):
+            x = sample[near == j] if (near == j).any() else means[j][None, :]
+            all_stats[r, j, :6] = len(x), *x.sum(0), (x[:, 0] ** 2).sum(), (x[:, 0] * x[:, 1]).sum(), (x[:, 1] ** 2).sum()
+    return Parameters.maximised(all_stats)
+
+
+def expectation(points: DataFrame, now: Parameters) -> np.ndarray:
+    """Sums of ``statistics`` over all rows; one row of sums per task is added up."""
+    parts, shape = (now.weight, now.mean, now.cov), (*now.weight.shape, 7)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, own = np.zeros(shape), Parameters(*parts)
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy() for i in (0, 1)])
+            for lo in range(0, len(x), 2048):
+                total += own.statistics(x[lo : lo + 2048])
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = points.select("z0", "z1").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(math.prod(shape))
+    for row in sums:
+        out[row.i] = row.v
+    return out.reshape(shape)
 
 
 def fit_mixture(rows: DataFrame, stats: FitStats, k: int, seed: int, restarts: int) -> Mixture:
-    """Best of ``restarts`` full-covariance fits; components come out in energy order.
+    """Best of ``restarts`` full-covariance fits; components come out by their energy.
 
-    The lowest-energy component is the first class, the next the second; ranks beyond the
-    taxonomy share the top class. Only k means and covariances reach the driver.
+    Expectation maximisation: one aggregation per pass serves all restarts that still move. Starts
+    are drawn from the ``START_ROWS`` rows with the smallest md5 of their id, so neither they nor the result depend on
+    how rows are dealt out. Components are ordered by the squared length of their mean, then by
+    weight; the first is the first class, and those beyond the taxonomy share its last.
     """
-    points = weighted_points(rows, stats.standardization).select("features", "weight")
-    # Many short passes: tasks of at least this many points.
-    points = points.coalesce(math.ceil(stats.n / _POINTS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def attempt(i: int):
-        # The stop rule is 1e-3 of log-likelihood per row.
-        fitted = GaussianMixture(
-            k=k, seed=seed + i, maxIter=100, tol=1e-3 * stats.n, weightCol="weight"
-        ).fit(points)
-        parts = [(g.mean.toArray(), g.cov.toArray()) for g in fitted.gaussiansDF.collect()]
-        return fitted.summary.logLikelihood, list(fitted.weights), parts
-
+    points = standard_points(rows, stats).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        points.count()
-        with ThreadPool(min(restarts, 8)) as pool:
-            attempts = pool.map(inheritable_thread_target(rows.sparkSession)(attempt), range(restarts))
+        start = points.orderBy("h", "z0", "z1").limit(START_ROWS).select("z0", "z1").collect()
+        now = _starts(np.array([(r.z0, r.z1) for r in start]), k, seed, restarts)
+        likelihood, moving = np.full(restarts, -np.inf), np.arange(restarts)
+        for _ in range(MAX_PASSES):
+            part = Parameters(now.weight[moving], now.mean[moving], now.cov[moving])
+            sums = expectation(points, part)
+            better = Parameters.maximised(sums)
+            now.weight[moving], now.mean[moving], now.cov[moving] = better.weight, better.mean, better.cov
+            gain = sums[:, 0, 6] - likelihood[moving]
+            likelihood[moving] = sums[:, 0, 6]
+            moving = moving[gain >= _TOLERANCE * stats.n]
+            if not len(moving):
+                break
+        likelihood = expectation(points, now)[:, 0, 6]
     finally:
         points.unpersist()
-    ll, weights, parts = max(attempts, key=lambda a: a[0])
-    components = []
-    for rank, i in enumerate(energy_order(np.array([m for m, _ in parts]))):
-        mean, cov = parts[i]
-        components.append(
-            Component(
-                mu=tuple(float(v) for v in mean),
-                sigma=tuple(tuple(float(v) for v in row) for row in cov),
-                weight=float(weights[i]),
-                label=CLASSES[min(rank, len(CLASSES) - 1)],
-            )
-        )
-    return Mixture(tuple(components), ll, bic(ll, stats.n, k))
+    best = int(np.argmax(likelihood))
+    energy = (now.mean[best] ** 2).sum(1)
+    labels = [*CLASSES, *[CLASSES[-1]] * k]
+    components = tuple(
+        Component(tuple(map(float, now.mean[best, i])), tuple(tuple(map(float, row)) for row in now.cov[best, i]), float(now.weight[best, i]), label)
+        for label, i in zip(labels, sorted(range(k), key=lambda i: (energy[i], now.weight[best, i])))
+    )
+    return Mixture(components, float(likelihood[best]), bic(float(likelihood[best]), stats.n, k))

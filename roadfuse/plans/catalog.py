@@ -9,12 +9,13 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadfuse.functions import features, geo
 from roadfuse.model import fit, forest, mixture
-from roadfuse.operators import clusters, ingest, members, pairing, quality, ratelimit, readpath, reconcile, upsert, validate
+from roadfuse.operators import clusters, ingest, members, pairing, quality, quantile, ratelimit, readpath, reconcile, upsert, validate
 from roadfuse.plans import jobs, stages
 from roadfuse.plans import twins as t
 from roadfuse.plans.stages import AS_OF, CFG, EARLIER_RUN, RUN_ID
@@ -107,6 +108,71 @@ def score_fixed_model(spark, sf):
     )
 
 
+@register(
+    "feature_quantiles",
+    t.twin(
+        " UNION ALL ".join(
+            f"SELECT {q}::DOUBLE AS q, round(quantile_cont(r, {q}), 9) AS ratio, round(quantile_cont(g, {q}), 9) AS gbar"
+            f" FROM (SELECT {t.RATIO} AS r, coalesce(gbar_in_max, 0) AS g FROM observation"
+            " WHERE magnitude IS NOT NULL AND accel_std IS NOT NULL)"
+            for q in (0.05, 0.5, 0.95)
+        )
+    ),
+)
+def feature_quantiles(spark, sf):
+    """The exact quantile behind the forest's threshold, over the two classifier features."""
+    rows = mixture.fittable(adapter.observations(spark, sf))
+    ratio, gbar = features.classifier_features(F.col("magnitude"), F.col("accel_std"), F.col("gbar_in_max"))
+    rows = rows.select(ratio.alias("ratio"), gbar.alias("gbar"))
+    out = [(q, *[round(quantile.exact_quantile(rows, c, q), 9) for c in ("ratio", "gbar")]) for q in (0.05, 0.5, 0.95)]
+    return spark.createDataFrame(out, "q double, ratio double, gbar double")
+
+
+def _em_twin() -> tuple[str, list[str]]:
+    """Three passes of expectation maximisation from fixed starts, written out."""
+    means = [(-0.8, -0.8), (0.2, 0.2), (1.5, 1.5)]
+    ctes = ["em_p AS (SELECT (r - rm) / rs AS x, (g - gm) / gs AS y FROM em_f, (SELECT avg(r) AS rm, stddev_pop(r) AS rs, avg(g) AS gm, stddev_pop(g) AS gs FROM em_f))"]
+    start = " UNION ALL ".join(f"SELECT {j} AS j, 1.0::DOUBLE / 3 AS w, {a}::DOUBLE AS a, {b}::DOUBLE AS b, 1.0::DOUBLE AS xx, 0.0::DOUBLE AS xy, 1.0::DOUBLE AS yy" for j, (a, b) in enumerate(means))
+    ctes.append(f"em_m0 AS ({start})")
+    for i in range(3):
+        ctes.append(
+            f"em_d{i} AS (SELECT x, y, j, w / (2 * pi() * sqrt(xx * yy - xy * xy)) * exp(-0.5 * ((x - a) * (x - a) * yy"
+            f" - 2 * (x - a) * (y - b) * xy + (y - b) * (y - b) * xx) / (xx * yy - xy * xy)) AS d, n FROM"
+            f" (SELECT *, row_number() OVER () AS n FROM em_p), em_m{i})"
+        )
+        ctes.append(f"em_s{i} AS (SELECT x, y, j, d / sum(d) OVER (PARTITION BY n) AS s, ln(sum(d) OVER (PARTITION BY n)) AS l FROM em_d{i})")
+        ctes.append(
+            f"em_m{i + 1} AS (SELECT j, sum(s) / sum(sum(s)) OVER () AS w, sum(s * x) / sum(s) AS a, sum(s * y) / sum(s) AS b,"
+            f" sum(s * x * x) / sum(s) - (sum(s * x) / sum(s)) ** 2 + 1e-6 AS xx, sum(s * x * y) / sum(s) - sum(s * x) * sum(s * y) / sum(s) ** 2 AS xy,"
+            f" sum(s * y * y) / sum(s) - (sum(s * y) / sum(s)) ** 2 + 1e-6 AS yy, sum(l) / 1.0 AS l FROM em_s{i} GROUP BY j)"
+        )
+    base = f"em_f AS (SELECT {t.RATIO} AS r, coalesce(gbar_in_max, 0) AS g FROM observation WHERE magnitude IS NOT NULL AND accel_std IS NOT NULL)"
+    columns = ", ".join(f"round({c}, 6) AS {c}" for c in ("w", "a", "b", "xx", "xy", "yy"))
+    return f"SELECT j, {columns}, round(l / (SELECT count(*) FROM em_p), 6) AS mean_log_likelihood FROM em_m3", [base, *ctes]
+
+
+_EM_SELECT, _EM_STEPS = _em_twin()
+
+
+@register("gmm_em_steps", t.twin(_EM_SELECT, *_EM_STEPS))
+def gmm_em_steps(spark, sf):
+    """Parameters after three passes from fixed starts, and the log-likelihood per row that the third one saw."""
+    rows = mixture.fittable(adapter.observations(spark, sf))
+    stats = mixture.check_fittable(rows, 3)
+    points = mixture.standard_points(rows, stats)
+    means = np.array([[(-0.8, -0.8), (0.2, 0.2), (1.5, 1.5)]])
+    now = mixture.Parameters(np.full((1, 3), 1 / 3), means, np.tile(np.eye(2), (1, 3, 1, 1)))
+    for _ in range(3):
+        sums = mixture.expectation(points, now)
+        now = mixture.Parameters.maximised(sums)
+    out = [
+        (j, *[round(float(v), 6) for v in (now.weight[0, j], *now.mean[0, j], now.cov[0, j, 0, 0], now.cov[0, j, 0, 1], now.cov[0, j, 1, 1])],
+         round(float(sums[0, 0, 6]) / stats.n, 6))
+        for j in range(3)
+    ]
+    return spark.createDataFrame(out, "j int, w double, a double, b double, xx double, xy double, yy double, mean_log_likelihood double")
+
+
 @register("fit_gmm")
 def fit_gmm(spark, sf):
     rows = mixture.fittable(adapter.observations(spark, sf))
@@ -124,7 +190,7 @@ def iforest_scores(spark, sf):
     n = rows.count()
     size = min(CFG.iforest_sample, n)
     nodes = tuple(forest.grow_forest(rows, n, CFG.iforest_trees, size, CFG.random_state))
-    cut = forest.outlier_threshold(rows, n, nodes, size, CFG.iforest_contamination)
+    cut = forest.outlier_threshold(rows, nodes, size, CFG.iforest_contamination)
     scored = rows.select("client_id", forest.anomaly_score(rows, nodes, size).alias("score"))
     return scored.select("client_id", "score", (-F.col("score") < cut).alias("is_outlier"))
 

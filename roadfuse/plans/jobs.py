@@ -20,6 +20,7 @@ from roadfuse.model.artifact import SensorModel, activation_rows, forest_rows, l
 from roadfuse.model.fit import fit_sensor_model, score_observations
 from roadfuse.operators import clusters as clustering
 from roadfuse.operators import ingest, members, pairing, ratelimit, reconcile, upsert
+from roadfuse.operators.validate import batch_rules, envelope_rules, failures
 from roadfuse.schema import table_schema
 from roadfuse.session import cut_lineage
 from roadfuse.sources.tables import Tables
@@ -56,8 +57,8 @@ def decide(requests: DataFrame, tables: Tables, cfg: Config, batch: str) -> Data
 
 def admit(
     uploads: DataFrame, resource: str, items: Column, tables: Tables, cfg: Config, batch: str
-) -> DataFrame:
-    """Upload requests that are within the limit; each counts with its number of items."""
+) -> tuple[DataFrame, DataFrame]:
+    """(uploads within the limit, refused ones as rejections); each counts with its number of items."""
     requests = uploads.select(
         F.trim("device_id").alias("device_id"),
         F.lit(resource).alias("resource"),
@@ -65,25 +66,54 @@ def admit(
         "received_at",
         items.cast("long").alias("n"),
     )
-    allowed = decide(requests, tables, cfg, batch).filter("allowed").select("request_id")
-    return uploads.join(allowed, "request_id", "left_semi")
+    decided = decide(requests, tables, cfg, batch)
+    refused = decided.filter("not allowed").select("request_id", F.array(F.lit("rate_limited")).alias("reasons"))
+    return uploads.join(decided.filter("allowed").select("request_id"), "request_id", "left_semi"), refused
+
+
+def _within_limit(
+    uploads: DataFrame, rules: dict[str, Column], resource: str, items: Column, tables: Tables, cfg: Config, batch: str
+) -> tuple[DataFrame, DataFrame]:
+    """Malformed and ill-formed requests pass by the limiter, to be rejected by ingest with their own reasons."""
+    sound = F.coalesce(F.col("_corrupt").isNull() & (F.size(failures(rules)) == 0), F.lit(False))
+    admitted, refused = admit(uploads.filter(sound), resource, items, tables, cfg, batch)
+    return admitted.unionByName(uploads.filter(~sound)), refused
+
+
+def _store(
+    result: ingest.IngestResult, refused: DataFrame | None, name: str, resource: str, tables: Tables, batch: str
+) -> ingest.IngestResult:
+    """Appends new rows and the outcome of every upload: accepted, rejected or refused."""
+    rejected = result.rejected
+    if refused is not None:
+        rejected = rejected.unionByName(refused, allowMissingColumns=True)
+    tables.append(name, result.new_rows, batch)
+    tables.append("ingest_accepted", result.accepted.withColumn("resource", F.lit(resource)), f"{resource}-{batch}")
+    tables.append("ingest_rejected", rejected.withColumn("resource", F.lit(resource)), f"{resource}-{batch}")
+    return result._replace(rejected=rejected)
 
 
 def run_ingest_observations(
-    envelopes: DataFrame, tables: Tables, cfg: Config, batch: str, mode: str = "per_row"
+    envelopes: DataFrame, tables: Tables, cfg: Config, batch: str, mode: str = "per_row", limited: bool = True
 ) -> ingest.IngestResult:
-    """Appends the new rows; the caller reads the outcome and unpersists ``checked``."""
+    """Limits, validates and appends; stores what became of each upload. The caller unpersists ``checked``."""
+    refused = None
+    if limited:
+        rules = envelope_rules() | batch_rules(cfg)
+        envelopes, refused = _within_limit(envelopes, rules, "events", F.size("events"), tables, cfg, batch)
     result = ingest.ingest_observations(envelopes, tables.read("observation"), cfg, mode)
-    tables.append("observation", result.new_rows, batch)
-    return result
+    return _store(result, refused, "observation", "events", tables, batch)
 
 
 def run_ingest_frames(
-    metadata: DataFrame, blobs: DataFrame, tables: Tables, cfg: Config, batch: str
+    metadata: DataFrame, blobs: DataFrame, tables: Tables, cfg: Config, batch: str, limited: bool = True
 ) -> ingest.IngestResult:
+    """As for observations; a frame counts once."""
+    refused = None
+    if limited:
+        metadata, refused = _within_limit(metadata, envelope_rules(), "frames", F.lit(1), tables, cfg, batch)
     result = ingest.ingest_frames(metadata, blobs, tables.read("frame"), cfg)
-    tables.append("frame", result.new_rows, batch)
-    return result
+    return _store(result, refused, "frame", "frames", tables, batch)
 
 
 # ── model ──────────────────────────────────────────────────────────────────────

@@ -76,6 +76,8 @@ TABLES = {
         "left INT, right INT, path_length DOUBLE"
     ),
     "model_activation": "model_version STRING, activated_at TIMESTAMP",
+    "ingest_accepted": "resource STRING, request_id STRING, pos INT, client_id STRING",
+    "ingest_rejected": "resource STRING, request_id STRING, pos INT, client_id STRING, reasons ARRAY<STRING>",
     "rate_limit_decision": (
         "device_id STRING, resource STRING, request_id STRING, received_at TIMESTAMP, n LONG, "
         "current LONG, limit LONG, allowed BOOLEAN"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,11 @@ def local_session(cores: str | int = "*", app: str = "roadfuse", **conf) -> Spar
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The shared checkpoint folder of the session, as ``spark.checkpoint.dir`` names it.
 
-    A cluster must name one in ``spark.checkpoint.dir``; only a local master, where every
-    task shares the driver's disk, may fall back to a temporary folder.
+    A cluster must name one, and should set ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    so that rounds of a loop don't stay for ever. Only where driver and tasks are one process
+    (``local[...]``: tests, notebooks) is a folder made if none is named.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,7 +41,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="roadfuse-checkpoint-")
     sc.setCheckpointDir(folder)

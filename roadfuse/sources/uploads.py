@@ -49,13 +49,16 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
     ).select(*kept, "device_id", "pos", "_e.*")
 
 
-def read_frame_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and leading bytes of every blob; the content itself goes no further."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", "length", F.substring("content", 1, 3).alias("head"))
-    )
+def read_frame_blobs(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """Path, size and leading bytes of every blob; the content itself goes no further.
+
+    Sizes come from the listing. Only blobs of 1 to ``max_bytes`` bytes are opened, because the
+    filter on length reaches the source; the others have a null head.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length").between(1, max_bytes)
+    opened = files.filter(fits).select("path", "length", F.substring("content", 1, 3).alias("head"))
+    return opened.unionByName(files.filter(~fits).select("path", "length", F.lit(None).cast("binary").alias("head")))
 
 
 def blob_path(device_id: Column, client_id: Column, bucket: str | None = None) -> Column:

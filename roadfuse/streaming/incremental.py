@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadfuse.config import Config
 from roadfuse.model.fit import score_observations
-from roadfuse.operators.validate import batch_rules, envelope_rules, failures
 from roadfuse.plans import jobs
 from roadfuse.sources import uploads
 from roadfuse.sources.tables import Tables
@@ -44,20 +43,37 @@ def start_observation_ingest(
     limited: bool = True,
     mode: str = "per_row",
 ) -> StreamingQuery:
-    """JSON requests (``value``) -> rate limit -> validation -> new ``observation`` rows."""
+    """JSON requests (``value``) -> rate limit -> validation -> new ``observation`` rows.
+
+    Every upload ends in ``ingest_accepted`` or, with its reasons, in ``ingest_rejected``.
+    """
 
     def each(batch: DataFrame, name: str) -> None:
         envelopes = uploads.observation_envelopes_from_text(batch)
-        if limited:
-            # Requests refused for their envelope never reach the limiter.
-            rules = envelope_rules() | batch_rules(cfg)
-            sound = F.col("_corrupt").isNull() & (F.size(failures(rules)) == 0)
-            envelopes = jobs.admit(envelopes.filter(sound), "events", F.size("events"), tables, cfg, name)
-        jobs.run_ingest_observations(envelopes, tables, cfg, name, mode).checked.unpersist()
+        jobs.run_ingest_observations(envelopes, tables, cfg, name, mode, limited).checked.unpersist()
 
     return _start(text, "observation-ingest", checkpoint, trigger, each)
 
 
+def start_frame_ingest(
+    text: DataFrame,
+    blobs: str,
+    tables: Tables,
+    cfg: Config,
+    checkpoint: str,
+    trigger: dict | None = None,
+    limited: bool = True,
+) -> StreamingQuery:
+    """Frame metadata (``value``, JSON) and the folder of their blobs -> rate limit -> validation -> new ``frame`` rows."""
+
+    def each(batch: DataFrame, name: str) -> None:
+        metadata = uploads.frame_metadata_from_text(batch)
+        heads = uploads.read_frame_blobs(batch.sparkSession, blobs, cfg.max_frame_size_bytes)
+        jobs.run_ingest_frames(metadata, heads, tables, cfg, name, limited).checked.unpersist()
+
+    return _start(text, "frame-ingest", checkpoint, trigger, each)
+
+
 def start_rate_limit(
     requests: DataFrame, tables: Tables, cfg: Config, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -47,7 +47,7 @@ def test_ingest_stream_with_limit_and_repeats(spark, tmp_path):
     batches = [
         [text(0, ["a", "b"]), text(1, ["c", "bad" * 30])],
         [text(2, ["a", "d"]), text(3, ["e"], "dev-2")],
-        [text(4, ["f"])],
+        [text(4, ["f"]), "{not json", text(5, ["g"]).replace('"v1"', '"v9"')],
     ]
     for i, lines in enumerate(batches):
         spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.mode("append").text(str(source))
@@ -57,9 +57,52 @@ def test_ingest_stream_with_limit_and_repeats(spark, tmp_path):
         q.awaitTermination()
     # dev-1 has used 6 of 6 after the second batch; its seventh item is refused.
     assert sorted(r.client_id for r in tables.read("observation").collect()) == ["a", "b", "c", "d", "e"]
+    # Every upload has one outcome.
+    accepted = [(r.request_id, r.client_id) for r in tables.read("ingest_accepted").collect()]
+    rejected = {(r.request_id, r.client_id): tuple(r.reasons) for r in tables.read("ingest_rejected").collect()}
+    assert sorted(accepted) == [("r0", "a"), ("r0", "b"), ("r1", "c"), ("r2", "a"), ("r2", "d"), ("r3", "e")]
+    assert rejected == {
+        ("r1", "bad" * 30): ("client_id",), ("r4", None): ("rate_limited",), (None, None): ("malformed",), ("r5", None): ("accept_version",),
+    }
     assert {r.device_id: r.n for r in tables.read("device_rate_limit").groupBy("device_id").agg(F.sum("request_count").alias("n")).collect()} == {"dev-1": 7, "dev-2": 1}
 
 
+def test_frame_stream_limits_and_checks_blobs(spark, tmp_path):
+    tables, folder = Tables(spark, str(tmp_path / "t")), tmp_path / "blobs"
+    folder.mkdir()
+    jpeg = bytes([0xFF, 0xD8, 0xFF])
+    for name, content in {"ok": jpeg + b"x", "big": jpeg + b"x" * 500, "text": b"hello", "empty": b"", "late": jpeg}.items():
+        (folder / f"{name}.jpg").write_bytes(content)
+
+    def text(n, name):
+        return json.dumps(dict(
+            request_id=f"r{n}", device_id="dev-1", accept_version="v1", received_at=at(n).isoformat(), path=f"file:{folder}/{name}.jpg",
+            client_id=name, ts="2026-05-27T10:30:00Z", lat=43.0, lon=-79.0, device_p_on_device=0.5,
+        ))
+
+    source = tmp_path / "in"
+    lines = [text(i, name) for i, name in enumerate(["ok", "big", "text", "empty", "absent", "late"])]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(str(source))
+    cfg = Config(rate_limit_frames_per_hour=5, max_frame_size_bytes=100)
+    incremental.start_frame_ingest(spark.readStream.text(str(source)), str(folder), tables, cfg, str(tmp_path / "c")).awaitTermination()
+    assert [(r.client_id, r.jpeg_bytes) for r in tables.read("frame").collect()] == [("ok", 4)]
+    assert [r.client_id for r in tables.read("ingest_accepted").collect()] == ["ok"]
+    reasons = {r.request_id: tuple(r.reasons) for r in tables.read("ingest_rejected").collect()}
+    assert reasons == {"r1": ("too_large",), "r2": ("bad_magic",), "r3": ("empty",), "r4": ("empty",), "r5": ("rate_limited",)}
+
+
+def test_blob_heads_are_read_below_the_limit_only(spark, tmp_path):
+    from roadfuse.sources import uploads
+
+    for n in (0, 2, 50, 51):
+        (tmp_path / f"{n}.jpg").write_bytes(b"abc"[:n] + b"." * max(0, n - 3))
+    heads = uploads.read_frame_blobs(spark, str(tmp_path), 50)
+    # Spark lists no empty files; ingest counts a missing blob as empty.
+    assert {r.length: r.head and bytes(r.head) for r in heads.collect()} == {2: b"ab", 50: b"abc", 51: None}
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,50)" in plan
+
+
 def test_rate_limit_stream_equals_batch_and_replays(spark, tmp_path):
     tables = Tables(spark, str(tmp_path / "t"))
     requests = catalog.requests(spark, SF)
