@@ -31,8 +31,10 @@ from roadfuse.llm.wordhash import mix, shingle_sets
 from roadfuse.operators.components import connected_components
 
 _U = np.uint64
-#: Bits of the bitmap of frequent tokens, and documents that make a token frequent at least.
-BITMAP, FREQUENT = 25, 24
+#: Bits of the bitmaps of frequent tokens and of tokens of two documents or more; documents that make a token frequent at least.
+BITMAP, TWICE, FREQUENT = 25, 27, 24
+#: Bits of the bitmap of documents whose sets are to be compared.
+_MEMBERS = 26
 #: Only tokens of the lower half of the hash range are counted; they come first in every prefix.
 _COUNTED = _U(1 << 63)
 #: Tokens of a document in one sub-class of frequent tokens, as a power of two.
@@ -41,15 +43,15 @@ _SUBCLASS = 4
 _COUNT_BYTES = 1 << 24
 
 
-def _tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Per batch and bucket: counted tokens' low 32 bits, and how many texts of the batch hold each."""
+def _tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """Per batch and bucket (the tokens' first ``bits`` bits below the topmost): their next 32 bits, and how many texts hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [s[: np.searchsorted(s, _COUNTED)] for s in shingle_sets(batch.column(0), k)]
-            tokens, counts = np.unique(np.concatenate(own or [np.zeros(0, _U)]), return_counts=True)
-            cuts = np.searchsorted(tokens, [_U(b * ((1 << 63) // buckets)) for b in range(1, buckets)])
-            low = (tokens & _U(0xFFFFFFFF)).astype("<u4")
+            tokens, counts = np.unique(np.concatenate([*own, np.zeros(0, _U)]), return_counts=True)
+            cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=_U) << _U(63 - bits))
+            low = ((tokens >> _U(31 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
             parts = [(b, x, c) for b, (x, c) in enumerate(zip(np.split(low, cuts), np.split(counts, cuts))) if len(x)]
             many = [np.flatnonzero(c > 1) for _, _, c in parts]
             yield pa.RecordBatch.from_arrays(
@@ -65,13 +67,19 @@ def _tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, tokens binary, many binary, times binary")
 
 
-def frequent_bitmap(docs: DataFrame, k: int) -> bytes:
-    """Bit ``token mod 2**BITMAP`` is set for tokens of ``FREQUENT`` texts or more.
+def token_bitmaps(docs: DataFrame, k: int) -> tuple[bytes, bytes]:
+    """Bitmaps over the first bits of counted tokens: those of ``FREQUENT`` texts or more, and those of two or more.
 
-    Its size is fixed. Where it gets crowded, rare tokens count as frequent too, which costs time
-    and loses no result. Tokens are counted over all texts, summed per batch before the shuffle.
+    Their sizes are fixed, and each bucket makes its own stretch of them. Where they get crowded,
+    rare tokens count as frequent, or as shared, too; that costs time and loses no result. Tokens
+    are counted over all texts, summed per batch before the shuffle.
     """
-    buckets = power_of_two(text_bytes(docs) / _COUNT_BYTES, 16)
+    bits = min(16, power_of_two(text_bytes(docs) / _COUNT_BYTES, 16).bit_length() - 1)
+
+    def stretch(tokens: np.ndarray, size: int) -> bytes:
+        marks = np.zeros(1 << (size - bits), bool)
+        marks[tokens >> np.uint32(32 - size + bits)] = True
+        return np.packbits(marks, bitorder="little").tobytes()
 
     def count(group: pa.Table) -> pa.Table:
         tokens, times = [], []
@@ -85,25 +93,33 @@ def frequent_bitmap(docs: DataFrame, k: int) -> bytes:
         order = np.argsort(both, kind="stable")
         both, n = both[order], n[order]
         lead = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-        bits = np.unique(both[lead][np.add.reduceat(n, lead) >= FREQUENT] & np.uint32((1 << BITMAP) - 1)).astype(np.int64)
-        return pa.table({"word": bits >> 5, "bit": np.int64(1) << (bits & 31)})
-
-    bits = (
-        _tokens(docs.select("text"), k, buckets)
-        .groupBy("bucket")
-        .applyInArrow(count, "word long, bit long")
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bit"))
+        number = np.add.reduceat(n, lead)
+        own = both[lead]
+        return pa.table(
+            {
+                "bucket": group.column("bucket").slice(0, 1),
+                "frequent": pa.array([stretch(own[number >= FREQUENT], BITMAP)], pa.binary()),
+                "twice": pa.array([stretch(own[number > 1], TWICE)], pa.binary()),
+            }
+        )
+
+    found = (
+        _tokens(docs.select("text"), k, bits).groupBy("bucket").applyInArrow(count, "bucket int, frequent binary, twice binary").collect()
     )
-    found = bits.toArrow()
-    bitmap = np.zeros(1 << (BITMAP - 5), "<u4")
-    bitmap[found.column("word").to_numpy()] = found.column("bit").to_numpy().astype("<u4")
-    return bitmap.tobytes()
+    frequent, twice = bytearray(1 << (BITMAP - 3)), bytearray(1 << (TWICE - 3))
+    for r in found:
+        for bitmap, own in ((frequent, r.frequent), (twice, r.twice)):
+            bitmap[r.bucket * len(own) : (r.bucket + 1) * len(own)] = own
+    return bytes(frequent), bytes(twice)
+
 
+def _marked(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-def _is_frequent(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = (tokens & _U((1 << BITMAP) - 1)).astype(np.int64)
-    return (bitmap[at >> 5] >> (at & 31).astype("<u4")) & 1 == 1
+
+def _in_bitmap(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    size = (len(bitmap) * 8).bit_length() - 1
+    return _marked(bitmap, (tokens >> _U(63 - size)).astype(np.int64))
 
 
 def _missing(n: int, share: int) -> int:
@@ -115,17 +131,23 @@ def _levels(n: int, share: int) -> list[int]:
     return list(range((-(-share * n // 100)).bit_length() - 1, (100 * n // share).bit_length()))
 
 
-def signatures(tokens: np.ndarray, bitmap: np.ndarray, share: int) -> np.ndarray:
-    """Signatures of one set of sorted tokens; similar sets share one at least, unless they are equal single tokens."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, twice: np.ndarray, share: int) -> tuple[np.ndarray, bool]:
+    """(signatures, single) of one set of sorted tokens; two similar sets share one, unless both are one equal token.
+
+    Tokens that no other text holds fill the prefix, but aren't given out. ``single`` says that
+    the prefix holds rare tokens only, as many as may be missing and one.
+    """
     n = len(tokens)
     need = _missing(n, share) + 1
     counted = tokens[: np.searchsorted(tokens, _COUNTED)]
-    frequent = _is_frequent(bitmap, counted)
-    rare = counted[~frequent]
+    often = _in_bitmap(frequent, counted)
+    rare = counted[~often]
     if len(rare) >= need:
-        return rare[:need]
-    rest, tail = counted[frequent], tokens[len(counted) :]
-    out = [rare]
+        rare = rare[:need]
+        return rare[_in_bitmap(twice, rare)], True
+    rest, tail = counted[often], tokens[len(counted) :]
+    out = [rare[_in_bitmap(twice, rare)]]
+    missing = need - len(rare)
     for level in _levels(n, share):
         classes = 1 << max(0, level - _SUBCLASS)
         own = ((rest >> _U(20)) % _U(classes)).astype(np.int64)
@@ -133,7 +155,6 @@ def signatures(tokens: np.ndarray, bitmap: np.ndarray, share: int) -> np.ndarray
         adds = np.ones(len(rest), np.int64)
         adds[leads] = 0
         upto = np.cumsum(adds)
-        missing = need - len(rare)
         cut = int(np.searchsorted(upto, missing)) + 1
         order = np.argsort(own[:cut], kind="stable")
         part, own = rest[:cut][order], own[:cut][order]
@@ -146,18 +167,18 @@ def signatures(tokens: np.ndarray, bitmap: np.ndarray, share: int) -> np.ndarray
         left = missing - (int(upto[-1]) if len(upto) else 0)
         if left > 0:
             out.append(tail[:left])
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), False
 
 
-def indexed(docs: DataFrame, bitmap: bytes, k: int, share: int) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, the set's digest, and its signatures.
+def indexed(docs: DataFrame, bitmaps: tuple[bytes, bytes], k: int, share: int) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, the set's digest, single and signatures.
 
     Of equal sets in one batch only the one of the smallest doc_id carries signatures.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, "<u4")
+        frequent, twice = (np.frombuffer(x, np.uint8) for x in shared.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = list(shingle_sets(batch.column(1), k))
@@ -167,26 +188,47 @@ def indexed(docs: DataFrame, bitmap: bytes, k: int, share: int) -> DataFrame:
                 if d is not None and ids[i] is not None and (d not in first or ids[i] < ids[first[d]]):
                     first[d] = i
             chosen = set(first.values())
-            own = [signatures(s, table, share) if i in chosen else np.zeros(0, _U) for i, s in enumerate(sets)]
+            both = [signatures(s, frequent, twice, share) if i in chosen else (np.zeros(0, _U), True) for i, s in enumerate(sets)]
+            own = [x for x, _ in both]
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
             flat = np.concatenate([*own, np.zeros(0, _U)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(bounds, flat)],
-                names=["doc_id", "n_shingles", "digest", "signatures"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array([x for _, x in both], pa.bool_()), pa.ListArray.from_arrays(bounds, flat)],
+                names=["doc_id", "n_shingles", "digest", "single", "signatures"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, single boolean, signatures array<long>")
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tokens) of the documents in ``pairs``, without a shuffle of texts.
 
+    The documents are marked in a bitmap of fixed size by a hash of doc_id; a few others fall on
+    the same bits, and their sets meet no pair.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _MEMBERS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("at"))
+    marks = ids.groupBy(F.shiftright("at", 15).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits")
+    )
+    bitmap = bytearray(1 << (_MEMBERS - 3))
+    for r in marks.collect():
+        bitmap[r.part * 4096 : r.part * 4096 + 4096] = r.bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            at = batch.column(2).to_numpy()
+            wanted = batch.filter(pa.array(_marked(marked, at)))
+            for start in range(0, wanted.num_rows, 256):
+                part = wanted.slice(start, 256)
                 own = [s.tobytes() for s in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens binary")
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("at"))
+    return rows.mapInArrow(run, "doc_id long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -206,6 +248,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _candidates(pairs: DataFrame, share: int) -> DataFrame:
+    """Distinct (a, b) of ``pairs`` (a, b, sizes n and m, single; a row per shared signature) that can be similar.
+
+    Sizes must fit. Where both prefixes hold rare tokens only, the overlap is at most the shared
+    signatures and what lies behind the longer prefix, which must reach the overlap asked for.
+    """
+    fits = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
+    behind = F.ceil(F.greatest("n", "m") * share / 100) - 1
+    asked = F.ceil((F.col("n") + F.col("m")) * share / (100 + share) - F.lit(1e-9))
+    counted = pairs.filter(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("single").alias("single"))
+    return counted.filter(~F.col("single") | (F.col("c") + behind >= asked)).select("a", "b")
+
+
 def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -216,43 +271,39 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     has no component. Equal sets are grouped by a 128-bit digest and not compared.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = written(indexed(docs, frequent_bitmap(docs, k), k, share), "jaccard-index")
+    nodes = written(indexed(docs, token_bitmaps(docs, k), k, share), "jaccard-index")
     keyed = nodes.filter("digest is not null and doc_id is not null")
-    smallest = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "jaccard-digests")
-    equal = keyed.join(smallest.filter("n > 1"), "digest").filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    smallest = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-digests")
+    equal = keyed.join(smallest, "digest").filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     equal = written(equal, "jaccard-equal")
 
-    posts = keyed.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("signatures").alias("s"))
-    shared = written(posts.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "jaccard-buckets")
-    # Stored with the smallest document and its size, so that sizes can rule out pairs early.
-    buckets = written(posts.join(shared.select("s", "low"), "s"), "jaccard-posts")
-    alike = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
-    sizes = nodes.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("m"))
-    star = buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n").distinct()
-    star = written(star.join(sizes.withColumnRenamed("doc_id", "a"), "a").filter(alike).select("a", "b"), "jaccard-star")
-
-    members = buckets.select("doc_id").distinct()
-    sets = written(_sets(docs.join(members, "doc_id", "left_semi"), k), "jaccard-sets")
-    links = written(equal.union(_verified(star, sets, share)), "jaccard-links")
+    posts = keyed.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "single", F.explode("signatures").alias("s"))
+    place = F.struct("doc_id", "n", "single")
+    low = posts.groupBy("s").agg(F.min(place).alias("low"), F.max("doc_id").alias("high")).filter("low.doc_id < high")
+    shared = written(low.select("s", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m"), F.col("low.single").alias("low_single")), "jaccard-buckets")
+    buckets = written(posts.join(shared, "s"), "jaccard-posts")
+    star = _candidates(buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n", "m", (F.col("single") & F.col("low_single")).alias("single")), share)
+    star = written(star, "jaccard-star")
+    links = written(equal.union(_verified(star, written(_sets(docs, star, k), "jaccard-sets"), share)), "jaccard-links")
 
     # What is left: pairs of one bucket in different components, without those of its main one among themselves.
     component = written(connected_components(links), "jaccard-components")
-    placed = buckets.select("s", "doc_id", "n").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("s", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "jaccard-placed")
+    placed = buckets.select("s", "doc_id", "n", "single").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(placed.select("s", "doc_id", "n", "single", F.coalesce("component", "doc_id").alias("c")), "jaccard-placed")
     sums = placed.groupBy("s", "c").agg(F.count("*").alias("n"))
     main = sums.groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("components")).filter("components > 1")
     main = written(main.select("s", "main"), "jaccard-mixed")
     mixed = written(placed.join(main, "s"), "jaccard-mixed-posts")
-    other = mixed.filter("c <> main").select("s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    other = mixed.filter("c <> main").select("s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("single").alias("other_single"))
     across = (
         mixed.join(other, "s")
-        .filter((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") < F.col("b"))) & alike)
-        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-        .distinct()
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .filter((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") < F.col("b"))))
+        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"), "n", "m", (F.col("single") & F.col("other_single")).alias("single"))
     )
+    # Each bucket that a pair shares names the pair once, so the counts are complete and pairs below the bound can't be similar.
+    across = _candidates(across, share).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     across = written(across, "jaccard-across")
-    found = written(_verified(across, sets, share), "jaccard-across-links")
+    found = written(_verified(across, written(_sets(docs, across, k), "jaccard-across-sets"), share), "jaccard-across-links")
     both = connected_components(links.union(found)).select(F.col("node").alias("doc_id"), "component")
     return (
         nodes.select("doc_id", "n_shingles")
