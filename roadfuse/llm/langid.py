@@ -114,7 +114,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     frequencies and the number of rows per language are all that reaches the driver.
     """
     labelled = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -131,11 +131,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     # A little more than the bound is drawn by hash, so that the exact bound is taken from few rows.
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1_000_000))
-    drawn = (
-        labelled.join(counts, "lang")
-        .filter(chance < F.lit(1_500_000 * sample) / F.col("n") + 50)
-        .select("lang", "text", chance.alias("chance"))
-    )
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1_500_000 * sample // n + 50)]) if counts else F.lit(None)
+    limit = F.element_at(limits, F.col("lang")) if counts else F.lit(0)
+    drawn = labelled.filter(chance < limit).select("lang", "text", chance.alias("chance"))
 
     def per_language(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["chance", "text"]).head(sample)
