@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadfuse.llm import bpe, decontaminate, jaccard, langid, linededup
-from roadfuse.llm.shared import written
+from roadfuse.llm.shared import small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose language is rejected; the model learns from the labelled ones that aren't held out."""
+    small_batches(spark)
     model = langid.fit(docs.filter(~langid.held_out()))
     return langid.identify(docs, model).filter("not rejected").select(docs.columns)
 
@@ -33,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of linked documents only the one of the smallest doc_id; repeated rows of it stay."""
     linked = jaccard.link_components(docs.select("doc_id", "text"))
     dropped = written(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-duplicates")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # Joined the same way at every size; a broadcast would only last as long as few copies are found.
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
