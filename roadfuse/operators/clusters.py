@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadfuse.functions import geo
 from roadfuse.operators.dbscan import dbscan
+from roadfuse.session import cut_lineage
 
 WEIGHT_FLOOR = 0.001  # fixed value
 _BINS = 4096
@@ -20,48 +21,34 @@ def label_members(members: DataFrame, mean_lat: float, eps_m: float, min_points:
     return dbscan(planar, geo.mercator_eps(eps_m, mean_lat), min_points).drop("x", "y")
 
 
-def group_median(rows: DataFrame, group: str, value: str, values_in_task: int = 1_000_000) -> DataFrame:
-    """Exact interpolated median per group, as ``median``.
+def group_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact interpolated median per group, as ``median``; null values don't count.
 
-    Equal values are counted first. Groups keep their distinct values in one task only up to
-    ``values_in_task``; with larger ones around, the middle ranks are located in a histogram
-    and only the bins that hold them are ranked.
+    Equal values are counted first. Then both middle ranks are narrowed down in passes: each
+    counts ``_BINS`` bins between the bounds found so far and keeps the one bin that holds the
+    rank, until a single value is left. No group's values meet in one task, however they are spread.
     """
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    biggest = counts.groupBy(group).count().agg(F.max("count")).first()[0]
-    if biggest is None or biggest <= values_in_task:
-        return counts.groupBy(group).agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("median"))
-
-    extent = counts.groupBy(group).agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total")
-    )
-    width = F.greatest((F.col("high") - F.col("low")) / _BINS, F.lit(1e-300))
-    binned = counts.join(extent, group).withColumn(
-        "bin", F.least(F.floor((F.col(value) - F.col("low")) / width), F.lit(_BINS))
-    )
-    hist = binned.groupBy(group, "bin").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-    up_to = F.sum("m").over(Window.partitionBy(group).orderBy("bin"))
-    first, second = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    middle = (
-        hist.withColumn("before", up_to - F.col("m"))
-        .filter(((F.col("before") < first) & (first <= F.col("before") + F.col("m")))
-                | ((F.col("before") < second) & (second <= F.col("before") + F.col("m"))))
-        .select(group, "bin", "before")
-    )
-    rank = F.col("before") + F.sum("n").over(Window.partitionBy(group, "bin").orderBy(value))
-    return (
-        binned.join(middle, [group, "bin"])
-        .withColumn("last", rank)
-        .withColumn("prev", F.col("last") - F.col("n"))
-        .withColumn("is_first", (F.col("prev") < first) & (first <= F.col("last")))
-        .withColumn("is_second", (F.col("prev") < second) & (second <= F.col("last")))
-        .groupBy(group)
-        .agg(
-            F.max(F.when(F.col("is_first"), F.col(value))).alias("a"),
-            F.max(F.when(F.col("is_second"), F.col(value))).alias("b"),
+    counts = cut_lineage(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n")))
+    extent = counts.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total"))
+    ranks = F.array(F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2))
+    state = cut_lineage(extent.select(group, "low", "high", F.lit(0).cast("long").alias("before"), F.posexplode(ranks).alias("side", "rank")))
+    while True:
+        opened = state.filter("low < high")
+        if opened.isEmpty():
+            break
+        inside = counts.join(opened, group).filter(F.col(value).between(F.col("low"), F.col("high")))
+        # The top bin is the highest value alone, so that every pass parts two values at least.
+        place = F.when(F.col(value) == F.col("high"), F.lit(_BINS)).otherwise(
+            F.least(F.floor((F.col(value) - F.col("low")) / ((F.col("high") - F.col("low")) / _BINS)), F.lit(_BINS - 1))
         )
-        .select(group, ((F.col("a") + F.col("b")) / 2).alias("median"))
-    )
+        hist = inside.groupBy(group, "side", "rank", "before", place.alias("bin")).agg(
+            F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
+        )
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(group, "side").orderBy("bin"))
+        found = hist.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        narrowed = found.select(group, "low", "high", (F.col("upto") - F.col("n")).alias("before"), "side", "rank")
+        state = cut_lineage(state.filter("low = high").unionByName(narrowed))
+    return state.groupBy(group).agg((F.sum("low") / 2).alias("median"))
 
 
 def aggregate_clusters(labelled: DataFrame) -> DataFrame:

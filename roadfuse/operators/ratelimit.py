@@ -30,7 +30,6 @@ def check_rate_limit(
     requests: DataFrame,
     limits: dict[str, int],
     prior: DataFrame | None = None,
-    hot_bucket_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Requests (``device_id, resource, request_id, received_at, n``) with ``current``, ``limit``, ``allowed``.
 
@@ -39,8 +38,7 @@ def check_rate_limit(
     minute see one bucket more. ``prior`` carries the stored buckets of earlier batches.
     Requests of one device in the same microsecond are taken in ``md5(request_id)`` order.
 
-    Minutes with more than ``hot_bucket_rows`` requests of one device are summed in slices;
-    ``None`` skips that check.
+    Requests are summed in slices of a millisecond and a hash, so that no task holds a whole minute of a device.
     """
     us = F.unix_micros("received_at")
     # Resources without a limit pass unchecked.
@@ -49,9 +47,9 @@ def check_rate_limit(
         {"us": us, "bucket": bucket_start(us), "_md5": F.md5("request_id"), "limit": limit}
     )
     per_bucket = rows.groupBy(*_KEY, "bucket").agg(
-        F.sum("n").alias("n"), F.count("*").alias("rows"), F.lit(0).cast("long").alias("p")
+        F.sum("n").alias("n"), F.lit(0).cast("long").alias("p")
     )
-    counts = per_bucket.select(*_KEY, "bucket", "n", "p")
+    counts = per_bucket
     if prior is not None:
         counts = counts.unionByName(
             prior.select(
@@ -75,18 +73,8 @@ def check_rate_limit(
         earlier(WINDOW_SECONDS).alias("with_edge"),
     )
 
-    hottest = per_bucket.agg(F.max("rows")).first()[0] if hot_bucket_rows is not None else None
-    if hottest is not None and hottest > hot_bucket_rows:
-        rows = rows.withColumns(
-            {"ms": F.floor(F.col("us") / 1000), "slice": F.col("us") * 256 + hash_byte("_md5")}
-        )
-        rows = running_total(
-            rows, "n", [*_KEY, "bucket"], ["ms", "slice"], ["_md5", "request_id"]
-        ).drop("ms", "slice")
-    else:
-        arrival = Window.partitionBy(*_KEY, "bucket").orderBy("us", "_md5", "request_id")
-        so_far = F.sum("n").over(arrival.rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("running", so_far)
+    rows = rows.withColumns({"ms": F.floor(F.col("us") / 1000), "slice": F.col("us") * 256 + hash_byte("_md5")})
+    rows = running_total(rows, "n", [*_KEY, "bucket"], ["ms", "slice"], ["_md5", "request_id"]).drop("ms", "slice")
 
     on_minute = F.col("us") % (BUCKET_SECONDS * 1_000_000) == 0
     current = F.col("running") + F.when(on_minute, F.col("with_edge")).otherwise(F.col("inside_hour"))

@@ -500,9 +500,9 @@ def rate_limit_hourly(spark, sf):
 
 @register("rate_limit_hourly_sliced", t.twin(_LIMIT_SQL, _REQUEST_SQL))
 def rate_limit_hourly_sliced(spark, sf):
-    """The path for minutes too large for one task, forced for every minute."""
+    """The limit again, per request and without the columns of the request."""
     return ratelimit.check_rate_limit(
-        requests(spark, sf), {"events": 100, "frames": 100}, hot_bucket_rows=0
+        requests(spark, sf), {"events": 100, "frames": 100}
     ).select("request_id", "resource", "current", "allowed")
 
 
@@ -634,10 +634,10 @@ def cluster_aggregate(spark, sf):
     ),
 )
 def cluster_median_ranked(spark, sf):
-    """Median per group by histogram and ranks, the path for groups too large for one task."""
+    """Median per group, here of devices with very many values."""
     severity = features.severity(F.col("magnitude"), F.col("speed_mps"), 5.0, 2.0)
     rows = adapter.observations(spark, sf).select("device_id", severity.alias("severity"))
-    return clusters.group_median(rows, "device_id", "severity", values_in_task=0).select("device_id", r("median", 9))
+    return clusters.group_median(rows, "device_id", "severity").select("device_id", r("median", 9))
 
 
 @register(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadfuse.operators import dbscan as grid
+from roadfuse.operators import clusters
 from roadfuse.operators.clusters import aggregate_clusters, group_median
 from roadfuse.operators.components import connected_components
 
@@ -72,12 +73,14 @@ def test_components(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_group_median(spark, limit):
+@pytest.mark.parametrize("bins", [3, 4096])
+def test_group_median(spark, monkeypatch, bins):
+    monkeypatch.setattr(clusters, "_BINS", bins)
     rng = np.random.default_rng(2)
     df = pd.DataFrame({"g": rng.integers(0, 7, 900), "v": np.round(rng.uniform(0, 1, 900), 2)})
-    df = pd.concat([df, pd.DataFrame({"g": [50, 51, 51], "v": [0.5, 0.0, 1.0]})])
-    got = {r.g: r.median for r in group_median(spark.createDataFrame(df), "g", "v", limit).collect()}
+    far = pd.DataFrame({"g": 60, "v": np.append(rng.uniform(0, 1, 400), 1e15)})  # one value makes all others share a bin
+    df = pd.concat([df, far, pd.DataFrame({"g": [50, 51, 51], "v": [0.5, 0.0, 1.0]})])
+    got = {r.g: r.median for r in group_median(spark.createDataFrame(df), "g", "v").collect()}
     assert got == pytest.approx(df.groupby("g").v.median().to_dict())
 
 
