@@ -110,11 +110,12 @@ def ingest_observations(
 
 def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cfg: Config) -> IngestResult:
     """Frame requests and their blobs -> accepted ids, rejected requests and new frame rows."""
-    rules = validate.envelope_rules() | validate.frame_rules(F.col)
+    metadata = compute_once(metadata, {"ts_utc": parse_iso(F.col("ts"))})
+    rules = validate.envelope_rules() | validate.frame_rules(F.col, F.col("ts_utc"))
     checked = _reject_envelopes(metadata, rules).join(blobs, "path", "left")
     reason = validate.blob_reason(F.col("length"), F.col("head"), cfg)
     reasons = F.when(F.size("_reasons") > 0, F.col("_reasons")).otherwise(F.array_compact(F.array(reason)))
-    checked = checked.withColumns({"reasons": reasons, "pos": F.lit(0), "ts_utc": parse_iso(F.col("ts"))})
+    checked = checked.withColumns({"reasons": reasons, "pos": F.lit(0)})
     checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     ok = checked.filter(F.size("reasons") == 0)
     rejected = checked.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons")

@@ -79,11 +79,11 @@ def observation_rules(field: Field, parsed_ts: Column | None = None) -> dict[str
     }
 
 
-def frame_rules(field: Field) -> dict[str, Column]:
+def frame_rules(field: Field, parsed_ts: Column | None = None) -> dict[str, Column]:
     return {
         "client_id": _id_ok(field("client_id")),
         "event_client_id": _max_length(field("event_client_id"), ID_MAX),
-        "ts": parse_iso(field("ts")).isNotNull(),
+        "ts": (parse_iso(field("ts")) if parsed_ts is None else parsed_ts).isNotNull(),
         **{n: _required(field(n), b) for n, b in FRAME_REQUIRED.items()},
         "model_id": _max_length(field("model_id"), MODEL_ID_MAX),
         "detections": field("detections").isNull()

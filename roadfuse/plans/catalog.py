@@ -757,7 +757,7 @@ def link_rebuild(spark, sf):
 )
 def cluster_asset_names(spark, sf):
     names = asset_types(spark).select("asset_type", "display_name")
-    return stages.site_clusters(spark, sf).join(F.broadcast(names), "asset_type", "left").select(
+    return stages.site_clusters(spark, sf).join(names, "asset_type", "left").select(
         "cluster_id", "asset_type", "display_name"
     )
 

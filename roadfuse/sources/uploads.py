@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadfuse import schema
+from roadfuse.config import Config
 
 _CORRUPT = "_corrupt"
 
@@ -49,7 +50,7 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
     ).select(*kept, "device_id", "pos", "_e.*")
 
 
-def read_frame_blobs(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+def read_frame_blobs(spark: SparkSession, path: str, max_bytes: int = Config.max_frame_size_bytes) -> DataFrame:
     """Path, size and leading bytes of every blob; the content itself goes no further.
 
     Sizes come from the listing. Only blobs of 1 to ``max_bytes`` bytes are opened, because the
