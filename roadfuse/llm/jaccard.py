@@ -6,14 +6,16 @@ order, and tokens fall into two classes: rare ones are indexed singly, frequent
 prefix is long enough when its rare tokens, plus its frequent tokens less one per sub-class,
 exceed the number of tokens that may be missing; then two similar sets share a rare token or a
 pair of frequent tokens of one sub-class. Any order and any classes keep this exact, so the
-classes come from a fixed-size bitmap of counted tokens. Frequent tokens fall into sub-classes by
+classes come from a bitmap of counted tokens of bounded size. Frequent tokens fall into sub-classes by
 hash, about 16 tokens of a document to each, which keeps the number of pairs in proportion to its
 length; sub-classes depend on the power of two in the set's size, and a document near such a power
 is indexed for both sides.
 
 Candidates meet in the buckets of a signature. First each document is verified against its
-bucket's smallest one. Linked documents then count as one component, and only pairs across
-components are still verified; copies are never expanded into all pairs.
+bucket's smallest one. Linked documents count as one component. Documents that candidates hold
+together are a group, similar or not; what is left of it in different components is compared in
+blocks inside tasks, which give out links only. Pairs across groups are few and are verified at
+last. Copies and near copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -27,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.llm.shared import power_of_two, text_bytes, written
-from roadfuse.llm.wordhash import mix, shingle_sets
+from roadfuse.llm.wordhash import mix, ragged, shingle_sets
 from roadfuse.operators.components import connected_components
 
 _U = np.uint64
-#: Bits of the bitmaps of frequent tokens and of tokens of two documents or more; documents that make a token frequent at least.
-BITMAP, TWICE, FREQUENT = 25, 27, 24
+#: Bits of the bitmap of tokens of two documents or more, at most; that of frequent tokens has a quarter of them.
+TWICE = 27
+#: Documents that make a token frequent at least.
+FREQUENT = 24
 #: Bits of the bitmap of documents whose sets are to be compared.
-_MEMBERS = 26
-#: Only tokens of the lower half of the hash range are counted; they come first in every prefix.
-_COUNTED = _U(1 << 63)
+_MEMBERS = 24
+#: Tokens in a block of a group whose documents are all compared.
+BLOCK_TOKENS = 500_000
 #: Tokens of a document in one sub-class of frequent tokens, as a power of two.
 _SUBCLASS = 4
 #: Bytes of text whose tokens one counting task holds.
@@ -44,14 +48,13 @@ _COUNT_BYTES = 1 << 24
 
 
 def _tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Per batch and bucket (the tokens' first ``bits`` bits below the topmost): their next 32 bits, and how many texts hold each."""
+    """Per batch and bucket (the tokens' first ``bits`` bits): their next 32 bits, and how many texts hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [s[: np.searchsorted(s, _COUNTED)] for s in shingle_sets(batch.column(0), k)]
-            tokens, counts = np.unique(np.concatenate([*own, np.zeros(0, _U)]), return_counts=True)
-            cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=_U) << _U(63 - bits))
-            low = ((tokens >> _U(31 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
+            tokens, counts = np.unique(np.concatenate([*shingle_sets(batch.column(0), k), np.zeros(0, _U)]), return_counts=True)
+            cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
+            low = ((tokens >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
             parts = [(b, x, c) for b, (x, c) in enumerate(zip(np.split(low, cuts), np.split(counts, cuts))) if len(x)]
             many = [np.flatnonzero(c > 1) for _, _, c in parts]
             yield pa.RecordBatch.from_arrays(
@@ -68,13 +71,16 @@ def _tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
 
 
 def token_bitmaps(docs: DataFrame, k: int) -> tuple[bytes, bytes]:
-    """Bitmaps over the first bits of counted tokens: those of ``FREQUENT`` texts or more, and those of two or more.
+    """Bitmaps over the first bits of tokens: those of ``FREQUENT`` texts or more, and those of two or more.
 
-    Their sizes are fixed, and each bucket makes its own stretch of them. Where they get crowded,
-    rare tokens count as frequent, or as shared, too; that costs time and loses no result. Tokens
-    are counted over all texts, summed per batch before the shuffle.
+    They have four bits and one bit per token, up to a fixed size, and each bucket makes its own
+    stretch of them. Where they get crowded, rare tokens count as frequent, or as shared, too; that
+    costs time and loses no result. Tokens are counted over all texts, summed per batch before the shuffle.
     """
-    bits = min(16, power_of_two(text_bytes(docs) / _COUNT_BYTES, 16).bit_length() - 1)
+    size = text_bytes(docs)
+    bits = min(16, power_of_two(size / _COUNT_BYTES, 16).bit_length() - 1)
+    shared = min(TWICE, power_of_two(size * 4 / 6, 1 << 20).bit_length() - 1)
+    often = shared - 2
 
     def stretch(tokens: np.ndarray, size: int) -> bytes:
         marks = np.zeros(1 << (size - bits), bool)
@@ -98,15 +104,15 @@ def token_bitmaps(docs: DataFrame, k: int) -> tuple[bytes, bytes]:
         return pa.table(
             {
                 "bucket": group.column("bucket").slice(0, 1),
-                "frequent": pa.array([stretch(own[number >= FREQUENT], BITMAP)], pa.binary()),
-                "twice": pa.array([stretch(own[number > 1], TWICE)], pa.binary()),
+                "frequent": pa.array([stretch(own[number >= FREQUENT], often)], pa.binary()),
+                "twice": pa.array([stretch(own[number > 1], shared)], pa.binary()),
             }
         )
 
     found = (
         _tokens(docs.select("text"), k, bits).groupBy("bucket").applyInArrow(count, "bucket int, frequent binary, twice binary").collect()
     )
-    frequent, twice = bytearray(1 << (BITMAP - 3)), bytearray(1 << (TWICE - 3))
+    frequent, twice = bytearray(1 << (often - 3)), bytearray(1 << (shared - 3))
     for r in found:
         for bitmap, own in ((frequent, r.frequent), (twice, r.twice)):
             bitmap[r.bucket * len(own) : (r.bucket + 1) * len(own)] = own
@@ -119,7 +125,7 @@ def _marked(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _in_bitmap(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     size = (len(bitmap) * 8).bit_length() - 1
-    return _marked(bitmap, (tokens >> _U(63 - size)).astype(np.int64))
+    return _marked(bitmap, (tokens >> _U(64 - size)).astype(np.int64))
 
 
 def _missing(n: int, share: int) -> int:
@@ -131,23 +137,20 @@ def _levels(n: int, share: int) -> list[int]:
     return list(range((-(-share * n // 100)).bit_length() - 1, (100 * n // share).bit_length()))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, twice: np.ndarray, share: int) -> tuple[np.ndarray, bool]:
-    """(signatures, single) of one set of sorted tokens; two similar sets share one, unless both are one equal token.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, twice: np.ndarray, share: int) -> np.ndarray:
+    """Signatures of one set of sorted tokens; two similar sets share one, unless both are one equal token.
 
-    Tokens that no other text holds fill the prefix, but aren't given out. ``single`` says that
-    the prefix holds rare tokens only, as many as may be missing and one.
+    Tokens that no other text holds fill the prefix, but aren't given out.
     """
     n = len(tokens)
     need = _missing(n, share) + 1
-    counted = tokens[: np.searchsorted(tokens, _COUNTED)]
-    often = _in_bitmap(frequent, counted)
-    rare = counted[~often]
-    if len(rare) >= need:
-        rare = rare[:need]
-        return rare[_in_bitmap(twice, rare)], True
-    rest, tail = counted[often], tokens[len(counted) :]
-    out = [rare[_in_bitmap(twice, rare)]]
-    missing = need - len(rare)
+    often = _in_bitmap(frequent, tokens)
+    rare = tokens[~often][:need]
+    rare = rare, rare[_in_bitmap(twice, rare)]
+    if len(rare[0]) == need:
+        return rare[1]
+    rest, out = tokens[often], [rare[1]]
+    missing = need - len(rare[0])
     for level in _levels(n, share):
         classes = 1 << max(0, level - _SUBCLASS)
         own = ((rest >> _U(20)) % _U(classes)).astype(np.int64)
@@ -164,14 +167,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, twice: np.ndarray, shar
                 break
             a, b = part[:-lag][same], part[lag:][same]
             out.append(mix(a * _U(0x9E3779B97F4A7C15) + mix(b) + _U(level)))
-        left = missing - (int(upto[-1]) if len(upto) else 0)
-        if left > 0:
-            out.append(tail[:left])
-    return np.unique(np.concatenate(out)), False
+    return np.unique(np.concatenate(out))
 
 
 def indexed(docs: DataFrame, bitmaps: tuple[bytes, bytes], k: int, share: int) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, the set's digest, single and signatures.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, the set's digest and its signatures.
 
     Of equal sets in one batch only the one of the smallest doc_id carries signatures.
     """
@@ -188,17 +188,15 @@ def indexed(docs: DataFrame, bitmaps: tuple[bytes, bytes], k: int, share: int) -
                 if d is not None and ids[i] is not None and (d not in first or ids[i] < ids[first[d]]):
                     first[d] = i
             chosen = set(first.values())
-            both = [signatures(s, frequent, twice, share) if i in chosen else (np.zeros(0, _U), True) for i, s in enumerate(sets)]
-            own = [x for x, _ in both]
+            own = [signatures(s, frequent, twice, share) if i in chosen else np.zeros(0, _U) for i, s in enumerate(sets)]
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
             flat = np.concatenate([*own, np.zeros(0, _U)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array([x for _, x in both], pa.bool_()), pa.ListArray.from_arrays(bounds, flat)],
-                names=["doc_id", "n_shingles", "digest", "single", "signatures"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(bounds, flat)],
+                names=["doc_id", "n_shingles", "digest", "signatures"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, single boolean, signatures array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -249,16 +247,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, share: int) -> DataFrame:
-    """Distinct (a, b) of ``pairs`` (a, b, sizes n and m, single; a row per shared signature) that can be similar.
+    """Distinct (a, b) of ``pairs`` (a, b, sizes n and m; a row per shared signature) that can be similar.
 
-    Sizes must fit. Where both prefixes hold rare tokens only, the overlap is at most the shared
-    signatures and what lies behind the longer prefix, which must reach the overlap asked for.
+    Sizes must fit. And of the set whose prefix ends first, all tokens but the last
+    ``ceil(share * size) - 1`` count towards the shared signatures: each shared rare token is one, and f shared frequent
+    tokens of one sub-class make f - 1 pairs at least, as many as the prefix was made longer for.
+    So a pair with fewer shared signatures than the overlap asked for, less that tail, isn't similar.
     """
     fits = (F.col("n") * 100 >= F.col("m") * share) & (F.col("m") * 100 >= F.col("n") * share)
     behind = F.ceil(F.greatest("n", "m") * share / 100) - 1
     asked = F.ceil((F.col("n") + F.col("m")) * share / (100 + share) - F.lit(1e-9))
-    counted = pairs.filter(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("single").alias("single"))
-    return counted.filter(~F.col("single") | (F.col("c") + behind >= asked)).select("a", "b")
+    counted = pairs.filter(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return counted.filter(F.col("c") + behind >= asked).select("a", "b")
+
+
+def _within_groups(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Similar pairs (a, b) of one group and different components; ``members``: doc_id, g, c, n.
+
+    A group is cut into blocks of about ``BLOCK_TOKENS`` tokens by a hash of doc_id, and a task compares two
+    blocks: it counts common tokens with array operations and gives out nothing but links.
+    """
+    torn = members.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("tokens")).filter("low < high")
+    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")
+    torn = written(torn.select("g", blocks), "jaccard-torn-groups")
+    rows = members.join(torn, "g").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets, "doc_id").select("g", "doc_id", "c", "own", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "c", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, parts, own = (table.column(x).to_numpy() for x in ("doc_id", "c", "own"))
+        tokens = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("tokens")]
+        n = np.array([len(x) for x in tokens])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        flat = np.concatenate([*(tokens[r] for r in right), np.zeros(0, _U)])
+        holder = np.repeat(np.arange(len(right)), n[right])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
+        out: list[tuple[int, int]] = []
+        for row in left:
+            first, end = np.searchsorted(flat, tokens[row]), np.searchsorted(flat, tokens[row], "right")
+            common = np.bincount(holder[ragged(first, end - first)], minlength=len(right))
+            good = (100 * common >= share * (n[row] + n[right] - common)) & (parts[right] != parts[row])
+            if i == j:
+                good &= ids[right] > ids[row]
+            out += [(int(ids[row]), int(ids[r])) for r in right[good]]
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
@@ -277,34 +313,43 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     equal = keyed.join(smallest, "digest").filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     equal = written(equal, "jaccard-equal")
 
-    posts = keyed.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "single", F.explode("signatures").alias("s"))
-    place = F.struct("doc_id", "n", "single")
+    posts = keyed.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("signatures").alias("s"))
+    place = F.struct("doc_id", "n")
     low = posts.groupBy("s").agg(F.min(place).alias("low"), F.max("doc_id").alias("high")).filter("low.doc_id < high")
-    shared = written(low.select("s", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m"), F.col("low.single").alias("low_single")), "jaccard-buckets")
+    shared = written(low.select("s", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m")), "jaccard-buckets")
     buckets = written(posts.join(shared, "s"), "jaccard-posts")
-    star = _candidates(buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n", "m", (F.col("single") & F.col("low_single")).alias("single")), share)
+    star = _candidates(buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n", "m"), share)
     star = written(star, "jaccard-star")
-    links = written(equal.union(_verified(star, written(_sets(docs, star, k), "jaccard-sets"), share)), "jaccard-links")
-
-    # What is left: pairs of one bucket in different components, without those of its main one among themselves.
-    component = written(connected_components(links), "jaccard-components")
-    placed = buckets.select("s", "doc_id", "n", "single").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("s", "doc_id", "n", "single", F.coalesce("component", "doc_id").alias("c")), "jaccard-placed")
-    sums = placed.groupBy("s", "c").agg(F.count("*").alias("n"))
-    main = sums.groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("components")).filter("components > 1")
+    sets = written(_sets(docs, star, k), "jaccard-sets")
+    links = written(equal.union(_verified(star, sets, share)), "jaccard-links")
+
+    # Documents that candidate pairs hold together, whether they are similar or not, are compared block by block inside tasks.
+    group = written(connected_components(equal.union(star)), "jaccard-groups").withColumnsRenamed({"node": "doc_id", "component": "g"})
+    component = connected_components(links).withColumnsRenamed({"node": "doc_id", "component": "c"})
+    sizes = nodes.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    every = group.union(group.select("g", "g").distinct()).distinct().join(equal.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    members = every.join(component, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")).join(sizes, "doc_id")
+    members = written(members, "jaccard-members")
+    within = written(_within_groups(members, sets, share), "jaccard-within-links")
+
+    # What is left: pairs of one bucket in different groups, without those of its main one among themselves.
+    placed = buckets.select("s", "doc_id", "n").join(group, "doc_id", "left").select("s", "doc_id", "n", F.coalesce("g", "doc_id").alias("g"))
+    placed = written(placed, "jaccard-placed")
+    sums = placed.groupBy("s", "g").agg(F.count("*").alias("k"))
+    main = sums.groupBy("s").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     main = written(main.select("s", "main"), "jaccard-mixed")
     mixed = written(placed.join(main, "s"), "jaccard-mixed-posts")
-    other = mixed.filter("c <> main").select("s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("single").alias("other_single"))
+    other = mixed.filter("g <> main").select("s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("d"))
     across = (
         mixed.join(other, "s")
-        .filter((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") < F.col("b"))))
-        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"), "n", "m", (F.col("single") & F.col("other_single")).alias("single"))
+        .filter((F.col("g") != F.col("d")) & ((F.col("g") == F.col("main")) | (F.col("doc_id") < F.col("b"))))
+        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"), "n", "m")
     )
     # Each bucket that a pair shares names the pair once, so the counts are complete and pairs below the bound can't be similar.
-    across = _candidates(across, share).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    across = written(across, "jaccard-across")
+    across = written(_candidates(across, share), "jaccard-across")
     found = written(_verified(across, written(_sets(docs, across, k), "jaccard-across-sets"), share), "jaccard-across-links")
-    both = connected_components(links.union(found)).select(F.col("node").alias("doc_id"), "component")
+    links = links.union(within).union(found)
+    both = connected_components(links).select(F.col("node").alias("doc_id"), "component")
     return (
         nodes.select("doc_id", "n_shingles")
         .join(both, "doc_id", "left")
