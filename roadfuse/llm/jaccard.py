@@ -15,7 +15,8 @@ Candidates meet in the buckets of a signature. First each document is verified a
 bucket's smallest one. Linked documents count as one component. Documents that candidates hold
 together are a group, similar or not; what is left of it in different components is compared in
 blocks inside tasks, which give out links only. Pairs across groups are few and are verified at
-last. Copies and near copies are never expanded into all pairs.
+last; buckets of ``CROWD`` documents or more make a group, so those pairs come from small buckets
+only and grow with the postings. Copies and near copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ TWICE = 27
 FREQUENT = 24
 #: Bits of the bitmap of documents whose sets are to be compared.
 _MEMBERS = 24
+#: Documents in a bucket that are compared as a group.
+CROWD = 32
 #: Tokens in a block of a group whose documents are all compared.
 BLOCK_TOKENS = 500_000
 #: Tokens of a document in one sub-class of frequent tokens, as a power of two.
@@ -315,16 +318,19 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
 
     posts = keyed.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("signatures").alias("s"))
     place = F.struct("doc_id", "n")
-    low = posts.groupBy("s").agg(F.min(place).alias("low"), F.max("doc_id").alias("high")).filter("low.doc_id < high")
-    shared = written(low.select("s", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m")), "jaccard-buckets")
+    low = posts.groupBy("s").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).filter("low.doc_id < high")
+    shared = written(low.select("s", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m"), "held"), "jaccard-buckets")
     buckets = written(posts.join(shared, "s"), "jaccard-posts")
     star = _candidates(buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n", "m"), share)
     star = written(star, "jaccard-star")
-    sets = written(_sets(docs, star, k), "jaccard-sets")
+    # Buckets of many documents make them one group too, so that only small buckets are left to pair their documents across groups.
+    crowd = buckets.filter((F.col("held") >= CROWD) & (F.col("doc_id") > F.col("low"))).select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    crowd = written(crowd.distinct(), "jaccard-crowds")
+    sets = written(_sets(docs, star.union(crowd), k), "jaccard-sets")
     links = written(equal.union(_verified(star, sets, share)), "jaccard-links")
 
     # Documents that candidate pairs hold together, whether they are similar or not, are compared block by block inside tasks.
-    group = written(connected_components(equal.union(star)), "jaccard-groups").withColumnsRenamed({"node": "doc_id", "component": "g"})
+    group = written(connected_components(equal.union(star).union(crowd)), "jaccard-groups").withColumnsRenamed({"node": "doc_id", "component": "g"})
     component = connected_components(links).withColumnsRenamed({"node": "doc_id", "component": "c"})
     sizes = nodes.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     every = group.union(group.select("g", "g").distinct()).distinct().join(equal.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")

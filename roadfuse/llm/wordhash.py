@@ -40,7 +40,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def pieces(raw: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``size`` bytes, one row at least."""
     row, n = 0, len(offsets) - 1
     while row < n:

@@ -84,6 +84,7 @@ def near_copies(rng, n=140):
 def test_jaccard_components_are_exact(spark, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(jaccard, "CROWD", 5 if frequent == 6 else 32)
     rows = near_copies(random.Random(frequent))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs_of(spark, rows)).collect()}
     assert got == components(dict(rows))
