@@ -26,7 +26,7 @@ from roadfuse.llm.shared import remembered
 from roadfuse.llm.wordhash import hash_spans, ragged, strings
 
 #: Bytes of text that share one slice.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_500_000
 _NONE = np.int32(2**31 - 1)
 
 

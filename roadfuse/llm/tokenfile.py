@@ -28,7 +28,7 @@ from roadfuse.llm.wordhash import strings
 FRAME_TOKENS = 65_536
 #: Fixed values of the public seekable format.
 _SEEK_TABLE, _DIRECTORY, _SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-_SLICE_BYTES = 4_000_000
+_SLICE_BYTES = 2_000_000
 _NO_ID = -(2**63)
 
 
