@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def delete_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated runs of lines, and without documents of which no word is left; n_chars counts what is left."""
-    cleaned = linededup.delete_repeated_lines(docs)
+    """Without repeated runs of lines, whole to both sides, and without documents of which no word is left; n_chars counts what is left."""
+    cleaned = linededup.delete_repeated_lines(docs, whole_runs=True)
     empty = (F.col("n_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = {"n_chars": F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
     return cleaned.filter(~empty).withColumns(changed).select(docs.columns)

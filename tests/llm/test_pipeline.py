@@ -73,6 +73,15 @@ def test_stages_against_brute_force(spark, folder):
     }
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    rng = random.Random(13)
+    run = "\n".join(prose(rng, n) for n in (60, 60, 10))
+    rows = [(1, run, "xx", "s", 1), (2, run, "xx", "s", 1), (3, f"own words\n{run}\nmore of them", "xx", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in out} == {(1, run), (3, "own words\nmore of them")}
+
+
 def test_run_and_registration(spark, folder):
     path, rows, _ = folder
     out = entry.queries()["pipeline"](spark, path)

@@ -58,6 +58,37 @@ def test_line_dedup_is_exact(spark):
     assert len(out) == len(rows)
 
 
+def whole_runs(rows, least):
+    """Kept text per row, by comparing every run of lines of ``least`` words or more with all earlier ones."""
+    seen, out = {}, {}
+    for key in sorted(rows):
+        lines = key[1].split("\n")
+        n = [len(x.split()) for x in lines]
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(n[i:j]) >= least:
+                    first = seen.setdefault(tuple(lines[i:j]), (key, j))
+                    if first[0] != key or i >= first[1]:
+                        gone.update(range(i, j))
+        out[key] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_line_dedup_of_whole_runs(spark):
+    rng = random.Random(5)
+    blocks = ["\n".join(prose(rng, rng.choice([0, 1, 3, 8, 20])) for _ in range(rng.randint(2, 8))) for _ in range(10)]
+    rows = [(i, "\n".join(rng.choice(blocks) if rng.random() < 0.6 else prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 6)))) for i in range(120)]
+    rows += [(502, "\n".join(["a b c d e"] * 40)), (503, "\n" * 50), (504, "x\n" + prose(rng, 9) + "\n\n\n" + "y\n" * 20)]
+    out = linededup.delete_repeated_lines(docs_of(spark, rows), 15, whole_runs=True).collect()
+    assert {(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in out} == {(k[0], *v) for k, v in whole_runs(rows, 15).items()}
+    # A line behind the last full window of a run, and lines without words on both sides of it.
+    long, more, short = prose(rng, 60), prose(rng, 60), prose(rng, 10)
+    rows = [(1, f"{long}\n{more}\n{short}"), (2, f"{long}\n{more}\n{short}"), (3, f"own\n{more}\n{short}\nown"), (4, f"a\n\n{long}\n\nb"), (5, f"c\n\n{long}\n\nd")]
+    out = linededup.delete_repeated_lines(docs_of(spark, rows), whole_runs=True).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "", 3: "own\nown", 4: "a\n\n\nb", 5: "c\nd"}
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.delete_repeated_lines(docs_of(spark, [])).count() == 0
 
