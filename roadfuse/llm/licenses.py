@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.llm.license_texts import TEMPLATES
+from roadfuse.llm.shared import remembered
 from roadfuse.llm.wordhash import hash_spans, mix, pieces, shingles, strings, word_spans
 
 _U = np.uint64
@@ -42,7 +43,7 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def band_keys(tokens: np.ndarray) -> np.ndarray:
     """One hash per band of the MinHash signature of a set of shingles."""
-    least = np.array([mix(tokens * seed).min() for seed in _SEEDS], _U).reshape(BANDS, ROWS)
+    least = mix(tokens * _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
     return mix(least[:, 0] * _U(0x9E3779B97F4A7C15) + least[:, 1] * _U(0xD6E8FEB86659FD93) + np.arange(BANDS, dtype=_U))
 
 
@@ -56,6 +57,9 @@ class Templates:
                 self.names.append(name)
                 self.sets.append(np.unique(h[: len(h) - WORDS + 1]))
         self.all = np.unique(np.concatenate([*self.sets, np.zeros(0, _U)]))
+        #: Which shingle of ``all`` stands in which template.
+        self.owner = np.array([np.isin(self.all, own) for own in self.sets], bool).reshape(len(self.sets), len(self.all))
+        self.sizes = np.array([len(own) for own in self.sets], np.int64)
         self.bands: dict[int, set[int]] = {}
         for t, own in enumerate(self.sets):
             for key in band_keys(own).tolist():
@@ -64,11 +68,11 @@ class Templates:
     def search(self, h: np.ndarray) -> list[dict]:
         """The best place of every template in one text's shingles; ties: the first."""
         best: dict[int, tuple[float, int, int]] = {}
-        for t, own in enumerate(self.sets):
-            size = len(own)
-            hits = np.flatnonzero(np.isin(h, own))
-            if len(hits) < CONTAINED * size:
-                continue
+        known = np.flatnonzero(np.isin(h, self.all))
+        present = np.searchsorted(self.all, np.unique(h[known]))
+        for t in np.flatnonzero(self.owner[:, present].sum(1) >= CONTAINED * self.sizes).tolist():
+            size = len(self.sets[t])
+            hits = known[np.isin(h[known], self.sets[t])]
             step = max(1, size // 8)
             starts = np.unique(np.concatenate([(hits // step - k) * step for k in range(-(-size // step) + 1)]))
             starts = starts[(starts >= 0) & (starts < len(h))]
@@ -95,7 +99,7 @@ def find_licenses(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFra
     docs = docs.drop("licenses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(texts)
+        templates = remembered(("licences", *sorted(texts.items())), lambda: Templates(texts))
         for batch in batches:
             raw, offsets = strings(batch.column(batch.schema.get_field_index("text")))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]

@@ -262,3 +262,34 @@ def test_licences_against_all_windows(spark):
         # Starts of windows are an eighth of a template apart: what is clearly above the share is found, nothing below it is.
         assert {n for n, s in shares.items() if s >= 0.9} <= out[doc_id] <= {n for n, s in shares.items() if s >= 0.8}, doc_id
     assert licenses.find_licenses(docs_of(spark, [])).count() == 0
+
+
+def test_licence_lines_that_documents_hold(spark, tmp_path):
+    from roadfuse.llm.queries import op9_license_scan
+
+    rng = random.Random(14)
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short",  # this and the next four stand in sf0.1
+        "All rights reserved.": "all-rights-reserved",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0-notice",
+        "Released under the MIT License.": "mit-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-notice",
+        "CC-BY-NC-SA-3.0": "cc-by-nc-sa-3.0-short",
+        "CC BY 4.0": "cc-by-4.0-short",
+        "See https://creativecommons.org/licenses/by-nd/4.0/legalcode": "cc-by-nd-4.0-address",
+        "a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License": "cc-by-nc-nd-3.0-long-2",
+        "the Creative Commons Attribution-NonCommercial licence": "cc-nc-long",
+        "Licensed under CC BY-NC.": "cc-nc-short",
+        "CC0 1.0 Universal": "cc0-1.0-short",
+        "This package is licensed under the GNU Lesser General Public License v3": "lgpl-notice",
+        "It is licensed under the GNU Affero General Public License.": "agpl-notice",
+    }
+    rows = [(i, f"{prose(rng, 80)}\n{line}\n{prose(rng, 40)}") for i, line in enumerate(lines)] + [(99, prose(rng, 200))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op9_license_scan(spark, str(tmp_path)).collect()}
+    for i, (line, name) in enumerate(lines.items()):
+        assert name in out[i].licenses.split(","), line
+    assert out[99].n_licenses == 0
+    # Another member of the family is not reported, but for the non-commercial notice that its name holds.
+    assert set(out[5].licenses.split(",")) == {"cc-by-nc-sa-3.0-short", "cc-nc-short"}
+    assert out[6].licenses == "cc-by-4.0-short" and out[4].licenses == "gpl-3.0-notice"
