@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import LAT, LON
+from rows import LAT, LON
 from pyspark.sql import functions as F
 
 from roadfuse.config import Config

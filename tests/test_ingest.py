@@ -2,7 +2,7 @@ import datetime
 import json
 from collections import Counter
 
-from conftest import BASE, at, observation, table
+from rows import BASE, at, observation, table
 from pyspark.sql import functions as F
 
 from roadfuse.config import Config

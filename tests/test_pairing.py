@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import LAT, LON, at, frame, observation, table
+from rows import LAT, LON, at, frame, observation, table
 from pyspark.sql import functions as F
 
 from roadfuse.functions import geo

@@ -1,7 +1,7 @@
 import datetime
 import json
 
-from conftest import at, frame, observation, table
+from rows import at, frame, observation, table
 from pyspark.sql import functions as F
 
 from roadfuse.config import Config
