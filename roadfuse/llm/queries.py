@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, tokenfile, warc
+from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, minhash, quality, tokenfile, warc
 from roadfuse.llm.shared import shared_folder, small_batches, written
 
 
@@ -91,6 +91,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("matches")).select("doc_id", "item_id", "edits")
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -102,10 +106,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op12_minhash_dedup": op12_minhash_dedup,
 }
 
 TWINS = {
     "op1_quality_rules": quality.TWIN,
     "op6_line_dedup": linededup.TWIN,
     "op7_chat_format": chat.TWIN,
+    "op12_minhash_dedup": minhash.TWIN,
 }
