@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, minhash, quality, tokenfile, warc
+from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, minhash, quality, spelling, tokenfile, warc
 from roadfuse.llm.shared import shared_folder, small_batches, written
 
 
@@ -95,6 +95,10 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), slip_every=31)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -107,6 +111,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
     "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 TWINS = {
