@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, minhash, quality, spelling, tokenfile, warc
+from roadfuse.llm import bpe, chat, decontaminate, hardneg, jaccard, langid, licenses, linededup, minhash, quality, spelling, tokenfile, warc
 from roadfuse.llm.shared import shared_folder, small_batches, written
 
 
@@ -91,6 +91,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("matches")).select("doc_id", "item_id", "edits")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    vectors = _table(spark, sf_dir, "embeddings").filter(finite)
+    x = F.expr("transform(embedding, x -> cast(floor(256 * double(x)) as long))")
+    vectors = vectors.select(F.col("vec_id").alias("id"), label.alias("label"), x.alias("x"))
+    return hardneg.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -110,6 +119,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_minhash_dedup": op12_minhash_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -118,5 +128,6 @@ TWINS = {
     "op1_quality_rules": quality.TWIN,
     "op6_line_dedup": linededup.TWIN,
     "op7_chat_format": chat.TWIN,
+    "op11_hard_negatives": hardneg.TWIN,
     "op12_minhash_dedup": minhash.TWIN,
 }
