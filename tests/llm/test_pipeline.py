@@ -87,7 +87,7 @@ def test_run_and_registration(spark, folder):
     out = entry.queries()["pipeline"](spark, path)
     assert 0 < out.count() < len(rows)
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
