@@ -55,8 +55,8 @@ def fit_sensor_model(observations: DataFrame, active: SensorModel | None, cfg: C
         return None
 
 
-def score_observations(observations: DataFrame, model: SensorModel, scored_at) -> DataFrame:
-    """Observations -> ``observation_score`` rows (one projection, no shuffle)."""
+def score_observations(observations: DataFrame, model: SensorModel, scored_at, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observations -> ``observation_score`` rows (one projection, no shuffle); ``keep`` columns stay."""
     scored = score_columns(observations, model)
     outlier = F.col("_degenerate")
     if model.forest:
@@ -71,4 +71,5 @@ def score_observations(observations: DataFrame, model: SensorModel, scored_at) -
         outlier.alias("sensor_is_outlier"),
         F.lit(model.version).alias("sensor_model_version"),
         F.lit(scored_at).cast("timestamp").alias("scored_at"),
+        *keep,
     )

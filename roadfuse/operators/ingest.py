@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadfuse.config import Config
 from roadfuse.functions.timeparse import parse_iso
 from roadfuse.operators import validate
+from roadfuse.operators.idfilter import StoredIds
 from roadfuse.schema import table_schema
 from roadfuse.session import compute_once
 from roadfuse.sources.uploads import blob_path, explode_envelopes
@@ -33,17 +34,19 @@ def first_by_id(rows: DataFrame, key: str, order: list[str | Column]) -> DataFra
     return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def absent_from(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+def absent_from(rows: DataFrame, existing: DataFrame | StoredIds, key: str) -> DataFrame:
     """Rows whose key the target does not hold yet.
 
-    The target is first reduced to the keys of this batch. A batch small enough to broadcast
-    then only costs a scan of the target's key column instead of a shuffle of the target.
+    Stored ids answer by their filters first. A plain target is first reduced to the keys of this batch: a batch small
+    enough to broadcast then only costs a scan of the target's key column instead of a shuffle of the target.
     """
+    if isinstance(existing, StoredIds):
+        return existing.absent(rows, key)
     known = existing.select(key).join(rows.select(key), key, "left_semi")
     return rows.join(known, key, "left_anti")
 
 
-def append_new(rows: DataFrame, existing: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
+def append_new(rows: DataFrame, existing: DataFrame | StoredIds, key: str, order: list[str | Column]) -> DataFrame:
     """Insert-if-absent: the first arrival of every key the target lacks."""
     return absent_from(first_by_id(rows, key, order), existing, key)
 
@@ -62,7 +65,7 @@ def _reject_envelopes(envelopes: DataFrame, rules: dict[str, Column]) -> DataFra
 
 
 def ingest_observations(
-    envelopes: DataFrame, existing: DataFrame, cfg: Config, mode: str = "per_row"
+    envelopes: DataFrame, existing: DataFrame | StoredIds, cfg: Config, mode: str = "per_row"
 ) -> IngestResult:
     """Envelopes -> accepted ids, rejected items and new observation rows.
 
@@ -108,7 +111,7 @@ def ingest_observations(
     return IngestResult(ok.select("request_id", "pos", "client_id"), rejected, _as_table(new, "observation"), items)
 
 
-def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame, cfg: Config) -> IngestResult:
+def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame | StoredIds, cfg: Config) -> IngestResult:
     """Frame requests and their blobs -> accepted ids, rejected requests and new frame rows."""
     metadata = compute_once(metadata, {"ts_utc": parse_iso(F.col("ts"))})
     rules = validate.envelope_rules() | validate.frame_rules(F.col, F.col("ts_utc"))

@@ -147,13 +147,13 @@ SENSOR_COLUMNS = ("magnitude", "accel_std", "gbar_in_max", "speed_mps")
 
 
 def attach_signals(
-    pairs: DataFrame, frames: DataFrame, observations: DataFrame, scores: DataFrame | None
+    pairs: DataFrame, frames: DataFrame, observations: DataFrame, scores: DataFrame | None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Adds the visual, sensor and (when scored) model columns a fusion strategy reads."""
+    """Adds the visual, sensor and (when scored) model columns a fusion strategy reads, and ``keep`` columns of the observation."""
     visual = frames.select(
         F.col("client_id").alias("frame_client_id"), F.col("device_probability").alias("visual_confidence")
     )
-    sensor = observations.select(F.col("client_id").alias("event_client_id"), *SENSOR_COLUMNS)
+    sensor = observations.select(F.col("client_id").alias("event_client_id"), *SENSOR_COLUMNS, *keep)
     out = pairs.join(sensor, "event_client_id").join(visual, "frame_client_id")
     if scores is None:
         return out.withColumns(
@@ -165,7 +165,7 @@ def attach_signals(
     return out.join(scored, "event_client_id", "left")
 
 
-def fuse(pairs: DataFrame, strategy: FusionStrategy) -> DataFrame:
+def fuse(pairs: DataFrame, strategy: FusionStrategy, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with signals -> the measures of ``fusion_pair``."""
     return pairs.withColumn("_out", strategy.fuse(PairColumns.named())).select(
         "event_client_id",
@@ -174,6 +174,7 @@ def fuse(pairs: DataFrame, strategy: FusionStrategy) -> DataFrame:
         F.col("_out.severity").alias("severity"),
         "delta_ms",
         "delta_m",
+        *keep,
     )
 
 
@@ -184,8 +185,10 @@ def pair_and_fuse(
     strategy: FusionStrategy,
     cfg: Config,
     first_ms: tuple[int, ...] = (),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
+    """Every frame's nearest observation and their fused measures; ``keep`` columns of the observation stay."""
     pairs = nearest_observation(
         frames, observations, cfg.fusion_window_ms, cfg.fusion_window_m, first_ms
     )
-    return fuse(attach_signals(pairs, frames, observations, scores), strategy)
+    return fuse(attach_signals(pairs, frames, observations, scores, keep), strategy, keep)

@@ -1,7 +1,8 @@
 """Incremental jobs: ingest, fit, fusion and clustering over stored tables.
 
 All of them may be repeated: appends are keyed by batch, upserts by row key, and times come
-from ``as_of``. Small results (counts, the model, one audit row) are all that reaches the driver.
+from ``as_of``. Small results (counts, the model, one audit row, names of partitions) are all that reaches the
+driver. A tick reads the open batches of its queue and rewrites the partitions its rows fall into.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from roadfuse.model.artifact import SensorModel, activation_rows, forest_rows, l
 from roadfuse.model.fit import fit_sensor_model, score_observations
 from roadfuse.operators import clusters as clustering
 from roadfuse.operators import ingest, members, pairing, ratelimit, reconcile, upsert
+from roadfuse.operators.idfilter import StoredIds
 from roadfuse.operators.validate import batch_rules, envelope_rules, failures
 from roadfuse.schema import table_schema
 from roadfuse.session import cut_lineage
-from roadfuse.sources.tables import Tables
+from roadfuse.sources.tables import Tables, day_number, day_of, folder_name
 
 log = logging.getLogger(__name__)
 
@@ -101,7 +103,7 @@ def run_ingest_observations(
     if limited:
         rules = envelope_rules() | batch_rules(cfg)
         envelopes, refused = _within_limit(envelopes, rules, "events", F.size("events"), tables, cfg, batch)
-    result = ingest.ingest_observations(envelopes, tables.read("observation"), cfg, mode)
+    result = ingest.ingest_observations(envelopes, StoredIds(tables, "observation", batch), cfg, mode)
     return _store(result, refused, "observation", "events", tables, batch)
 
 
@@ -112,7 +114,7 @@ def run_ingest_frames(
     refused = None
     if limited:
         metadata, refused = _within_limit(metadata, envelope_rules(), "frames", F.lit(1), tables, cfg, batch)
-    result = ingest.ingest_frames(metadata, blobs, tables.read("frame"), cfg)
+    result = ingest.ingest_frames(metadata, blobs, StoredIds(tables, "frame", batch), cfg)
     return _store(result, refused, "frame", "frames", tables, batch)
 
 
@@ -162,9 +164,64 @@ def unprocessed(frames: DataFrame, processed: DataFrame, n: int | None = None) -
     return oldest(frames.join(processed.select("client_id"), "client_id", "left_anti"), n)
 
 
+def days_of(rows: DataFrame) -> list[int]:
+    """The days on which ``rows`` arrived."""
+    return [r.day for r in rows.select(day_of("received_at").alias("day")).distinct().collect()]
+
+
+def open_rows(tables: Tables, source: str, done: str, run: str) -> tuple[DataFrame | None, list[str]]:
+    """(rows of ``source`` without a row in ``done``, the open batches that hold them), with batch and day.
+
+    Reads the folders of open batches, and of ``done`` the days of these. What ``run`` itself did earlier counts as open.
+    """
+    batches = tables.open_batches(source, f"{run}-{source}")
+    if not batches:
+        return None, []
+    days = sorted({d for of in batches.values() for d in of}, key=str)
+    rows = tables.read(source, batches=list(batches), days=days, partitions=True)
+    finished = tables.read(done, but_not=run, days=days).select("client_id")
+    return rows.join(finished, "client_id", "left_anti"), list(batches)
+
+
+def close_done(tables: Tables, source: str, rows: DataFrame, taken: DataFrame | None, batches: list[str], run: str) -> None:
+    """Closes the open batches of which this run did all rows; ``taken`` is None where it did all of them."""
+    left: set[str] = set()
+    if taken is not None:
+        rest = rows.join(taken.select("client_id"), "client_id", "left_anti")
+        left = {r.batch for r in rest.select("batch").distinct().collect()}
+    tables.close_batches(source, [b for b in batches if b not in left], run)
+
+
 def score_new(tables: Tables, model: SensorModel, cfg: Config, as_of: datetime.datetime, batch: str) -> None:
-    rows = unscored(tables.read("observation"), tables.read("observation_score"), cfg.fusion_batch_size)
-    tables.append("observation_score", score_observations(rows, model, as_of), batch)
+    """Scores the open observations, oldest first."""
+    rows, batches = open_rows(tables, "observation", "observation_score", batch)
+    if rows is None:
+        return
+    queue = oldest(rows, cfg.fusion_batch_size)
+    tables.append("observation_score", score_observations(queue, model, as_of, keep=("day",)), batch)
+    taken = None if cfg.fusion_batch_size is None else tables.read("observation_score", batches=[folder_name(batch)])
+    close_done(tables, "observation", rows, taken, batches, batch)
+
+
+def store_pairs(tables: Tables, pairs: DataFrame) -> None:
+    """Upserts pairs (``fusion_pair`` and, where known, the ``day`` of the observation) and the greatest confidence of every observation.
+
+    Only the partitions of these pairs are read and rewritten, both tables in one commit.
+    """
+    pairs = tables.placed("fusion_pair", pairs)
+    at = tables.partitions_of(pairs)
+    if not at:
+        return
+    keys = ["event_client_id", "frame_client_id"]
+    merged = upsert.upsert(tables.read_partitions("fusion_pair", at), pairs, keys, ["created_at"])
+    best = merged.groupBy("day", "bucket", F.col("event_client_id").alias("client_id")).agg(F.max("fused_confidence").alias("max_fused"))
+    tables.rewrite("pairing", {"fusion_pair": merged, "fused_max": best}, at)
+
+
+def fused_since(tables: Tables, since: datetime.datetime) -> DataFrame:
+    """(event_client_id, fused_confidence): the stored maxima of observations that arrived after ``since``; one observation may have several."""
+    stored = tables.read("fused_max", since=day_number(since))
+    return stored.select(F.col("client_id").alias("event_client_id"), F.col("max_fused").alias("fused_confidence"))
 
 
 def pair_new(
@@ -185,17 +242,15 @@ def pair_new(
         observations = pairing.around_frames(frames, tables.read("observation"), cfg.fusion_window_ms)
         steps = pairing.dense_steps(observations, cfg.fusion_window_ms, cfg.fusion_window_m)
         fused = pairing.pair_and_fuse(
-            frames, observations, tables.read("observation_score"), strategy, cfg, steps
+            frames, observations, tables.read("observation_score"), strategy, cfg, steps, keep=("received_at",)
         )
         pairs = cut_lineage(
-            fused.withColumns({"fusion_run_id": F.lit(run_id), "created_at": _lit(as_of)})
+            fused.withColumns({"fusion_run_id": F.lit(run_id), "created_at": _lit(as_of), "day": day_of("received_at")})
         )
         n_pairs = pairs.count()
-        keys = ["event_client_id", "frame_client_id"]
-        if n_pairs:
-            tables.replace("fusion_pair", upsert.upsert(tables.read("fusion_pair"), pairs, keys, ["created_at"]))
+        store_pairs(tables, pairs)
         tables.append(
-            "frame_processed", frames.select("client_id", _lit(as_of).alias("processed_at")), run_id
+            "frame_processed", frames.select("client_id", _lit(as_of).alias("processed_at"), day_of("received_at").alias("day")), run_id
         )
     finally:
         frames.unpersist()
@@ -215,8 +270,13 @@ def run_fusion(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id: st
     model = active_model(tables)
     if model is not None:
         score_new(tables, model, cfg, as_of, run_id)
-    frames = unprocessed(tables.read("frame"), tables.read("frame_processed"), cfg.fusion_batch_size)
-    return pair_new(tables, frames, model, cfg, as_of, run_id)
+    frames, batches = open_rows(tables, "frame", "frame_processed", run_id)
+    if frames is None:
+        return 0
+    n_pairs = pair_new(tables, oldest(frames, cfg.fusion_batch_size).drop("batch", "day"), model, cfg, as_of, run_id)
+    taken = None if cfg.fusion_batch_size is None else tables.read("frame_processed", batches=[folder_name(run_id)])
+    close_done(tables, "frame", frames, taken, batches, run_id)
+    return n_pairs
 
 
 # ── clustering ─────────────────────────────────────────────────────────────────
@@ -240,15 +300,25 @@ def cluster_rows(aggregated: DataFrame, mapping: DataFrame, as_of: datetime.date
     )
 
 
+def store_clusters(tables: Tables, rows: DataFrame, links: DataFrame) -> None:
+    """Upserts clusters and replaces their links; both tables change in one commit, in the buckets of these clusters only."""
+    rows, links = tables.placed("cluster", rows), tables.placed("cluster_link", links)
+    at = tables.partitions_of(rows)
+    clusters = upsert.upsert(tables.read_partitions("cluster", at), rows, ["cluster_id"], ["asset_type", "source", "repaired_at", "created_at"])
+    rebuilt = upsert.rebuild_links(tables.read_partitions("cluster_link", at), links)
+    tables.rewrite("clusters", {"cluster": clusters, "cluster_link": rebuilt}, at)
+
+
 def run_clustering(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id: str | None = None) -> int:
     """Clusters recent members into stored clusters; returns how many were written."""
     run_id = run_id or uuid4().hex
     stored = tables.read("cluster")
+    since = as_of - datetime.timedelta(days=cfg.cluster_window_days)
     chosen = cut_lineage(
         members.select_members(
-            tables.read("observation"),
-            tables.read("observation_score"),
-            tables.read("fusion_pair"),
+            tables.read("observation", since=day_number(since)),
+            tables.read("observation_score", since=day_number(since)),
+            fused_since(tables, since),
             stored,
             as_of,
             cfg,
@@ -265,13 +335,11 @@ def run_clustering(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id
         mapping = cut_lineage(reconcile.reconcile(aggregated, stored, cfg.cluster_eps_m, run_id))
         written = mapping.count()
         if written:
-            kept = ["asset_type", "source", "repaired_at", "created_at"]
             rows = cluster_rows(aggregated, mapping, as_of)
-            tables.replace("cluster", upsert.upsert(stored, rows, ["cluster_id"], kept))
             links = clustering.member_rows(labelled).join(mapping.select("label", "cluster_id"), "label").select(
                 "cluster_id", "member_id", F.lit("observation").alias("kind"), "fused_confidence"
             )
-            tables.replace("cluster_link", upsert.rebuild_links(tables.read("cluster_link"), links))
+            store_clusters(tables, rows, links)
     finally:
         labelled.unpersist()
     params = (
@@ -289,28 +357,56 @@ def run_clustering(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id
 
 def mark_repaired(tables: Tables, cluster_ids: DataFrame, at: datetime.datetime) -> None:
     """Sets ``repaired_at`` of the given clusters (``cluster_id`` column)."""
-    stored = tables.read("cluster")
-    hit = stored.join(cluster_ids.select("cluster_id"), "cluster_id", "left_semi").withColumn("repaired_at", _lit(at))
-    tables.replace("cluster", upsert.upsert(stored, hit, ["cluster_id"]))
-
-
-def delete_device(tables: Tables, device_id: str) -> dict[str, DataFrame]:
-    """What is left of every table once a device is removed with all that hangs on it."""
-    observations, frames = tables.read("observation"), tables.read("frame")
-    gone_obs = observations.filter(F.col("device_id") == device_id)
-    gone_frames = frames.filter(F.col("device_id") == device_id)
-    pairs = upsert.delete_cascade(gone_obs, "client_id", tables.read("fusion_pair"), "event_client_id")
-    return {
-        "observation": observations.filter(F.col("device_id") != device_id),
-        "frame": frames.filter(F.col("device_id") != device_id),
-        "observation_score": upsert.delete_cascade(
-            gone_obs, "client_id", tables.read("observation_score"), "client_id"
-        ),
-        "frame_processed": upsert.delete_cascade(
-            gone_frames, "client_id", tables.read("frame_processed"), "client_id"
-        ),
-        "fusion_pair": upsert.delete_cascade(gone_frames, "client_id", pairs, "frame_client_id"),
-        "cluster_link": upsert.delete_cascade(
-            gone_obs, "client_id", tables.read("cluster_link"), "member_id"
-        ),
-    }
+    ids = tables.placed("cluster", cluster_ids.select("cluster_id"))
+    touched = tables.partitions_of(ids)
+    if not touched:
+        return
+    stored = tables.read_partitions("cluster", touched)
+    hit = ids.select("cluster_id", F.lit(True).alias("_hit")).distinct()
+    repaired = F.when(F.col("_hit"), _lit(at)).otherwise(F.col("repaired_at"))
+    rows = stored.join(hit, "cluster_id", "left").withColumn("repaired_at", repaired).drop("_hit")
+    tables.rewrite("clusters", {"cluster": rows}, touched)
+
+
+def delete_device(tables: Tables, device_id: str) -> None:
+    """Removes a device with all that hangs on it: observations and frames, their scores, marks, ids, pairs and links, and its rate-limit rows.
+
+    Children go before their parents, so an interrupted run finds the parents again when it is repeated. Every table is
+    rewritten only in partitions that hold rows to remove; pairs and maxima, clusters and links change together.
+    """
+    own = F.col("device_id") == device_id
+    gone = {name: cut_lineage(tables.read(name, partitions=True).filter(own).select("client_id", "batch", "day")) for name in ("observation", "frame")}
+    events, frames = (gone[name].select("client_id") for name in ("observation", "frame"))
+
+    pairs = tables.read("fusion_pair", partitions=True)
+    hit = pairs.join(events.withColumnRenamed("client_id", "event_client_id"), "event_client_id", "left_semi").select("day", "bucket")
+    hit = hit.union(pairs.join(frames.withColumnRenamed("client_id", "frame_client_id"), "frame_client_id", "left_semi").select("day", "bucket"))
+    if at := tables.partitions_of(hit):
+        left = tables.read_partitions("fusion_pair", at)
+        left = upsert.delete_cascade(events, "client_id", left, "event_client_id")
+        left = cut_lineage(upsert.delete_cascade(frames, "client_id", left, "frame_client_id"))
+        best = left.groupBy("day", "bucket", F.col("event_client_id").alias("client_id")).agg(F.max("fused_confidence").alias("max_fused"))
+        tables.rewrite("pairing", {"fusion_pair": left, "fused_max": best}, at)
+    links = tables.read("cluster_link", partitions=True).join(events.withColumnRenamed("client_id", "member_id"), "member_id", "left_semi")
+    if at := tables.partitions_of(links):
+        left = upsert.delete_cascade(events, "client_id", tables.read_partitions("cluster_link", at), "member_id")
+        tables.rewrite("clusters", {"cluster_link": left}, at)
+
+    for child, parents in (("observation_score", events), ("frame_processed", frames)):
+        rows = tables.read(child, partitions=True)
+        tables.remove_rows(child, parents, [(r.batch, r.day) for r in rows.join(parents, "client_id", "left_semi").select("batch", "day").distinct().collect()])
+    limits = tables.read("device_rate_limit", partitions=True).filter(own)
+    devices = limits.select("device_id").distinct()
+    tables.remove_rows("device_rate_limit", cut_lineage(devices), [(r.batch, None) for r in limits.select("batch").distinct().collect()], "device_id")
+    for name, ids in (("observation", events), ("frame", frames)):
+        tables.remove_rows(name, ids, [(r.batch, r.day) for r in gone[name].select("batch", "day").distinct().collect()])
+        tables.forget_ids(name, ids)
+
+
+def clear_missing_runs(tables: Tables) -> None:
+    """``fusion_run_id`` of pairs becomes null where the audit no longer holds the run; only partitions with such pairs are rewritten."""
+    pairs, runs = tables.read("fusion_pair", partitions=True), tables.read("fusion_run")
+    orphans = pairs.filter("fusion_run_id is not null").join(runs.select(F.col("run_id").alias("fusion_run_id")), "fusion_run_id", "left_anti")
+    if at := tables.partitions_of(orphans):
+        left = upsert.set_null_missing(tables.read_partitions("fusion_pair", at), "fusion_run_id", runs, "run_id")
+        tables.rewrite("pairing", {"fusion_pair": left}, at)

@@ -48,6 +48,8 @@ TABLES = {
         "event_client_id STRING, frame_client_id STRING, fused_confidence DOUBLE, severity DOUBLE, "
         "delta_ms LONG, delta_m DOUBLE, fusion_run_id STRING, created_at TIMESTAMP"
     ),
+    "fused_max": "client_id STRING, max_fused DOUBLE",
+    "closed_batch": "source STRING, closed STRING",
     "cluster": (
         "cluster_id STRING, asset_type STRING, lat DOUBLE, lon DOUBLE, severity DOUBLE, confidence DOUBLE, "
         "observation_count LONG, distinct_devices LONG, last_seen TIMESTAMP, source STRING, "

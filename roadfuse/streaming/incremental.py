@@ -105,8 +105,8 @@ def start_scoring(
     def each(batch: DataFrame, name: str) -> None:
         model = jobs.active_model(tables)
         if model is not None:
-            scored = tables.read("observation_score", but_not=name)
-            tables.append("observation_score", score_observations(jobs.unscored(batch, scored), model, clock()), name)
+            scored = tables.read("observation_score", but_not=name, days=jobs.days_of(batch))
+            tables.append("observation_score", score_observations(jobs.unscored(batch, scored), model, clock(), keep=("received_at",)), name)
 
     return _start(observations, "observation-scoring", checkpoint, trigger, each)
 
@@ -126,7 +126,7 @@ def start_pairing(
     """
 
     def each(batch: DataFrame, name: str) -> None:
-        fresh = jobs.unprocessed(batch, tables.read("frame_processed", but_not=name))
+        fresh = jobs.unprocessed(batch, tables.read("frame_processed", but_not=name, days=jobs.days_of(batch)))
         jobs.pair_new(tables, fresh, jobs.active_model(tables), cfg, clock(), name)
 
     return _start(frames, "frame-pairing", checkpoint, trigger, each)

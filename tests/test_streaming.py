@@ -115,11 +115,11 @@ def test_rate_limit_stream_equals_batch_and_replays(spark, tmp_path):
     cols = ["request_id", "current", "allowed"]
     assert rows_of(got.select(*cols)) == rows_of(want.select(*cols))
     # A repeated batch does not count its own requests twice.
-    last = sorted(name for name, _ in tables._folders("device_rate_limit"))[-1]
+    last = tables.batches("device_rate_limit")[-1]
     before = tables.read("device_rate_limit").agg(F.sum("request_count")).first()[0]
     late = requests.join(got.select("request_id"), "request_id").filter(F.col("received_at") >= F.lit(at(-1e9))).limit(0)
     jobs.decide(late, tables, cfg, "extra")
-    assert tables.read("device_rate_limit").agg(F.sum("request_count")).first()[0] == before and last.startswith("batch-")
+    assert tables.read("device_rate_limit").agg(F.sum("request_count")).first()[0] == before and last.startswith("rate-limit-")
 
 
 def test_scoring_and_pairing_streams_equal_batch(spark, tmp_path):
