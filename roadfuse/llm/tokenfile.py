@@ -127,7 +127,6 @@ def _chunk_ids(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     width = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, i in tokenizer.get_vocab().items():
         width[i] = len(token)  # one character stands for one byte
@@ -150,7 +149,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer_path: str, end_id: int =
     Documents are dealt out by ranges of doc_id, so that file after file and row after row ids
     ascend; nulls come first, equal doc_ids are ordered by text. A null text counts as empty.
     Each document ends with ``end_id``. Special tokens that a text spells out, such as ``<|endoftext|>``, get
-    the ids of their characters; the tokenizer's plain call would give the special id. ``files`` is the number of ranges; by default the
+    their special ids, as from the tokenizer's plain call. ``files`` is the number of ranges; by default the
     session's number of shuffle partitions. Returns the manifest: file_no, path, n_docs, n_tokens, bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ from roadfuse.llm.wordhash import strings
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
-ODD = ["", " ", "\n", "  a  b ", "don't  stop", "th" * 4000, "日本語 テキスト　です\xa0x", "x\r\n y", "a  b à c « d »", "<|endoftext|> x", "\x00 \x1c y"]
+ODD = ["", " ", "\n", "  a  b ", "don't  stop", "th" * 4000, "日本語 テキスト　です\xa0x", "x\r\n y", "a  b à c « d »", "<|endoftext|> x", "a  <|endoftext|>  b c d", "x y<|endoftext|>z w", "a b <|endoftext|> c <|endoftext|><|endoftext|> d e", "\x00 \x1c y"]
 
 
 def library(kind):
@@ -26,7 +26,6 @@ def library(kind):
         own = bpe.Ranks(RANKS)
         return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.rank, special_tokens={}).encode_ordinary
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
