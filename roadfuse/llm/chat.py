@@ -4,7 +4,7 @@ A turn is written as ``<|start|>role<|message|>body<|end|>``. The parts of a mes
 order: text is escaped, an image, an audio clip or a document becomes a placeholder, and its
 reference and expanded number of tokens are recorded. Escaping breaks every control string inside
 texts and can be undone: ``\\`` becomes ``\\0``, and the first character of a control string becomes
-``\\1`` (for ``<``) or ``\\2`` (for ``[``).
+``\\1`` (for ``<``) or ``\\2`` (for ``[``). Between two text parts stands ``\\3``, so that they can't make one together.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\1"), F.lit("<")), F.lit("\\2"), F.lit("["))
+    out = F.replace(F.replace(F.replace(text, F.lit("\\3"), F.lit("")), F.lit("\\1"), F.lit("<")), F.lit("\\2"), F.lit("["))
     return F.replace(out, F.lit("\\0"), F.lit("\\"))
 
 
@@ -57,8 +57,12 @@ def plain_parts(text: Column) -> Column:
     return F.array(part)
 
 
-def _visit(part: Column, expansion: Expansion) -> Column:
-    """A part as struct<body, is_text, tokens>: what is written, and the tokens an attachment expands to."""
+def _is_media(part: Column) -> Column:
+    return F.coalesce(part["type"].isin("image", "audio", "document"), F.lit(False))
+
+
+def _visit(part: Column, before: Column, expansion: Expansion) -> Column:
+    """A part as struct<body, is_text, tokens>: what is written, and the tokens an attachment expands to. ``before`` is the part before it, or null."""
     kind = part["type"]
     patches = lambda side: F.ceil(part[side] / F.lit(expansion.patch))
     tokens = (
@@ -66,9 +70,10 @@ def _visit(part: Column, expansion: Expansion) -> Column:
         .when(kind == "audio", F.ceil(part["seconds"] * expansion.audio_per_second))
         .when(kind == "document", part["pages"] * expansion.per_page)
     )
-    media = kind.isin("image", "audio", "document")
-    body = F.when(media, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
-    return F.struct(body.alias("body"), (~F.coalesce(media, F.lit(False))).alias("is_text"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
+    media = _is_media(part)
+    joint = F.when(before.isNotNull() & ~_is_media(before), F.lit("\\3")).otherwise(F.lit(""))
+    body = F.when(media, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.concat(joint, escape(F.coalesce(part["text"], F.lit("")))))
+    return F.struct(body.alias("body"), (~media).alias("is_text"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
 
 
 def format_chat(messages: DataFrame, expansion: Expansion = Expansion(), trained_role: str = "assistant") -> DataFrame:
@@ -81,7 +86,7 @@ def format_chat(messages: DataFrame, expansion: Expansion = Expansion(), trained
     unknown type as text. Rows of a null conv_id are one conversation.
     """
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PARTS)).alias("parts"))
-    rows = rows.withColumn("visited", F.transform("parts", lambda p: _visit(p, expansion)))
+    rows = rows.withColumn("visited", F.transform("parts", lambda p, i: _visit(p, F.get("parts", i - 1), expansion)))
     rows = rows.withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(MESSAGE)))
     # Places of the parts inside the turn: few parts per message.
     before = lambda i: F.aggregate(F.slice("visited", 1, i), F.char_length("head"), lambda n, v: n + F.char_length(v["body"]))

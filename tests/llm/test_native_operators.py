@@ -115,6 +115,23 @@ def test_chat_parts(spark):
     assert [(a.tokens, a.ref) for a in out[2].attachments] == [(0, "unknown")] and list(out[2].loss_text) == ["kept"]
 
 
+def test_control_strings_across_parts(spark):
+    """Every control string, cut at every place into two or three text parts, reads back and stays no control string."""
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    rows, want = [], {}
+    for c in chat.CONTROLS:
+        for cut in range(len(c) + 1):
+            texts = ["a" + c[:cut], c[cut:] + "\\3", "", c]
+            rows.append((len(rows), 0, "assistant", [*(part("text", x) for x in texts), part("image"), part("text", c[:1]), part("text", c[1:])]))
+            want[len(rows) - 1] = (texts, c)
+    said = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    for r in chat.read_chat(chat.format_chat(said)).collect():
+        texts, c = want[r.conv_id]
+        assert r.turns[0].text == "".join(texts) + "<|image|>" + c and list(r.loss_text) == [*texts, c[:1], c[1:]]
+        for control in chat.CONTROLS:
+            assert r.formatted.count(control) == (1 if control in (chat.START, chat.MESSAGE, chat.END, "<|image|>") else 0)
+
+
 def test_chat_of_nothing(spark):
     assert formatted(spark, []).count() == 0
 
