@@ -1,14 +1,12 @@
 """Repeated runs of lines, found by winnowing over line hashes; only the first occurrence stays.
 
-A window is the shortest run of whole lines from a given line on that holds ``min_words`` words.
+A window is the shortest run of whole lines from a given line on, or up to a given line, that holds ``min_words`` words.
 Of each window the line with the most words (ties: smallest hash, then first) is its fingerprint,
 so two texts that share a window share its fingerprint, and neighbouring windows mostly share
 theirs. Fingerprints that stand in more than one place are joined by position with the windows
 around them. A window whose lines all stood earlier, in a smaller doc_id or higher up in the same
-text, is repeated. Every shared run of ``min_words`` words or more is found, because it holds a window.
-Windows from a line on leave the lines of a run behind its last full window. With ``whole_runs``
-there is also the shortest window that ends at each line, and both kinds count lines without words,
-so that the repeated windows add up to the whole run on both sides.
+text, is repeated. Every shared run of ``min_words`` words or more is found, because it holds a window, and the windows from
+its first line on and up to its last line extend the match to both sides, so that the whole run goes.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import written
+from roadfuse.llm.shared import unused, written
 from roadfuse.llm.wordhash import hash_spans, mix, pieces, ragged, strings, word_spans
 
 _U = np.uint64
@@ -29,7 +27,7 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _WINDOWS = "line_hash long, windows array<struct<first: int, last: int, hash: long>>"
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, min_words: int, whole_runs: bool = False) -> tuple[np.ndarray, ...]:
+def windows(raw: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """(row, first line, end line, window hash, fingerprint line's hash, fingerprint) of every window, by fingerprint."""
     breaks = np.flatnonzero(raw == 10)
     starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
@@ -43,16 +41,15 @@ def windows(raw: np.ndarray, offsets: np.ndarray, min_words: int, whole_runs: bo
     h = hash_spans(raw, starts, ends)
     first_line = np.searchsorted(rows, np.arange(len(offsets)))  # of each row, and the end
     total = np.concatenate(([0], np.cumsum(words)))
-    first = np.arange(n) if whole_runs else np.flatnonzero(words > 0)
+    first = np.arange(n)
     end = np.searchsorted(total, total[first] + min_words)
     inside = end <= first_line[rows[first] + 1]
     first, end = first[inside], end[inside]
-    if whole_runs:
-        upto_line = np.arange(1, n + 1)
-        back = np.searchsorted(total, total[1:] - min_words, "right") - 1
-        # Without those that are also the shortest from their first line on.
-        more = (back >= first_line[rows]) & (total[:-1] - total[back] >= min_words)
-        first, end = np.concatenate((first, back[more])), np.concatenate((end, upto_line[more]))
+    upto_line = np.arange(1, n + 1)
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    # Without those that are also the shortest from their first line on.
+    more = (back >= first_line[rows]) & (total[:-1] - total[back] >= min_words)
+    first, end = np.concatenate((first, back[more])), np.concatenate((end, upto_line[more]))
     if not len(first):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(_U), none.astype(_U), none
@@ -60,26 +57,28 @@ def windows(raw: np.ndarray, offsets: np.ndarray, min_words: int, whole_runs: bo
     inverse = np.cumprod(np.concatenate(([_U(1)], np.full(n, _INVERSE))))
     prefix = np.concatenate(([_U(0)], np.cumsum(h * power[:-1])))
     key = mix((prefix[end] - prefix[first]) * inverse[first] + (end - first).astype(_U) * _BASE)
-    # Window minima of (fewest words last, hash, place) by doubling.
-    order = ((4095 - np.minimum(words, 4095)).astype(_U) << _U(52)) | ((h >> _U(36)) << _U(24)) | np.arange(n, dtype=_U)
-    levels = [order]
+    # Window minima of (fewest words last, hash, place) by doubling, over the lines' ranks in that order.
+    by_rank = np.lexsort((h, -words))
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    levels = [rank]
     for k in range(int(np.log2((end - first).max()))):
         own, step = levels[-1], 1 << k
         levels.append(np.minimum(own[: len(own) - step], own[step:]))
     level = np.log2(end - first).astype(np.int64)
-    best = np.empty(len(first), _U)
+    best = np.empty(len(first), np.int64)
     for k in np.unique(level):
         at = level == k
         best[at] = np.minimum(levels[k][first[at]], levels[k][end[at] - (1 << k)])
-    mark = (best & _U(0xFFFFFF)).astype(np.int64)
-    if whole_runs:  # all windows of a fingerprint side by side
-        by = np.argsort(mark, kind="stable")
-        first, end, key, mark = first[by], end[by], key[by], mark[by]
+    mark = by_rank[best]
+    # All windows of a fingerprint side by side.
+    by = np.argsort(mark, kind="stable")
+    first, end, key, mark = first[by], end[by], key[by], mark[by]
     row = rows[first]
     return row, first - first_line[row], end - first_line[row], key, h[mark], mark
 
 
-def fingerprints(docs: DataFrame, min_words: int, whole_runs: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     """Per fingerprint: its document, the line's hash, and the windows it stands for. ``docs``: doc_id, doc_hash, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +86,7 @@ def fingerprints(docs: DataFrame, min_words: int, whole_runs: bool = False) -> D
             raw, offsets = strings(batch.column(2))
             for a, b in pieces(raw, offsets):
                 own_raw, own_offsets = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                row, first, end, key, line, mark = windows(own_raw, own_offsets, min_words, whole_runs)
+                row, first, end, key, line, mark = windows(own_raw, own_offsets, min_words)
                 if not len(row):
                     continue
                 lead = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
@@ -102,9 +101,9 @@ def fingerprints(docs: DataFrame, min_words: int, whole_runs: bool = False) -> D
     return docs.mapInArrow(run, f"doc_id long, doc_hash long, {_WINDOWS}")
 
 
-def repeated_windows(docs: DataFrame, min_words: int, whole_runs: bool = False) -> DataFrame:
+def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, doc_hash, first, last): windows of lines that stood earlier; lines count from 0, ``last`` is excluded."""
-    prints = written(fingerprints(docs, min_words, whole_runs), "line-fingerprints")
+    prints = written(fingerprints(docs, min_words), "line-fingerprints")
     # Counts and first places are summed before the shuffle and stored, so that the joins below
     # meet two plain shuffles, whose hot keys Spark splits.
     twice = written(prints.groupBy("line_hash").agg(F.count("*").alias("n")).filter("n > 1").select("line_hash"), "line-repeats")
@@ -129,11 +128,10 @@ def _covered(spans: list[dict], lines: int) -> np.ndarray:
     return np.cumsum(edge)[:lines] > 0
 
 
-def delete_repeated_lines(docs: DataFrame, min_words: int = 50, whole_runs: bool = False) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text, ...) without the later occurrences of runs of lines of ``min_words`` words or more.
 
-    Without ``whole_runs`` (as in ``TWIN``) the lines behind the last full window of a run stay; with it the
-    whole run goes, however short its first and last lines are.
+    The whole run goes, however short its first and last lines are.
 
     Adds n_lines and n_deleted (long), replacing columns of these names; other columns stay. A run
     that repeats itself inside a text loses the repeats that don't overlap its first occurrence.
@@ -141,22 +139,24 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = 50, whole_runs: bool
     before all others, and different texts of one doc_id are ordered by a hash. A null text stays null with 0 lines; shorter runs, and lines that repeat
     singly with fewer words, stay.
     """
-    docs = docs.drop("n_lines", "n_deleted").withColumn("_hash", F.xxhash64("text"))
+    docs = docs.drop("n_lines", "n_deleted")
+    hashed, at_doc, at_hash, spans_of = (unused(c, docs.columns) for c in ("_hash", "_doc", "_doc_hash", "_spans"))
+    docs = docs.withColumn(hashed, F.xxhash64("text"))
     spans = (
-        repeated_windows(docs.select(F.col("doc_id").cast("long"), F.col("_hash").alias("doc_hash"), "text"), min_words, whole_runs)
+        repeated_windows(docs.select(F.col("doc_id").cast("long"), F.col(hashed).alias("doc_hash"), "text"), min_words)
         .groupBy("doc_id", "doc_hash")
-        .agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-        .select(F.col("doc_id").alias("_doc"), F.col("doc_hash").alias("_doc_hash"), "_spans")
+        .agg(F.collect_set(F.struct("first", "last")).alias(spans_of))
+        .select(F.col("doc_id").alias(at_doc), F.col("doc_hash").alias(at_hash), spans_of)
     )
     spans = written(spans, "line-spans")
     # Sorted and merged at every size: a broadcast would only last as long as few runs repeat.
-    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_doc_hash")), "left")
-    joined = joined.drop("_doc", "_doc_hash", "_hash")
-    names = [c for c in joined.columns if c != "_spans"]
+    joined = docs.join(spans.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(at_doc)) & (F.col(hashed) == F.col(at_hash)), "left")
+    joined = joined.drop(at_doc, at_hash, hashed)
+    names = [c for c in joined.columns if c != spans_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_spans"))
+            text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", spans_of))
             out, lines, deleted = [], [], []
             for t, s in zip(text.to_pylist(), spans.to_pylist()):
                 own = [] if t is None else t.split("\n")
@@ -179,11 +179,15 @@ lines AS (
   FROM (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM docs)
 ),
 sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
-worded AS (SELECT * FROM sums WHERE words > 0),
+worded AS (SELECT *, upto - words AS before FROM sums WHERE words > 0),
 wins AS (
   SELECT a.doc_id, a.i AS first, b.i AS last
-  FROM (SELECT *, upto - words + 50 AS need FROM worded) a
+  FROM (SELECT *, upto - words + 50 AS need FROM sums) a
   ASOF JOIN worded b ON a.doc_id = b.doc_id AND a.need <= b.upto
+  UNION
+  SELECT b.doc_id, a.i, b.i
+  FROM (SELECT *, upto - 50 AS room FROM sums) b
+  ASOF JOIN worded a ON a.doc_id = b.doc_id AND b.room >= a.before
 ),
 keyed AS (SELECT w.*, md5(array_to_string(d.lines[w.first:w.last], chr(10))) AS k FROM wins w JOIN docs d USING (doc_id)),
 placed AS (

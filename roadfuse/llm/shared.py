@@ -66,6 +66,14 @@ def remembered(key: tuple, make: Callable):
     return memory[key]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts: what the number of buckets and files is derived from."""
     from pyspark.sql import functions as F

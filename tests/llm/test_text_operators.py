@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import components, prose
 from roadfuse.llm import decontaminate, jaccard, langid, licenses, linededup
@@ -17,28 +18,24 @@ def docs_of(spark, rows, extra="note"):
 
 
 def repeated_lines(rows, least):
-    """Kept text per row, by comparing windows of whole lines in document order."""
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    """(lines, deleted lines, kept text) per row, by comparing every run of lines of ``least`` words or more with all earlier ones."""
     seen, out = {}, {}
-    found = []
-    for key in order:
-        lines = (key[1] or "").split("\n")
-        n = [len([w for w in x.split(" ") if w]) for x in lines]
+    for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        if key[1] is None:
+            out[key] = (0, 0, None)
+            continue
+        lines = key[1].split("\n")
+        upto = [0]
+        for x in lines:
+            upto.append(upto[-1] + len([w for w in x.split(" ") if w]))
+        gone = set()
         for i in range(len(lines)):
-            j, total = i, 0
-            while j < len(lines) and total < least:
-                total += n[j]
-                j += 1
-            if n[i] and total >= least:
-                found.append((key, i, j, tuple(lines[i:j])))
-    gone = {}
-    for key, i, j, content in found:
-        first = seen.setdefault(content, (key, i, j))
-        if first[0] != key or i >= first[2]:
-            gone.setdefault(key, set()).update(range(i, j))
-    for key in order:
-        lines = key[1].split("\n") if key[1] is not None else []
-        out[key] = (len(lines), len(gone.get(key, ())), "\n".join(x for k, x in enumerate(lines) if k not in gone.get(key, ())) if key[1] is not None else None)
+            for j in range(i + 1, len(lines) + 1):
+                if upto[j] - upto[i] >= least:
+                    first = seen.setdefault(tuple(lines[i:j]), (key, j))
+                    if first[0] != key or i >= first[1]:
+                        gone.update(range(i, j))
+        out[key] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
 
@@ -50,29 +47,24 @@ def test_line_dedup_is_exact(spark):
         parts = [rng.choice(passages) if rng.random() < 0.5 else prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 6))]
         rows.append((i if i != 40 else None, "\n".join(parts)))
     rows += [(3, rows[3][1]), (500, None), (501, ""), (502, "\n".join(["a b c d e"] * 40)), (503, "\n" * 50), (504, " ".join(["w"] * 90))]
-    rows += [(505, " ".join(["w"] * 90)), (506, "\n".join(f"line {i % 700} of a long text" for i in range(4000)))]
-    out = linededup.delete_repeated_lines(docs_of(spark, rows, "n_lines"), 15).collect()
+    rows += [(505, " ".join(["w"] * 90)), (506, "\n".join(f"line {i % 70} of a long text" for i in range(250)))]
+    out = linededup.delete_repeated_lines(docs_of(spark, rows, "n_lines").withColumnsRenamed({"lang": "_hash"}).withColumns({c: F.lit(c) for c in ("_doc", "_doc_hash", "_spans", "__hash")}), 15).collect()
     want = repeated_lines(rows, 15)
     names = {(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in out}
     assert names == {(k[0], *v) for k, v in want.items()}
     assert len(out) == len(rows)
+    assert {(r["_hash"], r["_doc"], r["_doc_hash"], r["_spans"], r["__hash"]) for r in out} == {("en", "_doc", "_doc_hash", "_spans", "__hash")}
 
 
-def whole_runs(rows, least):
-    """Kept text per row, by comparing every run of lines of ``least`` words or more with all earlier ones."""
-    seen, out = {}, {}
-    for key in sorted(rows):
-        lines = key[1].split("\n")
-        n = [len(x.split()) for x in lines]
-        gone = set()
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                if sum(n[i:j]) >= least:
-                    first = seen.setdefault(tuple(lines[i:j]), (key, j))
-                    if first[0] != key or i >= first[1]:
-                        gone.update(range(i, j))
-        out[key] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
-    return out
+def test_places_of_lines_are_not_bounded():
+    """A line far behind in a text has the same fingerprint as at its top."""
+    text = " ".join(f"w{i}" for i in range(60)).encode()
+    marks = []
+    for empty in (10, (1 << 24) + 5):
+        raw = np.frombuffer(b"\n" * empty + text, np.uint8)
+        _, first, end, key, line, _ = linededup.windows(raw, np.array([0, len(raw)]), 50)
+        marks.append({(int(k), int(h)) for k, h, a, b in zip(key, line, first, end) if b - a == 1})
+    assert marks[0] == marks[1] and len(marks[0]) == 1
 
 
 def test_line_dedup_of_whole_runs(spark):
@@ -80,12 +72,12 @@ def test_line_dedup_of_whole_runs(spark):
     blocks = ["\n".join(prose(rng, rng.choice([0, 1, 3, 8, 20])) for _ in range(rng.randint(2, 8))) for _ in range(10)]
     rows = [(i, "\n".join(rng.choice(blocks) if rng.random() < 0.6 else prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 6)))) for i in range(120)]
     rows += [(502, "\n".join(["a b c d e"] * 40)), (503, "\n" * 50), (504, "x\n" + prose(rng, 9) + "\n\n\n" + "y\n" * 20)]
-    out = linededup.delete_repeated_lines(docs_of(spark, rows), 15, whole_runs=True).collect()
-    assert {(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in out} == {(k[0], *v) for k, v in whole_runs(rows, 15).items()}
+    out = linededup.delete_repeated_lines(docs_of(spark, rows), 15).collect()
+    assert {(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in out} == {(k[0], *v) for k, v in repeated_lines(rows, 15).items()}
     # A line behind the last full window of a run, and lines without words on both sides of it.
     long, more, short = prose(rng, 60), prose(rng, 60), prose(rng, 10)
     rows = [(1, f"{long}\n{more}\n{short}"), (2, f"{long}\n{more}\n{short}"), (3, f"own\n{more}\n{short}\nown"), (4, f"a\n\n{long}\n\nb"), (5, f"c\n\n{long}\n\nd")]
-    out = linededup.delete_repeated_lines(docs_of(spark, rows), whole_runs=True).collect()
+    out = linededup.delete_repeated_lines(docs_of(spark, rows)).collect()
     assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "", 3: "own\nown", 4: "a\n\n\nb", 5: "c\nd"}
 
 
