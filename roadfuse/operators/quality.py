@@ -62,6 +62,36 @@ def integrity_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def integrity_counts(t: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, violations) of ``integrity_checks``; what single rows can tell is counted in one pass a table, as is what one key's rows can."""
+    null = lambda *cs: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cs])
+    beyond = lambda c, allowed: F.coalesce(~F.col(c).isin(*allowed), F.lit(False))
+    # Per table: the key, and (check, rule) of single rows. Rows are summed per key before the shuffle.
+    rules = {
+        "observation": ("observation_key", ["client_id"], "observation_required", null("client_id", "device_id", "ts_utc", "lat", "lon", "confidence", "received_at")),
+        "frame": ("frame_key", ["client_id"], "frame_required", null("client_id", "device_id", "ts_utc", "lat", "lon", "jpeg_url", "received_at")),
+        "cluster": ("cluster_key", ["cluster_id"], "cluster_source", beyond("source", SOURCES)),
+        "cluster_link": ("link_key", ["cluster_id", "member_id", "kind"], "link_kind", beyond("kind", KINDS)),
+    }
+    parts = []
+    for name, (unique, keys, rule, broken) in rules.items():
+        per_key = t[name].groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(broken).alias("broken"))
+        both = per_key.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"))
+        parts.append(
+            both.select(
+                F.inline(
+                    F.array(
+                        F.struct(F.lit(unique).alias("check_name"), F.col("repeated").alias("violations")),
+                        F.struct(F.lit(rule).alias("check_name"), F.col("broken").alias("violations")),
+                    )
+                )
+            )
+        )
+    all_checks = integrity_checks(t)
+    rest = ("pair_key", "pair_observation", "pair_frame", "link_cluster")
+    return reduce(DataFrame.unionByName, [*parts, counted({name: all_checks[name] for name in rest})])
+
+
 def pairing_quality(
     observations: DataFrame, frames: DataFrame, pairs: DataFrame, clusters: DataFrame
 ) -> dict[str, DataFrame]:

@@ -73,28 +73,41 @@ def map_window(
     )
 
 
+def tile_sums(clusters: DataFrame, zoom: int = TILE_ZOOMS[-1], by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums per asset type and tile (x, y) over unrepaired clusters, which merge: those of parts of the clusters add up. ``by`` columns part them further."""
+    placed = clusters.filter(F.col("repaired_at").isNull()).withColumns({"x": tile_x(F.col("lon"), zoom), "y": tile_y(F.col("lat"), zoom)})
+    return placed.groupBy(*by, "asset_type", "x", "y").agg(
+        F.count("*").alias("clusters"),
+        F.sum("observation_count").alias("observations"),
+        F.max("severity").alias("max_severity"),
+        F.sum("lat").alias("lat_sum"),
+        F.sum("lon").alias("lon_sum"),
+    )
+
+
+def merged_tiles(sums: DataFrame, zoom: int, to: int) -> DataFrame:
+    """Tiles of ``zoom`` as those of the coarser (or same) zoom ``to``: four times four by four make one of two levels up, and so on."""
+    up = lambda c: F.shiftright(F.col(c), zoom - to).alias(c)
+    summed = [F.sum(c).alias(c) for c in ("clusters", "observations", "lat_sum", "lon_sum")]
+    return sums.groupBy("asset_type", up("x"), up("y")).agg(*summed, F.max("max_severity").alias("max_severity"))
+
+
+def tiles_of(sums: DataFrame, zooms: tuple[int, ...] = TILE_ZOOMS) -> DataFrame:
+    """Aggregates per asset type and tile of every zoom, rolled up level by level from sums at the finest one."""
+    at, out = max(zooms), None
+    for zoom in sorted(zooms, reverse=True):
+        sums, at = merged_tiles(sums, at, zoom), zoom
+        rows = sums.select(
+            "asset_type", F.lit(zoom).alias("z"), "x", "y", "clusters", "observations", "max_severity",
+            (F.col("lat_sum") / F.col("clusters")).alias("lat"), (F.col("lon_sum") / F.col("clusters")).alias("lon"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def zoom_tiles(clusters: DataFrame, zooms: tuple[int, ...] = TILE_ZOOMS) -> DataFrame:
     """Aggregates per asset type and map tile for every zoom band."""
-    tiles = F.array(
-        *[
-            F.struct(
-                F.lit(z).alias("z"), tile_x(F.col("lon"), z).alias("x"), tile_y(F.col("lat"), z).alias("y")
-            )
-            for z in zooms
-        ]
-    )
-    return (
-        clusters.filter(F.col("repaired_at").isNull())
-        .withColumn("tile", F.explode(tiles))
-        .groupBy("asset_type", "tile.z", "tile.x", "tile.y")
-        .agg(
-            F.count("*").alias("clusters"),
-            F.sum("observation_count").alias("observations"),
-            F.max("severity").alias("max_severity"),
-            F.avg("lat").alias("lat"),
-            F.avg("lon").alias("lon"),
-        )
-    )
+    return tiles_of(tile_sums(clusters, max(zooms)), zooms)
 
 
 def frames_to_delete(frames: DataFrame, as_of: datetime.datetime, budget: int = DEVICE_BYTES) -> DataFrame:

@@ -20,7 +20,7 @@ from roadfuse.functions.fusion import select_strategy
 from roadfuse.model.artifact import SensorModel, activation_rows, forest_rows, load_active, model_rows
 from roadfuse.model.fit import fit_sensor_model, score_observations
 from roadfuse.operators import clusters as clustering
-from roadfuse.operators import ingest, members, pairing, ratelimit, reconcile, upsert
+from roadfuse.operators import ingest, members, pairing, ratelimit, readpath, reconcile, upsert
 from roadfuse.operators.idfilter import StoredIds
 from roadfuse.operators.validate import batch_rules, envelope_rules, failures
 from roadfuse.schema import table_schema
@@ -301,12 +301,13 @@ def cluster_rows(aggregated: DataFrame, mapping: DataFrame, as_of: datetime.date
 
 
 def store_clusters(tables: Tables, rows: DataFrame, links: DataFrame) -> None:
-    """Upserts clusters and replaces their links; both tables change in one commit, in the buckets of these clusters only."""
+    """Upserts clusters, replaces their links and sums up their map tiles anew; all change in one commit, in the buckets of these clusters only."""
     rows, links = tables.placed("cluster", rows), tables.placed("cluster_link", links)
     at = tables.partitions_of(rows)
     clusters = upsert.upsert(tables.read_partitions("cluster", at), rows, ["cluster_id"], ["asset_type", "source", "repaired_at", "created_at"])
     rebuilt = upsert.rebuild_links(tables.read_partitions("cluster_link", at), links)
-    tables.rewrite("clusters", {"cluster": clusters, "cluster_link": rebuilt}, at)
+    parts = readpath.tile_sums(clusters, by=("day", "bucket"))
+    tables.rewrite("clusters", {"cluster": clusters, "cluster_link": rebuilt, "tile_part": parts}, at)
 
 
 def run_clustering(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id: str | None = None) -> int:
@@ -355,6 +356,11 @@ def run_clustering(tables: Tables, cfg: Config, as_of: datetime.datetime, run_id
     return written
 
 
+def stored_tiles(tables: Tables) -> DataFrame:
+    """Map tiles of all stored clusters, merged from the sums stored by bucket; the clusters themselves aren't read."""
+    return readpath.tiles_of(tables.read("tile_part"))
+
+
 def mark_repaired(tables: Tables, cluster_ids: DataFrame, at: datetime.datetime) -> None:
     """Sets ``repaired_at`` of the given clusters (``cluster_id`` column)."""
     ids = tables.placed("cluster", cluster_ids.select("cluster_id"))
@@ -365,7 +371,7 @@ def mark_repaired(tables: Tables, cluster_ids: DataFrame, at: datetime.datetime)
     hit = ids.select("cluster_id", F.lit(True).alias("_hit")).distinct()
     repaired = F.when(F.col("_hit"), _lit(at)).otherwise(F.col("repaired_at"))
     rows = stored.join(hit, "cluster_id", "left").withColumn("repaired_at", repaired).drop("_hit")
-    tables.rewrite("clusters", {"cluster": rows}, touched)
+    tables.rewrite("clusters", {"cluster": rows, "tile_part": readpath.tile_sums(rows, by=("day", "bucket"))}, touched)
 
 
 def delete_device(tables: Tables, device_id: str) -> None:

@@ -11,12 +11,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadfuse.operators import members
+from roadfuse.model import forest
+from roadfuse.model.artifact import ForestNode
+from roadfuse.operators import members, quality, readpath
 from roadfuse.operators.idfilter import StoredIds
 from roadfuse.operators.ingest import append_new
 from roadfuse.plans import jobs, stages
 from roadfuse.plans import twins as t
-from roadfuse.plans.catalog import _MATCH, _UPSERTED_SQL, r, register, us
+from roadfuse.plans.catalog import _MATCH, _UPSERTED_SQL, _tile_sql, r, register, us
 from roadfuse.plans.stages import AS_OF, CFG, EARLIER_RUN, RUN_ID
 from roadfuse.session import use_checkpoint_dir
 from roadfuse.sources import adapter
@@ -229,3 +231,111 @@ def append_new_stored(spark, sf):
     fresh = rows.filter("event_id % 5 = 0").select(F.concat(F.lit("new-"), "client_id").alias("client_id"), "received_us", F.lit(1).alias("attempt"))
     sent = again.union(fresh)
     return append_new(sent, StoredIds(tables, "observation"), "client_id", ["received_us", "attempt"]).select("client_id", "attempt")
+
+
+@register(
+    "zoom_tiles_stored",
+    t.twin(
+        "SELECT 'pothole' AS asset_type, z, x, y, count(*) AS clusters, cast(sum(observation_count) AS bigint) AS observations,"
+        " round(max(severity), 6) AS max_severity, round(avg(lat), 6) AS lat FROM ("
+        + " UNION ALL ".join(
+            f"SELECT {z} AS z, {_tile_sql(z)}, observation_count, severity, lat FROM site_cluster WHERE repaired_us IS NULL AND cluster_id <> 'clu_001'"
+            for z in readpath.TILE_ZOOMS
+        )
+        + ") GROUP BY z, x, y",
+        t.SITES,
+    ),
+)
+def zoom_tiles_stored(spark, sf):
+    """Tiles from the sums stored with the clusters, after one of them was repaired."""
+    tables = new_tables(spark)
+    jobs.store_clusters(tables, stages.site_clusters(spark, sf), stages.site_links(spark, sf))
+    jobs.mark_repaired(tables, stages.site_clusters(spark, sf).filter("cluster_id = 'clu_001'"), AS_OF)
+    return jobs.stored_tiles(tables).select("asset_type", "z", "x", "y", "clusters", "observations", r("max_severity"), r("lat"))
+
+
+_NUMBER = "cast(substr({}, 2) AS bigint)"
+_FLAWED = f"""
+bad_observation AS (
+  SELECT client_id, CASE WHEN event_id % 103 = 0 THEN NULL ELSE lat END AS lat FROM observation
+  UNION ALL SELECT client_id, lat FROM observation WHERE event_id % 101 = 0),
+bad_frame AS (
+  SELECT client_id, event_id % 89 = 0 AS without_url FROM frame UNION ALL SELECT client_id, false FROM frame WHERE event_id % 97 = 0),
+cold_number AS (SELECT *, {_NUMBER.format('frame_client_id')} AS k FROM cold),
+bad_pair AS (
+  SELECT CASE WHEN k % 3 = 0 THEN 'x' ELSE '' END || event_client_id AS e, CASE WHEN k % 4 = 0 THEN 'x' ELSE '' END || frame_client_id AS f FROM cold_number
+  UNION ALL SELECT event_client_id, frame_client_id FROM cold_number WHERE k % 5 = 1 AND k % 3 > 0 AND k % 4 > 0),
+bad_cluster AS (
+  SELECT cluster_id, CASE WHEN observation_count % 4 = 0 THEN 'other' ELSE source END AS source FROM site_cluster
+  UNION ALL SELECT cluster_id, source FROM site_cluster WHERE distinct_devices = 2),
+link_number AS (SELECT *, {_NUMBER.format('member_id')} AS k FROM site_link),
+bad_link AS (
+  SELECT CASE WHEN k % 19 = 0 THEN 'none' ELSE cluster_id END AS cluster_id, member_id, CASE WHEN k % 17 = 0 THEN 'other' ELSE kind END AS kind FROM link_number
+  UNION ALL SELECT cluster_id, member_id, kind FROM link_number WHERE k % 13 = 0 AND k % 17 > 0 AND k % 19 > 0)"""
+
+
+def _flawed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Tables that break every check."""
+    k = lambda c: F.expr(f"cast(substr({c}, 2) as bigint)")
+    x = lambda c, n: F.concat(F.when(k("frame_client_id") % n == 0, F.lit("x")).otherwise(F.lit("")), c)
+    rows, frames = adapter.observations(spark, sf), adapter.frames(spark, sf)
+    pairs, sites, links = stages.fused(spark, sf, with_model=False), stages.site_clusters(spark, sf), stages.site_links(spark, sf)
+    n, m = k("frame_client_id"), k("member_id")
+    return {
+        "observation": rows.withColumn("lat", F.when(F.col("event_id") % 103 != 0, F.col("lat"))).unionByName(rows.filter("event_id % 101 = 0")),
+        "frame": frames.withColumn("jpeg_url", F.when(F.col("event_id") % 89 != 0, F.col("jpeg_url"))).unionByName(frames.filter("event_id % 97 = 0")),
+        "fusion_pair": pairs.withColumns({"event_client_id": x("event_client_id", 3), "frame_client_id": x("frame_client_id", 4)}).unionByName(
+            pairs.filter((n % 5 == 1) & (n % 3 > 0) & (n % 4 > 0))
+        ),
+        "cluster": sites.withColumn("source", F.when(F.col("observation_count") % 4 == 0, F.lit("other")).otherwise(F.col("source"))).unionByName(
+            sites.filter("distinct_devices = 2")
+        ),
+        "cluster_link": links.withColumns(
+            {"cluster_id": F.when(m % 19 == 0, F.lit("none")).otherwise(F.col("cluster_id")), "kind": F.when(m % 17 == 0, F.lit("other")).otherwise(F.col("kind"))}
+        ).unionByName(links.filter((m % 13 == 0) & (m % 17 > 0) & (m % 19 > 0))),
+    }
+
+
+@register(
+    "integrity_checks_broken",
+    t.twin(
+        "SELECT 'observation_key' AS check_name, count(*) AS violations FROM (SELECT client_id FROM bad_observation GROUP BY 1 HAVING count(*) > 1)"
+        " UNION ALL SELECT 'observation_required', count(*) FROM bad_observation WHERE lat IS NULL"
+        " UNION ALL SELECT 'frame_key', count(*) FROM (SELECT client_id FROM bad_frame GROUP BY 1 HAVING count(*) > 1)"
+        " UNION ALL SELECT 'frame_required', count(*) FROM bad_frame WHERE without_url"
+        " UNION ALL SELECT 'pair_key', count(*) FROM (SELECT e, f FROM bad_pair GROUP BY 1, 2 HAVING count(*) > 1)"
+        " UNION ALL SELECT 'pair_observation', count(*) FROM bad_pair WHERE e NOT IN (SELECT client_id FROM observation)"
+        " UNION ALL SELECT 'pair_frame', count(*) FROM bad_pair WHERE f NOT IN (SELECT client_id FROM frame)"
+        " UNION ALL SELECT 'cluster_key', count(*) FROM (SELECT cluster_id FROM bad_cluster GROUP BY 1 HAVING count(*) > 1)"
+        " UNION ALL SELECT 'cluster_source', count(*) FROM bad_cluster WHERE source = 'other'"
+        " UNION ALL SELECT 'link_key', count(*) FROM (SELECT cluster_id, member_id, kind FROM bad_link GROUP BY 1, 2, 3 HAVING count(*) > 1)"
+        " UNION ALL SELECT 'link_kind', count(*) FROM bad_link WHERE kind = 'other'"
+        " UNION ALL SELECT 'link_cluster', count(*) FROM bad_link WHERE cluster_id NOT IN (SELECT cluster_id FROM site_cluster)",
+        *t.TO_COLD, t.SITES, t.SITE_LINKS, _FLAWED,
+    ),
+)
+def integrity_checks_broken(spark, sf):
+    """Every integrity check over tables that break it; the rules about single rows of a table share one pass."""
+    return quality.integrity_counts(_flawed(spark, sf))
+
+
+#: Two trees given by hand: (tree, node, feature, threshold, left, right, path length).
+_FOREST = (
+    (0, 0, 0, 4.0, 1, 2, 0.0), (0, 1, 4, 10.0, 3, 4, 0.0), (0, 2, -1, 0.0, 2, 2, 1.5), (0, 3, -1, 0.0, 3, 3, 3.0), (0, 4, -1, 0.0, 4, 4, 4.25),
+    (1, 0, 2, 30.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 3.5), (1, 2, 3, 1.0, 3, 4, 0.0), (1, 3, -1, 0.0, 3, 3, 2.0), (1, 4, -1, 0.0, 4, 4, 2.5),
+)
+_PATHS = (
+    f"((CASE WHEN {t.RATIO} >= 4 THEN 1.5 WHEN speed_mps < 10 THEN 3.0 ELSE 4.25 END)"
+    " + (CASE WHEN magnitude < 30 THEN 3.5 WHEN accel_std < 1 THEN 2.0 ELSE 2.5 END)) / 2"
+)
+
+
+@register(
+    "score_fixed_forest",
+    t.twin(f"SELECT client_id, round(pow(cast(2 AS double), -({_PATHS}) / (2 * (ln(7) + 0.5772156649015329) - 2 * 7 / cast(8 AS double))), 9) AS score FROM observation"),
+)
+def score_fixed_forest(spark, sf):
+    """Anomaly scores of a forest given by hand; its nodes are written as CASE in the twin."""
+    rows = adapter.observations(spark, sf)
+    nodes = tuple(ForestNode(*n) for n in _FOREST)
+    return rows.select("client_id", r(forest.anomaly_score(rows, nodes, 8), 9, "score"))

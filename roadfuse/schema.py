@@ -55,6 +55,9 @@ TABLES = {
         "observation_count LONG, distinct_devices LONG, last_seen TIMESTAMP, source STRING, "
         "repaired_at TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP"
     ),
+    "tile_part": (
+        "asset_type STRING, x LONG, y LONG, clusters LONG, observations LONG, max_severity DOUBLE, lat_sum DOUBLE, lon_sum DOUBLE"
+    ),
     "cluster_link": "cluster_id STRING, member_id STRING, kind STRING, fused_confidence DOUBLE",
     "fusion_run": (
         "run_id STRING, engine_version STRING, weights MAP<STRING, DOUBLE>, started_at TIMESTAMP, "

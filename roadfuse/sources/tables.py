@@ -28,8 +28,8 @@ from roadfuse.session import cut_lineage
 
 DATED = ("observation", "frame", "observation_score", "frame_processed")
 WITH_IDS = ("observation", "frame")
-#: Group -> its tables and their keys. Buckets are made of the key; maxima lie in the bucket of the pairs they sum up.
-GROUPS = {"pairing": {"fusion_pair": "frame_client_id", "fused_max": "client_id"}, "clusters": {"cluster": "cluster_id", "cluster_link": "cluster_id"}}
+#: Group -> its tables and their keys. Buckets are made of the key; maxima and tiles lie in the bucket of the rows they sum up.
+GROUPS = {"pairing": {"fusion_pair": "frame_client_id", "fused_max": "client_id"}, "clusters": {"cluster": "cluster_id", "cluster_link": "cluster_id", "tile_part": "asset_type"}}
 _GROUP_OF = {name: group for group, names in GROUPS.items() for name in names}
 _DAY_US = 86_400_000_000
 
