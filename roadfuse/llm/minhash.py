@@ -10,9 +10,10 @@ in 10^8.
 Each bucket is a star: its smallest document is compared with all others, so candidates grow with
 the postings, not with the square of a bucket. Links found so give components. What a star can't
 see are pairs without its centre; they matter only where a bucket still holds two components. The
-rows of such a bucket outside its main component meet all others of it in blocks inside tasks,
-which compare signatures and give out pairs likely to be similar only. Every candidate is confirmed
-on the whole sets.
+rows of such a bucket outside its main component meet all others of it in blocks inside tasks, first
+as signatures, which leave few rows, then as whole sets; a task gives out one link for two
+components. So no step lists the pairs of a bucket. Before, rounds link each outside row with the one it is most
+like, which joins most components that are one. Every link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.llm.shared import written
-from roadfuse.llm.wordhash import mix, shingle_sets
+from roadfuse.llm.wordhash import mix, ragged, shingle_sets
 from roadfuse.operators.components import connected_components
 
 _U = np.uint64
@@ -35,8 +36,12 @@ _U = np.uint64
 BINS, ROWS = 160, 5
 #: Share by which signatures may agree less than the similarity asked for; at 0.85, three pairs in 10^9 agree less.
 SLACK = 20
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Rows of a bucket, and their shingles, that one task compares with as many others.
+BLOCK, BLOCK_TOKENS = 1024, 1_000_000
+#: Rounds in which torn buckets link nearest rows, each with its share of the buckets; what they leave is left to whole blocks of all buckets.
+ROUNDS = 3
+#: Bits of the bitmap of documents whose sets are to be compared.
+_MEMBERS = 25
 _WALK = 64
 _BAND = np.array([pow(0x9E3779B97F4A7C15, i + 2, 1 << 64) | 1 for i in range(ROWS)], _U)
 
@@ -116,19 +121,38 @@ def _alike(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
 
     left = marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("x"))
     right = marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; only the texts they name are cut into shingles again."""
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tokens) of the documents in ``ids`` (doc_id), without a shuffle of texts.
+
+    They are marked in a bitmap of fixed size by a hash of doc_id; a few others fall on the same bits, and their sets meet nothing.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _MEMBERS))
+    marks = ids.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
+    bitmap = bytearray(1 << (_MEMBERS - 3))
+    for r in marks.collect():
+        bitmap[r.part * 4096 : r.part * 4096 + 4096] = r.bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
+            at = batch.column(2).to_numpy()
+            wanted = batch.filter(pa.array((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for start in range(0, wanted.num_rows, 64):
+                part = wanted.slice(start, 64)
                 own = [s.tobytes() for s in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "tokens"])
 
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("at"))
+    return rows.mapInArrow(run, "doc_id long, tokens binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; only the texts they name are cut into shingles again."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -138,8 +162,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str)
                 good.append(100 * common >= share * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary"), f"{name}-sets")
+    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k), "minhash-star-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
@@ -169,24 +192,37 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
-def _beyond_stars(members: DataFrame, component: DataFrame, marks: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components, neither its centre, with signatures alike.
+def _torn(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, doc_id, n, c, outside, lefts, rights): rows of the buckets of ``members`` (key, doc_id, n) that hold two components.
+
+    Rows outside a bucket's main component are to be cut into ``lefts`` blocks, all its rows into ``rights`` blocks.
+    """
+    placed = written(members.join(component.hint("merge"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "minhash-placed")
+    sums = placed.groupBy("key", "c").agg(F.count("*").alias("held"), F.sum("n").alias("tokens"))
+    main = sums.groupBy("key").agg(
+        F.max_by(F.struct("c", "held", "tokens"), F.struct("held", "c")).alias("main"), F.sum("held").alias("held"), F.sum("tokens").alias("tokens")
+    )
+    blocks = lambda held, tokens: F.ceil(F.greatest(held / BLOCK, tokens / BLOCK_TOKENS)).cast("int")
+    rights = blocks(F.col("held"), F.col("tokens"))
+    lefts = blocks(F.col("held") - F.col("main.held"), F.col("tokens") - F.col("main.tokens"))
+    main = main.filter("held > main.held").select("key", F.col("main.c").alias("main"), rights.alias("rights"), lefts.alias("lefts"))
+    torn = placed.join(written(main, "minhash-mains"), "key")
+    return written(torn.select("key", "doc_id", "n", "c", (F.col("c") != F.col("main")).alias("outside"), "lefts", "rights"), "minhash-torn")
+
+
+def _look_alike(torn: DataFrame, signs: DataFrame, share: int, nearest: bool) -> DataFrame:
+    """What of ``torn`` looks like a row of another component of its bucket. ``signs``: doc_id, marks, bands.
 
-    Rows outside a bucket's main component are cut into blocks, and so are all its rows; a task
-    compares one block of each. A bucket of m rows, k of them outside, sends about m + k rows per ``BLOCK`` of the other side.
+    With ``nearest`` pairs (a, b): every row outside the main component with the one it is most like. Else all rows of such pairs:
+    (key, i, j, is_left, doc_id, n, c); two documents count in the first bucket they share only. A task compares one block of
+    rows outside the main component with one of all rows, so a bucket of m rows, k of them outside, sends
+    about m + k rows per block of the other side.
     """
     least = (share - SLACK) * BINS
-    others = members.filter("doc_id <> low").select("key", "doc_id", "n")
-    placed = written(others.join(component, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "minhash-placed")
-    sums = placed.groupBy("key", "c").agg(F.count("*").alias("held"))
-    main = sums.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("held"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.filter("held > most").select("key", "main", blocks(F.col("held")).alias("rights"), blocks(F.col("held") - F.col("most")).alias("lefts"))
-    torn = placed.join(written(main, "minhash-torn"), "key").join(marks, "doc_id")
-    torn = written(torn.withColumn("outside", F.col("c") != F.col("main")), "minhash-torn-rows")
+    torn = torn.hint("merge").join(signs, "doc_id")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["doc_id", "n", "c", "outside", "marks"]
+    kept = ["doc_id", "n", "c", "outside", "marks", "bands"]
     left = torn.filter("outside").select("key", own("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("is_left"), *kept)
     right = torn.select("key", every("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("is_left"), *kept)
 
@@ -195,20 +231,62 @@ def _beyond_stars(members: DataFrame, component: DataFrame, marks: DataFrame, sh
             is_left, doc, n, c, outside = (group.column(x).to_numpy(zero_copy_only=False) for x in ("is_left", "doc_id", "n", "c", "outside"))
             lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
             signs = _matrix(group.column("marks"))
-            theirs = signs[rights]
+            keys = group.column("bands").flatten().to_numpy().reshape(-1, BINS // ROWS)
+            here = int(np.flatnonzero(keys[0] == group.column("key")[0].as_py())[0])
+            used = np.zeros(len(doc), bool)
             a, b = [], []
             for x in lefts:
-                good = (c[rights] != c[x]) & (~outside[rights] | (doc[rights] > doc[x]))
+                good = (c[rights] != c[x]) & (nearest | ~outside[rights] | (doc[rights] > doc[x]))
                 good &= (n[rights] * 100 >= n[x] * share) & (n[x] * 100 >= n[rights] * share)
-                if good.any():
-                    good &= (theirs == signs[x]).sum(1) * 100 >= least
-                    found = doc[rights[good]]
-                    a.append(np.minimum(found, doc[x]))
-                    b.append(np.maximum(found, doc[x]))
+                near = rights[good]
+                agree = (signs[near] == signs[x]).sum(1)
+                if nearest:
+                    if len(near) and agree.max() * 100 >= least:
+                        y = doc[near[agree.argmax()]]
+                        a.append(min(doc[x], y))
+                        b.append(max(doc[x], y))
+                    continue
+                near = near[agree * 100 >= least]
+                near = near[(keys[near] == keys[x]).argmax(1) == here]
+                used[near] = True
+                used[x] |= len(near) > 0
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if used.any():
+                yield group.select(["key", "i", "j", "is_left", "doc_id", "n", "c"]).filter(pa.array(used))
 
     rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = "a long, b long" if nearest else "key long, i int, j int, is_left boolean, doc_id long, n int, c long"
+    return rows.mapInArrow(compare, schema)
+
+
+def _links_across(torn: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): per group of ``torn`` one confirmed link for every two components that it can join, less those that others join."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["key", "i", "j"]):
+            is_left, doc, c = (group.column(x).to_numpy(zero_copy_only=False) for x in ("is_left", "doc_id", "c"))
+            tokens = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("tokens")]
+            n = np.array([len(t) for t in tokens])
+            lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            flat = np.concatenate([*(tokens[r] for r in rights), np.zeros(0, _U)])
+            holder = np.repeat(np.arange(len(rights)), n[rights])
+            order = np.argsort(flat, kind="stable")
+            flat, holder = flat[order], holder[order]
+            joined = c.copy()
+            a, b = [], []
+            for x in lefts:
+                first, end = np.searchsorted(flat, tokens[x]), np.searchsorted(flat, tokens[x], "right")
+                common = np.bincount(holder[ragged(first, end - first)], minlength=len(rights))
+                for y in rights[100 * common >= share * (n[x] + n[rights] - common)]:
+                    if joined[x] != joined[y]:
+                        joined[joined == joined[y]] = joined[x]
+                        a.append(min(doc[x], doc[y]))
+                        b.append(max(doc[x], doc[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = torn.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -224,26 +302,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 85) -> DataFrame:
     only the smallest doc_id of each enters the buckets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Large tables are merged at every size: a broadcast would only last as long as the other side is small.
     nodes = written(index(docs, k), "minhash-index")
     keyed = nodes.filter("digest is not null and doc_id is not null").withColumnRenamed("n_shingles", "n")
     same = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    owners = keyed.join(written(same, "minhash-digests"), "digest", "left")
+    owners = keyed.join(written(same, "minhash-digests").hint("merge"), "digest", "left")
     owners = written(owners.withColumn("bands", F.when(F.coalesce(F.col("doc_id") == F.col("least"), F.lit(True)), F.col("bands"))), "minhash-owners")
     equal = owners.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    marks = owners.filter("bands is not null").select("doc_id", "marks")
+    signs = owners.filter("bands is not null").select("doc_id", "marks", "bands")
 
     posts = owners.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    centre = posts.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max("doc_id").alias("high")).filter("low.doc_id < high")
-    centre = written(centre.select("key", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m")), "minhash-buckets")
-    members = written(posts.join(centre, "key"), "minhash-members")
+    centre = posts.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held"))
+    centre = centre.filter("low.doc_id < high").select("key", F.col("low.doc_id").alias("low"), F.col("low.n").alias("m"), "held")
+    centre = written(centre, "minhash-buckets")
+    members = written(posts.join(centre.hint("merge"), "key"), "minhash-members")
     star = members.filter("doc_id <> low").filter(_fits(F.col("n"), F.col("m"), share))
     star = star.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = written(_alike(star, marks, share), "minhash-star")
-    links = written(equal.union(_confirmed(star, docs, k, share, "minhash-star")), "minhash-links")
-
+    star = written(_alike(star, signs.select("doc_id", "marks"), share), "minhash-star")
+    links = written(equal.union(_confirmed(star, docs, k, share)), "minhash-links")
+
+    # Buckets of a centre and one more hold no other pair.
+    rest = members.filter("doc_id <> low and held > 2").select("key", "doc_id", "n")
+    signs = written(signs.join(rest.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "minhash-signs")
+    for number in range(ROUNDS):
+        component = connected_components(links).withColumnsRenamed({"node": "doc_id", "component": "c"})
+        torn = _torn(rest.filter(F.pmod("key", F.lit(ROUNDS)) == number), component)
+        nearest = written(_look_alike(torn, signs, share, nearest=True).distinct(), "minhash-nearest")
+        links = links.union(written(_confirmed(nearest, docs, k, share), "minhash-nearest-links"))
     component = connected_components(links).withColumnsRenamed({"node": "doc_id", "component": "c"})
-    rest = written(_beyond_stars(members, component, marks, share), "minhash-rest")
-    found = written(_confirmed(rest, docs, k, share, "minhash-rest"), "minhash-rest-links")
+    alike = written(_look_alike(_torn(rest, component), signs, share, nearest=False), "minhash-torn-alike")
+    sets = written(_sets(docs, alike.select("doc_id"), k), "minhash-torn-sets")
+    found = written(_links_across(alike, sets, share), "minhash-links-across")
     component = connected_components(links.union(found)).select(F.col("node").alias("doc_id"), "component")
     top = F.coalesce("component", "doc_id")
     return (

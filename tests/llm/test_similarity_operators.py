@@ -66,16 +66,29 @@ def test_signatures_agree_as_sets_do(monkeypatch):
 
 
 def test_blocks_of_a_torn_bucket_meet(spark, monkeypatch):
-    """With blocks of three rows every pair outside the main component is still compared."""
+    """In blocks of three rows every two components that are similar are still joined, each by one link of a task."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
-    rng = random.Random(9)
-    signs = [bytes(rng.randrange(2) for _ in range(minhash.BINS)) for _ in range(3)]
-    rows = [(7, i, 100, 0) for i in range(1, 31)]
-    members = spark.createDataFrame(rows, "key long, doc_id long, n int, low long")
-    marks = spark.createDataFrame([(i, bytearray(signs[i % 3])) for i in range(1, 31)], "doc_id long, marks binary")
+    signs = [bytes([kind + 1] * minhash.BINS) for kind in range(3)]
+    keys = [[7] + [8 + kind * 100 + b for b in range(31)] for kind in range(3)]
+    members = spark.createDataFrame([(7, i, 10) for i in range(1, 31)], "key long, doc_id long, n int")
+    sign = spark.createDataFrame([(i, bytearray(signs[i % 3]), keys[i % 3]) for i in range(1, 31)], "doc_id long, marks binary, bands array<long>")
     component = spark.createDataFrame([(i, 100) for i in range(1, 16)], "doc_id long, c long")
-    got = {(r.a, r.b) for r in minhash._beyond_stars(members, component, marks, 85).collect()}
-    assert got == {(a, b) for a in range(1, 31) for b in range(a + 1, 31) if a % 3 == b % 3 and b > 15}
+    rows = minhash._torn(members, component)
+    assert {r.lefts for r in rows.collect()} == {5} and {r.rights for r in rows.collect()} == {10}
+    nearest = minhash._look_alike(rows, sign, 85, nearest=True).collect()
+    assert {i for r in nearest for i in r if i > 15} == set(range(16, 31)) and all((r.a - r.b) % 3 == 0 for r in nearest)
+    torn = minhash._look_alike(rows, sign, 85, nearest=False)
+    assert {r.doc_id for r in torn.collect()} == set(range(1, 31))
+    tokens = [np.arange(10, dtype="<u8") + 100 * kind for kind in range(3)]
+    sets = spark.createDataFrame([(i, bytearray(tokens[i % 3].tobytes())) for i in range(1, 31)], "doc_id long, tokens binary")
+    links = [(r.a, r.b) for r in minhash._links_across(torn, sets, 85).collect()]
+    assert all((a - b) % 3 == 0 and b > 15 for a, b in links)
+    for kind in range(3):
+        part = {i: i if i > 15 else 100 for i in range(1, 31) if i % 3 == kind}
+        for a, b in links:
+            if a % 3 == kind:
+                part = {i: part[a] if c == part[b] else c for i, c in part.items()}
+        assert len(set(part.values())) == 1
 
 
 # Hard negatives
