@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import power_of_two, text_bytes, written
+from roadfuse.llm.shared import freed, power_of_two, slices, text_bytes, written
 from roadfuse.llm.wordhash import mix, ragged, shingle_sets
 from roadfuse.operators.components import connected_components
 
@@ -48,13 +48,15 @@ BLOCK_TOKENS = 500_000
 _SUBCLASS = 4
 #: Bytes of text whose tokens one counting task holds.
 _COUNT_BYTES = 1 << 24
+#: Bytes of text whose sets a task holds at once.
+_SLICE = 1 << 21
 
 
 def _tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Per batch and bucket (the tokens' first ``bits`` bits): their next 32 bits, and how many texts hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, _SLICE)):
             tokens, counts = np.unique(np.concatenate([*shingle_sets(batch.column(0), k), np.zeros(0, _U)]), return_counts=True)
             cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
             low = ((tokens >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype("<u4")
@@ -70,7 +72,7 @@ def _tokens(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 names=["bucket", "tokens", "many", "times"],
             )
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, many binary, times binary")
+    return docs.mapInArrow(freed(run), "bucket int, tokens binary, many binary, times binary")
 
 
 def token_bitmaps(docs: DataFrame, k: int) -> tuple[bytes, bytes]:
@@ -182,7 +184,7 @@ def indexed(docs: DataFrame, bitmaps: tuple[bytes, bytes], k: int, share: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, twice = (np.frombuffer(x, np.uint8) for x in shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, _SLICE)):
             ids = batch.column(0).to_pylist()
             sets = list(shingle_sets(batch.column(1), k))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -199,7 +201,7 @@ def indexed(docs: DataFrame, bitmaps: tuple[bytes, bytes], k: int, share: int) -
                 names=["doc_id", "n_shingles", "digest", "signatures"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
+    return docs.mapInArrow(freed(run), "doc_id long, n_shingles long, digest binary, signatures array<long>")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -229,7 +231,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "tokens"])
 
     rows = docs.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("at"))
-    return rows.mapInArrow(run, "doc_id long, tokens binary")
+    return rows.mapInArrow(freed(run), "doc_id long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -246,7 +248,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
 
 
 def _candidates(pairs: DataFrame, share: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import remembered
+from roadfuse.llm.shared import freed, remembered
 from roadfuse.llm.wordhash import mix
 
 #: Hashed n-gram features; lengths of the n-grams in characters.
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 )
 
     added = {"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}
-    return docs.mapInArrow(run, docs.select("*", *[F.nullif(v, v).alias(k) for k, v in added.items()]).schema)
+    return docs.mapInArrow(freed(run), docs.select("*", *[F.nullif(v, v).alias(k) for k, v in added.items()]).schema)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

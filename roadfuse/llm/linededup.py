@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import unused, written
+from roadfuse.llm.shared import freed, unused, written
 from roadfuse.llm.wordhash import hash_spans, mix, pieces, ragged, strings, word_spans
 
 _U = np.uint64
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
                     names=["doc_id", "doc_hash", "line_hash", "windows"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id long, doc_hash long, {_WINDOWS}")
+    return docs.mapInArrow(freed(run), f"doc_id long, doc_hash long, {_WINDOWS}")
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -121,10 +121,8 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def _covered(spans: list[dict], lines: int) -> np.ndarray:
-    edge = np.zeros(lines + 1, np.int64)
-    np.add.at(edge, [s["first"] for s in spans], 1)
-    np.add.at(edge, [s["last"] for s in spans], -1)
+def _covered(first: np.ndarray, last: np.ndarray, lines: int) -> np.ndarray:
+    edge = np.bincount(first, minlength=lines + 1) - np.bincount(last, minlength=lines + 1)
     return np.cumsum(edge)[:lines] > 0
 
 
@@ -157,10 +155,16 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("text", spans_of))
+            bounds, inner = spans.offsets.to_numpy(), spans.values
+            first, last = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+            repeated = spans.is_valid().to_numpy(zero_copy_only=False)
             out, lines, deleted = [], [], []
-            for t, s in zip(text.to_pylist(), spans.to_pylist()):
+            for k, value in enumerate(text):
+                t = value.as_py()
                 own = [] if t is None else t.split("\n")
-                gone = _covered(s, len(own)) if s and t is not None else np.zeros(len(own), bool)
+                gone = np.zeros(len(own), bool)
+                if repeated[k] and t is not None:
+                    gone = _covered(first[bounds[k] : bounds[k + 1]], last[bounds[k] : bounds[k + 1]], len(own))
                 out.append("\n".join(x for x, g in zip(own, gone) if not g) if gone.any() else t)
                 lines.append(len(own))
                 deleted.append(int(gone.sum()))
@@ -168,7 +172,7 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())], names=[*names, "n_lines", "n_deleted"])
 
     none = F.lit(None).cast("long")
-    return joined.mapInArrow(run, joined.select(*names, none.alias("n_lines"), none.alias("n_deleted")).schema)
+    return joined.mapInArrow(freed(run), joined.select(*names, none.alias("n_lines"), none.alias("n_deleted")).schema)
 
 
 #: DuckDB SQL for doc_id, n_lines, n_deleted and the kept text's SHA-256 over ``documents``.

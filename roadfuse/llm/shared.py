@@ -66,6 +66,39 @@ def remembered(key: tuple, make: Callable):
     return memory[key]
 
 
+def freed(run: Callable) -> Callable:
+    """``run`` (Arrow batches to Arrow batches), giving memory back to the system when a task ends: idle workers else keep what their largest batch took."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library; it has its own ways
+
+    return own
+
+
+def slices(batch, column: int, size: int = 1 << 20):
+    """Parts of an Arrow batch with about ``size`` bytes of text in ``column``, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, start = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + size, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until no column is called so."""
     taken = {c.lower() for c in columns}
