@@ -154,15 +154,19 @@ def attach_signals(
         F.col("client_id").alias("frame_client_id"), F.col("device_probability").alias("visual_confidence")
     )
     sensor = observations.select(F.col("client_id").alias("event_client_id"), *SENSOR_COLUMNS, *keep)
-    out = pairs.join(sensor, "event_client_id").join(visual, "frame_client_id")
+    return with_scores(pairs.join(sensor, "event_client_id").join(visual, "frame_client_id"), scores)
+
+
+def with_scores(pairs: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Adds the model's columns of the observation to pairs, null where it isn't scored."""
     if scores is None:
-        return out.withColumns(
+        return pairs.withColumns(
             {c: F.lit(None).cast("double") for c in ("sensor_p_pothole", "sensor_severity")}
         )
     scored = scores.select(
         F.col("client_id").alias("event_client_id"), "sensor_p_pothole", "sensor_severity"
     )
-    return out.join(scored, "event_client_id", "left")
+    return pairs.join(scored, "event_client_id", "left")
 
 
 def fuse(pairs: DataFrame, strategy: FusionStrategy, keep: tuple[str, ...] = ()) -> DataFrame:

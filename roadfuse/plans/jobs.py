@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadfuse.config import Config
-from roadfuse.functions.fusion import select_strategy
+from roadfuse.functions.fusion import FusionStrategy, select_strategy
 from roadfuse.model.artifact import SensorModel, activation_rows, forest_rows, load_active, model_rows
 from roadfuse.model.fit import fit_sensor_model, score_observations
 from roadfuse.operators import clusters as clustering
@@ -244,16 +244,61 @@ def pair_new(
         fused = pairing.pair_and_fuse(
             frames, observations, tables.read("observation_score"), strategy, cfg, steps, keep=("received_at",)
         )
-        pairs = cut_lineage(
-            fused.withColumns({"fusion_run_id": F.lit(run_id), "created_at": _lit(as_of), "day": day_of("received_at")})
-        )
-        n_pairs = pairs.count()
-        store_pairs(tables, pairs)
-        tables.append(
-            "frame_processed", frames.select("client_id", _lit(as_of).alias("processed_at"), day_of("received_at").alias("day")), run_id
-        )
+        return _store_run(tables, frames, n_frames, fused, model, strategy, as_of, run_id)
     finally:
         frames.unpersist()
+
+
+def store_outcomes(
+    tables: Tables,
+    outcomes: DataFrame,
+    model: SensorModel | None,
+    cfg: Config,
+    as_of: datetime.datetime,
+    run_id: str,
+) -> int:
+    """Fuses and stores frames that a stream has paired already, and marks each of them as processed, paired or not.
+
+    ``outcomes``: a row per frame with ``frame_client_id``, ``frame_received_at``, ``device_probability`` and, null where it has no
+    observation, ``event_client_id``, ``event_received_at``, ``delta_ms``, ``delta_m`` and the sensor columns. Only the scores of the
+    paired observations' days are read.
+    """
+    outcomes = outcomes.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_frames = outcomes.count()
+        if not n_frames:
+            return 0
+        strategy = select_strategy(cfg, model is not None)
+        paired = outcomes.filter("event_client_id is not null").withColumnsRenamed(
+            {"event_received_at": "received_at", "device_probability": "visual_confidence"}
+        )
+        scores = tables.read("observation_score", days=days_of(paired))
+        fused = pairing.fuse(pairing.with_scores(paired, scores), strategy, keep=("received_at",))
+        frames = outcomes.select(F.col("frame_client_id").alias("client_id"), F.col("frame_received_at").alias("received_at"))
+        return _store_run(tables, frames, n_frames, fused, model, strategy, as_of, run_id)
+    finally:
+        outcomes.unpersist()
+
+
+def _store_run(
+    tables: Tables,
+    frames: DataFrame,
+    n_frames: int,
+    fused: DataFrame,
+    model: SensorModel | None,
+    strategy: FusionStrategy,
+    as_of: datetime.datetime,
+    run_id: str,
+) -> int:
+    """Stores the fused pairs of a run, marks all its frames as processed and audits it; the number of pairs."""
+    pairs = cut_lineage(
+        fused.withColumns({"fusion_run_id": F.lit(run_id), "created_at": _lit(as_of), "day": day_of("received_at")})
+    )
+    n_pairs = pairs.count()
+    store_pairs(tables, pairs)
+    tables.append(
+        "frame_processed", frames.select("client_id", _lit(as_of).alias("processed_at"), day_of("received_at").alias("day")), run_id
+    )
     metrics = (n_frames, n_pairs, model.version if model else None)
     _audit(
         tables,

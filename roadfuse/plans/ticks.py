@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadfuse.model import forest
 from roadfuse.model.artifact import ForestNode
-from roadfuse.operators import members, quality, readpath
+from roadfuse.operators import members, pairing, quality, readpath
 from roadfuse.operators.idfilter import StoredIds
 from roadfuse.operators.ingest import append_new
 from roadfuse.plans import jobs, stages
@@ -23,6 +23,7 @@ from roadfuse.plans.stages import AS_OF, CFG, EARLIER_RUN, RUN_ID
 from roadfuse.session import use_checkpoint_dir
 from roadfuse.sources import adapter
 from roadfuse.sources.tables import Tables
+from roadfuse.streaming import incremental
 
 _TICK = f"CASE WHEN received_us < {t.EARLIER_US} AND event_id % 17 <> 0 THEN 1 ELSE 2 END"
 _ARRIVED = f"arrived AS (SELECT client_id, {_TICK} AS tick FROM observation UNION ALL SELECT client_id, {_TICK} FROM frame)"
@@ -114,6 +115,43 @@ def fusion_run_audit(spark, sf):
     return runs.filter("marked = inputs_count").select("run_id", "inputs_count", "outputs_count", "scored")
 
 
+def _as_stream(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` as a stream of files, with one row at the end that moves the watermark past all others."""
+    fields = {"client_id": F.lit("end"), "device_id": F.lit("nobody"), "ts_utc": F.timestamp_seconds(F.lit(4_000_000_000))}
+    last = rows.sparkSession.range(1).select(*[fields.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    rows.union(last).write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
+@register(
+    "stream_pairing",
+    t.twin(
+        "SELECT f.client_id AS frame_client_id, p.event_client_id, round(p.fused_confidence, 6) AS fused_confidence, p.delta_ms"
+        " FROM frame f LEFT JOIN prim p ON p.frame_client_id = f.client_id",
+        *t.TO_PRIMARY,
+    ),
+)
+def stream_pairing(spark, sf):
+    """Outcome of every frame after observations and frames have run through the stream-stream join."""
+    tables = new_tables(spark)
+    jobs.save_model(tables, stages.FIXED_MODEL, stages.EPOCH)
+    observations, frames = adapter.observations(spark, sf), adapter.frames(spark, sf)
+    tables.append("observation", observations, "all")
+    jobs.score_new(tables, stages.FIXED_MODEL, CFG, stages.EPOCH, "scores")
+    place = ["client_id", "device_id", "ts_utc", "lat", "lon", "received_at"]
+    incremental.start_interval_pairing(
+        _as_stream(frames.select(*place, "device_probability"), f"{tables.root}/frame-stream"),
+        _as_stream(observations.select(*place, *pairing.SENSOR_COLUMNS), f"{tables.root}/observation-stream"),
+        tables,
+        CFG,
+        f"{tables.root}/stream-state",
+        clock=lambda: AS_OF,
+    ).awaitTermination()
+    settled = tables.read("frame_processed").select(F.col("client_id").alias("frame_client_id"))
+    pairs = tables.read("fusion_pair").select("frame_client_id", "event_client_id", r("fused_confidence"), "delta_ms")
+    return settled.join(pairs, "frame_client_id", "left")
+
+
 @register(
     "max_fused_window",
     t.twin(

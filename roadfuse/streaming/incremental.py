@@ -15,9 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadfuse.config import Config
 from roadfuse.model.fit import score_observations
+from roadfuse.operators.pairing import SENSOR_COLUMNS
 from roadfuse.plans import jobs
 from roadfuse.sources import uploads
 from roadfuse.sources.tables import Tables
+from roadfuse.streaming.intervaljoin import interval_outcomes
 
 Clock = Callable[[], datetime.datetime]
 
@@ -132,6 +134,40 @@ def start_pairing(
     return _start(frames, "frame-pairing", checkpoint, trigger, each)
 
 
+def start_interval_pairing(
+    frames: DataFrame,
+    observations: DataFrame,
+    tables: Tables,
+    cfg: Config,
+    checkpoint: str,
+    delay: str = "10 minutes",
+    trigger: dict | None = None,
+    clock: Clock = _now,
+) -> StreamingQuery:
+    """Pairs two streams and waits up to ``delay`` for late observations before a frame is settled.
+
+    Every frame ends in ``frame_processed`` once, with a ``fusion_pair`` or, where no observation came, without one.
+    Frames that arrive behind the watermark stay open for ``jobs.run_fusion``; those it has processed meanwhile are not stored again.
+    """
+    outcomes = interval_outcomes(
+        frames.withColumnRenamed("received_at", "frame_received_at"),
+        observations.withColumnRenamed("received_at", "event_received_at"),
+        cfg.fusion_window_ms,
+        cfg.fusion_window_m,
+        delay,
+        ("frame_received_at", "device_probability"),
+        ("event_received_at", *SENSOR_COLUMNS),
+    )
+
+    def each(batch: DataFrame, name: str) -> None:
+        days = jobs.days_of(batch.select(F.col("frame_received_at").alias("received_at")))
+        done = tables.read("frame_processed", but_not=name, days=days).select(F.col("client_id").alias("frame_client_id"))
+        fresh = batch.join(done, "frame_client_id", "left_anti")
+        jobs.store_outcomes(tables, fresh, jobs.active_model(tables), cfg, clock(), name)
+
+    return _start(outcomes, "interval-pairing", checkpoint, trigger, each)
+
+
 def drop_repeats(items: DataFrame, delay: str) -> DataFrame:
     """Drops repeated uploads inside the watermark, with bounded state.
 

@@ -17,6 +17,28 @@ def interval_pairs(
     A frame's pair is emitted once no observation within its window can arrive any more.
     State is bounded by the watermark of both sides plus the window.
     """
+    return _nearest(frames, observations, window_ms, window_m, delay, "inner", (), ())
+
+
+def interval_outcomes(
+    frames: DataFrame,
+    observations: DataFrame,
+    window_ms: int,
+    window_m: float,
+    delay: str,
+    frame_columns: tuple[str, ...] = (),
+    event_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per frame of the stream, in append mode: its nearest observation, or nulls where none came in time.
+
+    As :func:`interval_pairs`, but a frame without a candidate is emitted too, once the watermark has passed its
+    window, so every frame that wasn't late itself has exactly one outcome. A frame behind the watermark is dropped by the
+    stream. ``frame_columns`` and ``event_columns`` travel along in the state; names shared by both sides aren't allowed.
+    """
+    return _nearest(frames, observations, window_ms, window_m, delay, "left_outer", frame_columns, event_columns)
+
+
+def _nearest(frames, observations, window_ms, window_m, delay, how, frame_columns, event_columns) -> DataFrame:
     width = 2 * window_ms * 1000
 
     def bucket(us):
@@ -30,6 +52,7 @@ def interval_pairs(
             F.col("ts_utc").alias("f_ts"),
             F.col("lat").alias("f_lat"),
             F.col("lon").alias("f_lon"),
+            *frame_columns,
         )
         .withWatermark("f_ts", delay)
         .withColumn("f_bucket", F.explode(F.sequence(bucket(f_us - width // 2), bucket(f_us + width // 2))))
@@ -42,6 +65,7 @@ def interval_pairs(
             F.col("ts_utc").alias("o_ts"),
             F.col("lat").alias("o_lat"),
             F.col("lon").alias("o_lon"),
+            *event_columns,
         )
         .withWatermark("o_ts", delay)
         .withColumn("o_bucket", bucket(o_us))
@@ -55,19 +79,22 @@ def interval_pairs(
         & (F.col("o_ts") > F.col("f_ts") - reach)
         & (F.col("o_ts") < F.col("f_ts") + reach)
     )
+    # The distance belongs to the condition: a frame whose candidates are all too far has none.
     d = geo.distance_m(F.col("f_lat"), F.col("f_lon"), F.col("o_lat"), F.col("o_lon"))
-    near = (
-        probes.join(spots, meets)
-        .withColumn("delta_m", d)
-        .filter(F.col("delta_m") <= window_m)
-        .withColumn("delta_us", F.unix_micros("f_ts") - F.unix_micros("o_ts"))
+    near = probes.join(spots, meets & (d <= window_m), how).withColumns(
+        {"delta_m": d, "delta_us": F.unix_micros("f_ts") - F.unix_micros("o_ts")}
     )
     order = F.struct(F.abs("delta_us"), "delta_m", "event_client_id")
-    picked = F.struct("event_client_id", "delta_us", "delta_m")
+    picked = F.struct("event_client_id", "delta_us", "delta_m", *event_columns)
     return (
-        near.groupBy("frame_client_id", "f_ts")
-        .agg(F.min_by(picked, order).alias("p"))
+        near.groupBy("frame_client_id", "f_ts", *frame_columns)
+        .agg(F.min_by(picked, F.when(F.col("event_client_id").isNotNull(), order)).alias("p"))
         .select(
-            "frame_client_id", "p.event_client_id", whole_ms(F.col("p.delta_us")).alias("delta_ms"), "p.delta_m"
+            "frame_client_id",
+            "p.event_client_id",
+            whole_ms(F.col("p.delta_us")).alias("delta_ms"),
+            "p.delta_m",
+            *frame_columns,
+            *[f"p.{c}" for c in event_columns],
         )
     )

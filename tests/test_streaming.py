@@ -158,6 +158,52 @@ def test_interval_join_equals_batch(spark, tmp_path):
     assert rows_of(spark.table("interval").filter("frame_client_id <> 'end'").select(*cols)) == rows_of(want.select(*cols))
 
 
+def test_interval_pairing_settles_every_frame_once(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "t"))
+    # Per frame: observations in both windows, ties in time, too far in time, too far in space, another device, none.
+    observations = [
+        observation("o1", ts_utc=at(1)), observation("o2", ts_utc=at(-1), lat=43.65321), observation("o3", ts_utc=at(100.5)),
+        observation("o4", ts_utc=at(204)), observation("o5", ts_utc=at(300), lat=43.7), observation("o6", ts_utc=at(400), device_id="dev-2"),
+        observation("end", device_id="nobody", ts_utc=at(86400)),
+    ]
+    frames = [frame(f"f{i}", ts_utc=at(i * 100)) for i in range(6)] + [frame("end", device_id="nobody", ts_utc=at(86400))]
+    late = [observation("o0", ts_utc=at(500.25), device_id="dev-1")]
+    obs, frm, clock = tmp_path / "o", tmp_path / "f", lambda: stages.EPOCH
+
+    def run():
+        q = incremental.start_interval_pairing(
+            spark.readStream.schema(table_schema("frame")).parquet(str(frm)), spark.readStream.schema(table_schema("observation")).parquet(str(obs)),
+            tables, CFG, str(tmp_path / "c"), clock=clock,
+        )
+        q.awaitTermination()
+
+    def arrive(name, rows, folder):
+        table(spark, name, rows).coalesce(1).write.mode("append").parquet(str(folder))
+
+    arrive("frame", frames[:-1], frm)
+    arrive("observation", observations[:-1], obs)
+    run()
+    # No frame is settled while its observations may still come.
+    assert tables.read("frame_processed").filter("client_id > 'f4'").count() == 0
+    arrive("observation", late, obs)
+    # The batch job took this frame meanwhile; the stream leaves it alone.
+    jobs.pair_new(tables, table(spark, "frame", [frames[3]]), None, CFG, stages.EPOCH, "batch")
+    run()
+    arrive("frame", frames[-1:], frm)
+    arrive("observation", observations[-1:], obs)
+    run()
+    run()
+    done = [r.client_id for r in tables.read("frame_processed").collect()]
+    assert sorted(done) == [f"f{i}" for i in range(6)]
+    pairs = {r.frame_client_id: (r.event_client_id, r.delta_ms) for r in tables.read("fusion_pair").collect()}
+    assert pairs == {"f0": ("o1", -1000), "f1": ("o3", -500), "f5": ("o0", -250)}
+    assert tables.read("fusion_run").agg(F.sum("inputs_count"), F.sum("outputs_count")).first()[:] == (6, 3)
+    # A frame behind the watermark is no outcome of the stream; the stored table keeps it open for the batch job.
+    arrive("frame", [frame("f9")], frm)
+    run()
+    assert tables.read("frame_processed").filter("client_id = 'f9'").count() == 0
+
+
 def test_drop_repeats(spark, tmp_path):
     rows = [("a", at(0)), ("a", at(5)), ("b", at(1))]
     df = spark.createDataFrame(rows, "client_id string, received_at timestamp")
