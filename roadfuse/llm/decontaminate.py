@@ -4,7 +4,13 @@ Texts are compared as lower-cased letters and digits with single spaces between.
 characters with at most e edits keeps (m - q + 1) - e * q of its q-grams (the q-gram lemma), all on
 diagonals (place in the document minus place in the passage) at most e apart. Diagonals are cut
 into bands of width 2e that overlap by e, so one band holds them all. Bands with enough distinct
-q-grams are aligned, and an alignment within the budget is a match.
+q-grams are touching bands put together and aligned, and an alignment within the budget is a match.
+
+A q-gram that stands in a passage more than ``REPEATS`` times would meet each of its places in a text
+with each of these. It is taken as kept without a look, and as many fewer others are asked for. A
+passage made mostly of such q-grams is sought by places of the text alone: a match is at most
+m + e characters long, so regions with enough places of the passage's q-grams within that reach are
+aligned as one band. The work grows with the text, not with the product of repeats.
 """
 
 from __future__ import annotations
@@ -16,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import remembered
+from roadfuse.llm.shared import remembered, written
 from roadfuse.llm.wordhash import mix, ragged
 
 #: Characters of a q-gram, and the largest share of a passage's characters that may be edited.
 Q, EDITS = 10, 0.08
 #: Characters of benchmark text that are looked for in one pass; more text takes more passes.
 BLOCK_CHARS = 8_000_000
+#: Places in one passage beyond which a q-gram is not placed one by one.
+REPEATS = 4
 _SLOTS = 24  # bits of the table that sorts out most places of a document at once
 _MATCHES = "array<struct<item_id: long, first: long, last: long, edits: int>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int32())]))
@@ -96,10 +104,10 @@ class Passages:
         points = [(i, p, budget(len(p), q, share)) for i, p in points]
         self.items = [x for x in points if x[2] >= 0]
         self.short = [(i, p) for i, p, e in points if e < 0 and len(p)]
-        found = [grams(p, q) for _, p, _ in self.items]
-        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(found)), [len(g) for g in found])
-        place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, np.int64)
+        kept = [self._kept(grams(p, q), len(p) - q + 1 - e * q) for _, p, e in self.items]
+        h = np.concatenate([*(k[0] for k in kept), np.zeros(0, np.uint64)])
+        place = np.concatenate([*(k[1] for k in kept), np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept])
         order = np.argsort(h, kind="stable")
         self.hashes, first = np.unique(h[order], return_index=True)
         self.first, self.count = first, np.diff(np.append(first, len(h)))
@@ -107,9 +115,19 @@ class Passages:
         self.slots = np.zeros(1 << _SLOTS, bool)
         self.slots[self.hashes >> np.uint64(64 - _SLOTS)] = True
         self.edits = np.array([e for _, _, e in self.items], np.int64)
-        self.need = np.array([len(p) - q + 1 - e * q for _, p, e in self.items], np.int64)
+        self.need = np.array([k[2] for k in kept], np.int64)
+        self.loose = np.array([k[3] for k in kept], bool)
         self.longest = max((len(p) + 4 * e for _, p, e in self.items), default=0)
 
+    @staticmethod
+    def _kept(own: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+        """(q-grams, their places, how many of them a match keeps, whether places don't count) of one passage."""
+        distinct, first, back, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        repeated = times[back] > REPEATS
+        if 2 * repeated.sum() > need:
+            return distinct, first, need, True
+        return own[~repeated], np.flatnonzero(~repeated), need - int(repeated.sum()), False
+
     def search(self, text: str | None) -> list[dict]:
         """Matches of the whole text: per item the one with the fewest edits, the first of those."""
         points, best = normal(text), {}
@@ -145,25 +163,52 @@ class Passages:
         at, item, place = at[enough], item[enough], place[enough]
         if not len(at):
             return
-        diagonal = at - place
-        step = np.maximum(2 * self.edits[item], 1)
-        tried: set[tuple[int, int]] = set()
-        for shift in (0, 1):
-            # Band b of the first kind holds diagonals from b * 2e on, of the second kind from (2b - 1) * e on.
-            band = (diagonal + (self.edits[item] if shift else 0)) // step
-            triple = np.unique(np.stack((item, band, place)), axis=1)
-            pair, number = np.unique(triple[:2], axis=1, return_counts=True)
-            for j in np.flatnonzero(number >= self.need[pair[0]]):
-                own, b = int(pair[0, j]), int(pair[1, j])
-                e, own_step = int(self.edits[own]), max(2 * int(self.edits[own]), 1)
-                low = b * own_step - (e if shift else 0)
-                if (own, low) in tried:
-                    continue
-                tried.add((own, low))
-                passage = self.items[own][1]
-                found = align(passage, points, low - e, low + own_step - 1 + e, e)
-                if found:
-                    yield own, max(0, found[1] - len(passage)), found[1], found[0]
+        for own, low, high in self._bands(at, item, place):
+            passage, e = self.items[own][1], int(self.edits[own])
+            found = align(passage, points, low, high, e)
+            if found:
+                yield own, max(0, found[1] - len(passage)), found[1], found[0]
+
+    def _bands(self, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, lowest diagonal, highest) to align, by shared q-grams at ``at`` in the text and ``place`` in the item; none touch."""
+        owners, lows, highs = [], [], []
+        loose = self.loose[item]
+        if not loose.all():
+            own, diagonal, kept = item[~loose], (at - place)[~loose], place[~loose]
+            e = self.edits[own]
+            step = np.maximum(2 * e, 1)
+            for shift in (0, 1):
+                # Band b of the first kind holds diagonals from b * 2e on, of the second kind from (2b - 1) * e on.
+                band = (diagonal + (e if shift else 0)) // step
+                triple = np.unique(np.stack((own, band, kept)), axis=1)
+                pair, number = np.unique(triple[:2], axis=1, return_counts=True)
+                who, b = pair[:, number >= self.need[pair[0]]]
+                margin = self.edits[who]
+                start = b * np.maximum(2 * margin, 1) - (margin if shift else 0)
+                owners.append(who)
+                lows.append(start - margin)
+                highs.append(start + np.maximum(2 * margin, 1) - 1 + margin)
+        for k in np.unique(item[loose]):
+            # A match ends at most m + e characters after its start, and its kept q-grams lie between.
+            places, need, e = np.unique(at[item == k]), int(self.need[k]), int(self.edits[k])
+            reach = len(self.items[k][1]) + e - self.q
+            first, last = places[: len(places) - need + 1], places[need - 1 :]
+            near = last - first <= reach
+            owners.append(np.full(int(near.sum()), k))
+            lows.append(last[near] - reach - e)
+            highs.append(first[near] + e)
+        owner, low, high = (np.concatenate(x).astype(np.int64) for x in (owners, lows, highs))
+        order = np.lexsort((low, owner))
+        now: tuple[int, int, int] | None = None
+        for k, a, b in zip(owner[order].tolist(), low[order].tolist(), high[order].tolist()):
+            if now and now[0] == k and a <= now[2] + 1:
+                now = (k, now[1], max(now[2], b))
+            else:
+                if now:
+                    yield now
+                now = (k, a, b)
+        if now:
+            yield now
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -186,7 +231,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: floa
     docs = docs.drop("matches")
     added = docs.select("*", F.array().cast(_MATCHES).alias("matches"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    for items in _blocks(benchmark):
+    for number, items in enumerate(_blocks(benchmark)):
+        if number:  # a worker holds the tables of one block only
+            added = written(added, "decontaminate-block")
         items = sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or ""))
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

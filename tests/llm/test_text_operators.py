@@ -176,6 +176,42 @@ def test_passages_within_the_budget_are_found(spark):
         assert got[doc_id, text] == want, (doc_id, want, got[doc_id, text])
 
 
+def test_repeated_q_grams_match_brute_force():
+    rng = random.Random(11)
+    items = [
+        (1, "1 " * 60), (2, "ab " * 30 + prose(rng, 12)), (3, prose(rng, 6) + " xyz" * 20 + " " + prose(rng, 6)), (4, "na" * 40), (5, prose(rng, 14)),
+        (6, "the end of the day " * 5),
+    ]
+    own = decontaminate.Passages(items, decontaminate.Q, decontaminate.EDITS)
+    assert own.loose.any() and not own.loose.all()
+    as_text = lambda x: "".join(map(chr, decontaminate.normal(x)))
+
+    def broken(text, n):
+        for _ in range(n):
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", "q", text[i] + "w"]) + text[i + 1 :]
+        return text
+
+    texts = ["1 " * 300, "ab " * 200, "na" * 30, "na" * 300, "the end of the day " * 9, "xyz " * 99, "1 2 " * 100, "a " * 200]
+    for _, t in items:
+        texts += [f"{prose(rng, 8)} {broken(t, n)} {prose(rng, 8)}" for n in (0, 1, 3, 5, 9)] + [f"{t} {broken(t, 4)}", "1 " * 40 + t, t[: len(t) * 2 // 3]]
+    for text in texts:
+        want = set()
+        for item, passage in items:
+            p = as_text(passage)
+            if (d := edits(p, as_text(text))) <= decontaminate.budget(len(p), decontaminate.Q, decontaminate.EDITS):
+                want.add((item, d))
+        assert {(m["item_id"], m["edits"]) for m in own.search(text)} == want, text
+
+
+def test_repeats_in_passage_and_text_cost_no_product():
+    own = decontaminate.Passages([(1, "1 " * 500), (2, "so on and " * 80)], decontaminate.Q, decontaminate.EDITS)
+    # The entries are one per text place and passage, and what they give is aligned as one band.
+    for text, item in (("1 " * 20_000, 1), ("so on and " * 20_000, 2)):
+        assert [(m["item_id"], m["edits"]) for m in own.search(text)] == [(item, 0)]
+    assert own.count.sum() < 20
+
+
 def test_benchmark_in_blocks_and_long_documents(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, prose(rng, 20)) for i in range(30)]
