@@ -2,13 +2,15 @@
 
 Records of equal payloads are written once; the others are revisits that refer to it. The reader
 streams each file: a payload of any size becomes rows of one record identifier and ascending chunk
-numbers, each with the SHA-1 of all payload bytes so far, so no task holds a whole record.
+numbers, each with the SHA-1 of all payload bytes so far. The writer sends slices of a page's bytes, as Arrow
+holds them, through digest, compressor and file; neither side puts a whole record together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -26,7 +28,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:x-page:"
 CHUNKS = (
     "record_id string, page_id long, url string, record_type string, refers_to long, "
-    "chunk_no int, data binary, payload_bytes long, payload_digest string, is_last boolean"
+    "chunk_no int, data binary, payload_bytes long, payload_digest string, is_last boolean, refers_to_id string"
 )
 
 
@@ -57,31 +59,42 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str) -> int | None:
-    name = urn.strip().strip("<>").removeprefix(_PAGE)
-    return None if name in ("", "none") else int(name)
+    """The page of an identifier; None for those of other writers."""
+    name = urn.strip().strip("<>")
+    return int(name.removeprefix(_PAGE)) if re.fullmatch(_PAGE + "-?[0-9]+", name) else None
 
 
 def _base32(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, original: int | None, date: str) -> bytes:
-    """One record, as a response with its payload or as a revisit without."""
+def record(page_id: int | None, url: str | None, payload: bytes | memoryview, original: int | None, date: str) -> Iterator[bytes | memoryview]:
+    """One record in parts, as a response with its payload or as a revisit without; the payload is cut, not copied."""
+    slices = [payload[i : i + _BLOCK] for i in range(0, len(payload), _BLOCK)]
+    sha1 = hashlib.sha1()
+    for part in slices:
+        sha1.update(part)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if original is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if original is None else 'revisit'}",
         f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~-._')}",
-        f"WARC-Payload-Digest: sha1:{_base32(hashlib.sha1(payload))}",
+        f"WARC-Payload-Digest: sha1:{_base32(sha1)}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
+        f"Content-Length: {len(http) + (len(payload) if original is None else 0)}",
     ]
     if original is not None:
         head += [f"WARC-Refers-To: {_urn(original)}", f"WARC-Profile: {_PROFILE}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    yield "\r\n".join(head).encode() + b"\r\n\r\n" + http
+    if original is None:
+        yield from slices
+    yield b"\r\n\r\n"
+
+
+def _bytes_of(text: pa.Scalar) -> bytes | memoryview:
+    return memoryview(text.as_buffer()) if text.is_valid else b""
 
 
 def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> DataFrame:
@@ -92,10 +105,11 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, date: str
 
         def fill(stream) -> None:
             for batch in batches:
-                for row in zip(*batch.columns):
-                    page_id, url, html, original = (x.as_py() for x in row)
+                for page_id, url, html, original in zip(*batch.columns):
                     pack = zlib.compressobj(level, wbits=31)
-                    stream.write(pack.compress(record(page_id, url, (html or "").encode(), original, date)) + pack.flush())
+                    for part in record(page_id.as_py(), url.as_py(), _bytes_of(html), original.as_py(), date):
+                        stream.write(pack.compress(part))
+                    stream.write(pack.flush())
                     seen[0] += 1
 
         path = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -132,16 +146,18 @@ class _Members:
         self._held += self._unpack.decompress(raw, _BLOCK)
         return True
 
+    def whole_line(self, most: int | None = None) -> bytes | None:
+        """The next line with its end, or its first ``most`` bytes; None at the end of the file."""
+        while (at := self._held.find(b"\n", 0, most)) < 0 and (most is None or len(self._held) < most) and self._more():
+            pass
+        end = at + 1 if at >= 0 else len(self._held[:most])
+        own, self._held = self._held[:end], self._held[end:]
+        return own or None
+
     def line(self) -> bytes | None:
         """The next line without its end; None at the end of the file."""
-        while (at := self._held.find(b"\n")) < 0:
-            if not self._more():
-                if not self._held:
-                    return None
-                at = len(self._held)
-                break
-        own, self._held = self._held[:at], self._held[at + 1 :]
-        return own.rstrip(b"\r")
+        own = self.whole_line()
+        return None if own is None else own.rstrip(b"\r\n")
 
     def parts(self, size: int) -> Iterator[bytes]:
         """The next ``size`` bytes in blocks."""
@@ -171,6 +187,7 @@ def _records(members: _Members, chunk_bytes: int) -> Iterator[dict]:
         row = {
             "record_id": head.get("warc-record-id"), "page_id": None, "url": head.get("warc-target-uri"), "record_type": kind,
             "refers_to": _page(head.get("warc-refers-to", "")) if kind == "revisit" else None,
+            "refers_to_id": head.get("warc-refers-to") if kind == "revisit" else None,
         }
         if kind not in ("response", "revisit"):
             for _ in members.parts(size):
@@ -178,18 +195,19 @@ def _records(members: _Members, chunk_bytes: int) -> Iterator[dict]:
             continue
         row["page_id"] = _page(head.get("warc-record-id", ""))
         length, http = 0, {}
-        while size - length > 0:  # the HTTP header
-            line = members.line() or b""
-            length += len(line) + 2
-            if not line:
+        while length < size and head.get("content-type", "").startswith("application/http"):  # the HTTP header
+            line = members.whole_line(size - length) or b""
+            length += len(line)
+            if not line.strip(b"\r\n"):
                 break
             name, _, value = line.decode("latin-1").partition(":")
             http[name.strip().lower()] = value.strip()
-        stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
+        stated = head.get("warc-payload-digest", "")
+        stated = stated.removeprefix("sha1:") if stated.startswith("sha1:") else ""
         if kind == "revisit":
             for _ in members.parts(size - length):
                 pass
-            yield row | {"chunk_no": 0, "data": b"", "payload_bytes": int(http.get("content-length", 0)), "payload_digest": stated, "is_last": True}
+            yield row | {"chunk_no": 0, "data": b"", "payload_bytes": int(own) if (own := http.get("content-length", "")).isdecimal() else None, "payload_digest": stated or None, "is_last": True}
             continue
         sha1, done, left, no, held = hashlib.sha1(), 0, size - length, 0, b""
         for part in members.parts(left):
@@ -211,11 +229,14 @@ def read_chunks(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     Per chunk: record_id, page_id, url, record_type, refers_to, chunk_no from 0, data, and the
     bytes and digest (bare base32 SHA-1) of the payload up to its end. An empty payload has one
     empty chunk. A revisit has one empty chunk, with the size and digest that its header states.
-    A response whose digest differs from its header is an error.
+    A response whose SHA-1 differs from its header is an error; digests of other kinds aren't compared. Archives of other
+    writers are read alike: their records keep record_id and refers_to_id and have no page_id, a revisit that states no size
+    or SHA-1 has null there, a response that isn't HTTP is payload from its first byte, and lines may end in LF alone.
     """
     schema = pa.schema(
         [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
-         ("chunk_no", pa.int32()), ("data", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("is_last", pa.bool_())]
+         ("chunk_no", pa.int32()), ("data", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("is_last", pa.bool_()),
+         ("refers_to_id", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import random
 import zlib
 import hashlib
 import base64
+import gzip
 
 import duckdb
 import pyarrow as pa
@@ -175,7 +176,7 @@ def test_warc_round_trip(spark, least):
 def test_warc_digests_grow_with_the_chunks(tmp_path):
     body = b"x" * 2500
     path = tmp_path / "a.warc"
-    path.write_bytes(warc.record(1, "http://a", body, None, "2020-01-01T00:00:00Z"))
+    path.write_bytes(b"".join(warc.record(1, "http://a", body, None, "2020-01-01T00:00:00Z")))
     with open(path, "rb") as f:
         rows = list(warc._records(warc._Members(f), 1000))
     assert [r["payload_bytes"] for r in rows] == [1000, 2000, 2500]
@@ -185,6 +186,39 @@ def test_warc_digests_grow_with_the_chunks(tmp_path):
         list(warc._records(warc._Members(f), 1000))
 
 
+def foreign(kind, ident, block, end="\r\n", mime="application/http; msgtype=response", extra=()):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"Content-Type: {mime}", f"Content-Length: {len(block)}", *extra]
+    return end.join([*head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_warc_of_another_writer(tmp_path):
+    body, digest = b"<p>\r\n\r\nx</p>" * 200, base64.b32encode(hashlib.sha1(b"<p>\r\n\r\nx</p>" * 200).digest()).decode()
+    records = [
+        foreign("warcinfo", "<urn:uuid:0>", b"software: other\r\n", mime="application/warc-fields"),
+        foreign("response", "<urn:uuid:1>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, extra=[f"WARC-Payload-Digest: sha1:{digest}"]),
+        foreign("response", "<urn:uuid:2>", b"HTTP/1.0 200 OK\nA: b\n\n" + body, end="\n", extra=["WARC-Payload-Digest: sha256:00"]),
+        foreign("response", "<urn:uuid:3>", b"20200101 a. 1 IN A\n", mime="text/dns"),
+        foreign("response", "<urn:uuid:4>", b"HTTP/1.1 204 None"),
+        foreign("revisit", "<urn:uuid:5>", b"HTTP/1.1 200 OK\r\nContent-Length: 2600\r\n\r\n", extra=[f"WARC-Payload-Digest: sha1:{digest}", "WARC-Refers-To: <urn:uuid:1>"]),
+        foreign("revisit", "<urn:uuid:6>", b""),
+        foreign("response", "<urn:uuid:7>", b""),
+    ]
+    want = {
+        1: (body, digest, None), 2: (body, digest, None), 3: (b"20200101 a. 1 IN A\n", None, None), 4: (b"", None, None),
+        5: (b"", digest, "<urn:uuid:1>"), 6: (b"", None, None), 7: (b"", None, None),
+    }
+    for name, packed in (("plain.warc", b"".join(records)), ("members.warc.gz", b"".join(map(gzip.compress, records))), ("one.warc.gz", gzip.compress(b"".join(records)))):
+        (tmp_path / name).write_bytes(packed)
+        with open(tmp_path / name, "rb") as f:
+            rows = list(warc._records(warc._Members(f), 1000))
+        assert all(r["page_id"] is None and r["refers_to"] is None for r in rows)
+        for n, (data, sha1, refers) in want.items():
+            own = [r for r in rows if r["record_id"] == f"<urn:uuid:{n}>"]
+            assert b"".join(r["data"] for r in own) == data and own[-1]["is_last"] and own[-1]["refers_to_id"] == refers, (name, n)
+            assert sha1 is None or own[-1]["payload_digest"] == sha1
+        assert [r["payload_bytes"] for r in rows if r["record_type"] == "revisit"] == [2600, None]
+
+
 def test_warc_of_nothing(spark):
     files = warc.write_archives(pages_of(spark, []), shared_folder(spark, "test-warc-none"))
     assert warc.read_chunks(files).count() == 0
