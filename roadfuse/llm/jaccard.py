@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import freed, power_of_two, slices, text_bytes, written
+from roadfuse.llm.shared import freed, freed_group, power_of_two, slices, text_bytes, written
 from roadfuse.llm.wordhash import mix, ragged, shingle_sets
 from roadfuse.operators.components import connected_components
 
@@ -115,7 +115,7 @@ def token_bitmaps(docs: DataFrame, k: int) -> tuple[bytes, bytes]:
         )
 
     found = (
-        _tokens(docs.select("text"), k, bits).groupBy("bucket").applyInArrow(count, "bucket int, frequent binary, twice binary").collect()
+        _tokens(docs.select("text"), k, bits).groupBy("bucket").applyInArrow(freed_group(count), "bucket int, frequent binary, twice binary").collect()
     )
     frequent, twice = bytearray(1 << (often - 3)), bytearray(1 << (shared - 3))
     for r in found:
@@ -299,7 +299,7 @@ def _within_groups(members: DataFrame, sets: DataFrame, share: int) -> DataFrame
             out += [(int(ids[row]), int(ids[r])) for r in right[good]]
         return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
-    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("g", "i", "j").applyInArrow(freed_group(compare), "a long, b long")
 
 
 def link_components(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:

@@ -48,7 +48,9 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    small_batches(spark, 2 << 20)  # the operator works on no more at once
+    return jaccard.link_components(docs)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{use_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bounds Arrow batches: a thousand long texts already fill a task's share of an executor outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +66,30 @@ def remembered(key: tuple, make: Callable):
     return memory[key]
 
 
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it has its own ways
+
+
+def freed_group(run: Callable) -> Callable:
+    """``run`` (Arrow table to Arrow table), giving memory back to the system after each group of a megabyte or more."""
+
+    def own(table):
+        out = run(table)
+        if table.nbytes >= 1 << 20:
+            _give_back()
+        return out
+
+    return own
+
+
 def freed(run: Callable) -> Callable:
     """``run`` (Arrow batches to Arrow batches), giving memory back to the system when a task ends: idle workers else keep what their largest batch took."""
 
@@ -73,15 +97,7 @@ def freed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library; it has its own ways
+            _give_back()
 
     return own
 
