@@ -3,8 +3,10 @@
 Training learns from a bounded sample of labelled documents per language (``SAMPLE`` documents,
 chosen by a hash of the document's id), while document frequencies count all labelled documents.
 The sample of each language is split into ``CENTROIDS`` clusters by spherical k-means in a task of
-its own. A text gets the language of the centroid with the highest cosine; a text whose cosine is
-far below what the training texts of that centroid reached is rejected.
+its own; clusters of a few rows, as mislabelled texts make them, give no centroid. A text gets the
+language of the centroid with the highest cosine. It is rejected if its cosine is far below what
+nearly all training texts of that centroid reached, or, for a text of few n-grams, far below all
+texts of few n-grams in its language.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ DIMENSIONS, SIZES = 4096, (2, 3)
 #: Bound of the labelled documents that clusters are fitted on, per language; their whole texts count.
 SAMPLE = 600
 CENTROIDS = 4
-#: A text is rejected whose cosine is below this share of the lowest cosine of its centroid's training texts of enough letters.
-REJECT_SHARE, ENOUGH_GRAMS = 0.5, 200
+#: Share of a language's rows that a cluster needs to be a centroid.
+SMALLEST = 0.02
+#: A text is rejected whose cosine is below ``REJECT_SHARE`` of what all but ``REJECT_TAIL`` of its centroid's training
+#: texts reach; one of fewer n-grams than ``ENOUGH_GRAMS``, below ``REJECT_SHORT`` of the lowest of such texts in its language.
+REJECT_SHARE, REJECT_TAIL, REJECT_SHORT, ENOUGH_GRAMS = 0.6, 0.02, 0.3, 200
 
 
 def _letters(text: str) -> np.ndarray:
@@ -45,6 +50,7 @@ def _squeeze(points: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     out = np.where(letter, points, 32).astype(np.uint32)
     keep = letter | np.concatenate(([False], letter[:-1]))
+    keep[-1] = letter[-1]  # the last space follows anyway
     return np.concatenate((np.array([32], np.uint32), out[keep], np.array([32], np.uint32)))
 
 
@@ -64,10 +70,9 @@ def gram_counts(text: str | None) -> np.ndarray:
     return total.astype(np.float32)
 
 
-def _vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows; a row of zeros for a text without letters."""
-    rows = np.stack([gram_counts(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), np.float32)
-    rows = np.log1p(rows) * idf
+def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF rows of n-gram counts; a row of zeros for a text without letters."""
+    rows = np.log1p(counts) * idf
     norm = np.sqrt((rows**2).sum(1, keepdims=True))
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
@@ -87,8 +92,24 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _centroids(rows: np.ndarray, k: int) -> np.ndarray:
+    """Unit centroids of clusters that hold ``SMALLEST`` of the rows; rows of smaller ones are left out and the others clustered again."""
+    least = SMALLEST * len(rows)
+    while True:
+        centres = _clusters(rows, k)
+        own = (rows @ centres.T).argmax(1)
+        held = np.bincount(own, minlength=len(centres))
+        large = held >= least
+        if large.all() or not large.any():
+            return centres
+        rows = rows[large[own]]
+
+
 class Model:
-    """Learned inverse document frequencies, and per centroid its language, direction and lowest accepted cosine."""
+    """Learned inverse document frequencies, and per centroid its language, direction and lowest accepted cosines.
+
+    ``least`` holds two per centroid: for texts of ``ENOUGH_GRAMS`` n-grams or more, and for shorter ones.
+    """
 
     def __init__(self, idf: np.ndarray, languages: list[str], centres: np.ndarray, least: np.ndarray):
         self.idf, self.languages, self.centres, self.least = idf, languages, centres, least
@@ -97,13 +118,15 @@ class Model:
         """(language, cosine, rejected) per text; ``und``, 0 and rejected without a letter or a model."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        rows = _vectors(texts, self.idf)
+        counts = np.stack([gram_counts(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), np.float32)
+        rows = _vectors(counts, self.idf)
+        short = (counts.sum(1) < ENOUGH_GRAMS).astype(int)
         cosine = rows @ self.centres.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(rows)), best], 0.0, 1.0).astype(float) if len(rows) else np.zeros(0)
         found = rows.any(1)
         names = [self.languages[b] if f else "und" for b, f in zip(best, found)]
-        rejected = ~found | (score < self.least[best])
+        rejected = ~found | (score < self.least[best, short])
         return names, np.where(found, score, 0.0).tolist(), rejected.tolist()
 
 
@@ -129,35 +152,42 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     seen = {r.gram: r.n for r in df}
     idf = np.array([np.log((1 + seen.get(-1, 0)) / (1 + seen.get(g, 0))) + 1 for g in range(DIMENSIONS)], np.float32)
 
-    # A little more than the bound is drawn by hash, so that the exact bound is taken from few rows.
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1_000_000))
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1_500_000 * sample // n + 50)]) if counts else F.lit(None)
-    limit = F.element_at(limits, F.col("lang")) if counts else F.lit(0)
-    drawn = labelled.filter(chance < limit).select("lang", "text", chance.alias("chance"))
+    # A little more than the bound is drawn by a hash of 64 bits, so that the exact bound is taken from few rows. They
+    # travel as counts of one size, however long their texts are, and repeated rows as one.
+    chance = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    limits = {lang: min((1 << 64) * (3 * sample + 100) // (2 * n) - (1 << 63), (1 << 63) - 1) for lang, n in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x).cast(t) for lang, n in limits.items() for x, t in ((lang, "string"), (n, "long"))]), F.col("lang")) if limits else F.lit(0)
+    drawn = labelled.filter(chance <= limit).select("lang", chance.alias("chance"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [gram_counts(text.as_py()).tobytes() for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], names=["lang", "chance", "grams"])
+
+    drawn = drawn.mapInArrow(freed(count), "lang string, chance long, grams binary").groupBy("lang", "chance").agg(F.min("grams").alias("grams"))
 
     def per_language(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["chance", "text"]).head(sample)
-        counted = [gram_counts(t) for t in group["text"]]
-        rows = np.stack(counted)
+        group = group.sort_values("chance").head(sample)
+        rows = np.stack([np.frombuffer(x, np.float32) for x in group["grams"]])
         grams = rows.sum(1)
-        rows = np.log1p(rows[grams > 0]) * idf
+        rows, grams = rows[grams > 0], grams[grams > 0]
         if not len(rows):
             return pd.DataFrame({"lang": [], "least": [], "centre": []})
-        rows /= np.sqrt((rows**2).sum(1, keepdims=True))
-        enough = grams[grams > 0] >= ENOUGH_GRAMS
-        centres = _clusters(rows[enough] if enough.sum() >= centroids else rows, centroids)
+        rows = _vectors(rows, idf)
+        enough = grams >= ENOUGH_GRAMS
+        centres = _centroids(rows[enough] if enough.sum() >= centroids else rows, centroids)
         cosine = rows @ centres.T
-        best = cosine.argmax(1)
-        top = cosine.max(1)
-        least = [REJECT_SHARE * float(top[own].min()) if (own := enough & (best == c)).any() else 0.0 for c in range(len(centres))]
-        # Short texts are far from every centroid; none of this language's is to be refused.
-        floor = REJECT_SHARE * float(top.min())
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "least": np.minimum(least, max(floor, 0.02)), "centre": list(centres.astype(np.float32))})
-
-    learned = drawn.groupBy("lang").applyInPandas(per_language, "lang string, least double, centre array<float>").collect()
+        best, top = cosine.argmax(1), cosine.max(1)
+        tail = lambda x: REJECT_SHARE * float(np.quantile(x, REJECT_TAIL)) if len(x) else 0.0
+        # A short text is far from every centroid, so short texts are measured with the lowest of their own kind.
+        short = REJECT_SHORT * float(top[~enough].min() if (~enough).any() else top.min())
+        least = [[tail(top[enough & (best == c)]), short] for c in range(len(centres))]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "least": least, "centre": list(centres.astype(np.float32))})
+
+    learned = drawn.groupBy("lang").applyInPandas(per_language, "lang string, least array<double>, centre array<float>").collect()
     learned.sort(key=lambda r: (r.lang, r.centre))
     centres = np.array([r.centre for r in learned], np.float32).reshape(len(learned), DIMENSIONS)
-    return Model(idf, [r.lang for r in learned], centres, np.array([r.least for r in learned]))
+    return Model(idf, [r.lang for r in learned], centres, np.array([r.least for r in learned]).reshape(len(learned), 2))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -248,6 +248,59 @@ def test_language_of_held_out_documents(spark):
     assert langid.identify(foreign, model).first().rejected
 
 
+def test_language_equals_brute_force(spark):
+    """Counts, vectors and the nearest of all centroids, with plain Python numbers."""
+    model = langid.fit(spark.createDataFrame(corpus(random.Random(4)), SCHEMA.format("x")), sample=40, centroids=3)
+
+    def hashed(code):
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, 1)):
+            code = (code ^ code >> shift) * factor % 2**64
+        return code >> 52
+
+    def counts(text):
+        low = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        points, out = [ord(c) for c in f" {low} "] if low else [], {}
+        for n in langid.SIZES:
+            for i in range(len(points) - n + 1):
+                code = 0
+                for p in points[i : i + n]:
+                    code = code << 21 | p
+                place = hashed((code + (n << 60)) % 2**64)
+                out[place] = out.get(place, 0) + 1
+        return out
+
+    rng = random.Random(5)
+    texts = [prose(rng, rng.choice([1, 5, 90]), letters) for letters in ("abcde", "fghij", "éèçàù", "abcfgh", "ÀÉx-1", "хцч") for _ in range(8)]
+    texts += [None, "", "12 ..", "a", "É\x00é", "x" * 3000]
+    rows = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = counts(texts[r.doc_id])
+        assert {i: int(n) for i, n in enumerate(langid.gram_counts(texts[r.doc_id])) if n} == own
+        vector = {i: np.log1p(n) * model.idf[i] for i, n in own.items()}
+        norm = sum(x * x for x in vector.values()) ** 0.5
+        cosine = [sum(x * float(c[i]) for i, x in vector.items()) / norm if norm else 0.0 for c in model.centres]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        if not own:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        assert abs(r.score - cosine[best]) < 1e-4
+        near = {model.languages[i] for i, c in enumerate(cosine) if c > cosine[best] - 1e-4}
+        assert r.lang_pred in near
+        least = model.least[best][int(sum(own.values()) < langid.ENOUGH_GRAMS)]
+        assert r.rejected == (cosine[best] < least) or abs(cosine[best] - least) < 1e-4
+
+
+def test_language_of_mislabelled_and_foreign_documents(spark):
+    """A few mislabelled texts own no centroid, and a text of another language is refused although it shares letters."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 60, "abcde"), "x", "xx") for i in range(200)] + [(300, prose(rng, 60, "хцчшщ"), "x", "xx"), (301, prose(rng, 60, "хцчшщ"), "x", "xx")]
+    model = langid.fit(spark.createDataFrame(rows * 2, SCHEMA.format("x")))
+    texts = [prose(rng, 80, "хцчшщ"), prose(rng, 80, "aeghklmnoprs"), prose(rng, 80, "abcde"), "cab"]
+    out = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.rejected for r in out] == [True, True, False, False]
+
+
 def test_language_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA.format("x"))
     model = langid.fit(empty)
