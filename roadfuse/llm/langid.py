@@ -49,9 +49,9 @@ def _squeeze(points: np.ndarray) -> np.ndarray:
     if not letter.any():
         return np.zeros(0, np.uint32)
     out = np.where(letter, points, 32).astype(np.uint32)
-    keep = letter | np.concatenate(([False], letter[:-1]))
-    keep[-1] = letter[-1]  # the last space follows anyway
-    return np.concatenate((np.array([32], np.uint32), out[keep], np.array([32], np.uint32)))
+    body = out[letter | np.concatenate(([False], letter[:-1]))]
+    body = body if letter[-1] else body[:-1]
+    return np.concatenate((np.array([32], np.uint32), body, np.array([32], np.uint32)))
 
 
 def gram_counts(text: str | None) -> np.ndarray:
