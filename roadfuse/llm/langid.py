@@ -31,7 +31,7 @@ CENTROIDS = 4
 SMALLEST = 0.02
 #: A text is rejected whose cosine is below ``REJECT_SHARE`` of what all but ``REJECT_TAIL`` of its centroid's training
 #: texts reach; one of fewer n-grams than ``ENOUGH_GRAMS``, below ``REJECT_SHORT`` of the lowest of such texts in its language.
-REJECT_SHARE, REJECT_TAIL, REJECT_SHORT, ENOUGH_GRAMS = 0.6, 0.02, 0.3, 200
+REJECT_SHARE, REJECT_TAIL, REJECT_SHORT, ENOUGH_GRAMS = 0.5, 0.02, 0.3, 200
 
 
 def _letters(text: str) -> np.ndarray:
