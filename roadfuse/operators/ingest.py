@@ -13,7 +13,6 @@ from roadfuse.functions.timeparse import parse_iso
 from roadfuse.operators import validate
 from roadfuse.operators.idfilter import StoredIds
 from roadfuse.schema import table_schema
-from roadfuse.session import compute_once
 from roadfuse.sources.uploads import blob_path, explode_envelopes
 
 
@@ -61,7 +60,7 @@ def _reject_envelopes(envelopes: DataFrame, rules: dict[str, Column]) -> DataFra
     """Adds ``_reasons`` of the request as a whole (malformed text first)."""
     malformed = F.array(F.lit("malformed"))
     reasons = F.when(F.col("_corrupt").isNotNull(), malformed).otherwise(validate.failures(rules))
-    return compute_once(envelopes, {"_reasons": reasons})
+    return envelopes.withColumn("_reasons", reasons)
 
 
 def ingest_observations(
@@ -76,31 +75,24 @@ def ingest_observations(
         raise ValueError(f"unknown mode {mode!r}")
     rules = validate.envelope_rules() | validate.batch_rules(cfg)
     checked = _reject_envelopes(envelopes, rules)
-    good = checked.filter(F.size("_reasons") == 0)
+    whole = F.array().cast("array<string>")
     if mode == "whole_batch":
         fails = F.exists(
             "events", lambda e: F.size(validate.failures(validate.observation_rules(e.getField))) > 0
         )
-        good = compute_once(good, {"batch_fails": fails})
-    items = explode_envelopes(good)
-    items = compute_once(items, {"ts_utc": parse_iso(F.col("ts"))})
-    reasons = validate.failures(validate.observation_rules(F.col, F.col("ts_utc")))
-    if mode == "whole_batch":
-        whole = F.when(F.col("batch_fails"), F.array(F.lit("batch"))).otherwise(F.array().cast("array<string>"))
-        items = compute_once(items, {"_own": reasons})
-        reasons = F.when(F.size("_own") > 0, F.col("_own")).otherwise(whole)
-    items = compute_once(items, {"reasons": reasons})
+        checked = checked.withColumn("batch_fails", F.when(F.size("_reasons") == 0, fails))
+        whole = F.when(F.col("batch_fails"), F.array(F.lit("batch"))).otherwise(whole)
+    # A request that is refused as a whole stays as one row without position and item, so texts are parsed once for all outputs.
+    items = explode_envelopes(checked.withColumn("events", F.when(F.size("_reasons") == 0, F.col("events"))))
+    items = items.withColumn("ts_utc", parse_iso(F.col("ts")))
+    items = items.withColumn("_own", validate.failures(validate.observation_rules(F.col, F.col("ts_utc"))))
+    own = F.when(F.size("_own") > 0, F.col("_own")).otherwise(whole)
+    items = items.withColumn("reasons", F.when(F.size("_reasons") > 0, F.col("_reasons")).otherwise(own))
+    items = items.drop("ts", "_corrupt", "_reasons", "_own", "accept_version", "batch_fails")
     # Parsed and checked once for all outputs, and for both sides of the insert-if-absent.
     items = items.persist(StorageLevel.MEMORY_AND_DISK)
     ok = items.filter(F.size("reasons") == 0)
-    rejected = items.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons").unionByName(
-        checked.filter(F.size("_reasons") > 0).select(
-            "request_id",
-            F.lit(None).cast("int").alias("pos"),
-            F.lit(None).cast("string").alias("client_id"),
-            F.col("_reasons").alias("reasons"),
-        )
-    )
+    rejected = items.filter(F.size("reasons") > 0).select("request_id", "pos", "client_id", "reasons")
     rows = ok.withColumns(
         {
             "schema_version": F.coalesce("schema_version", F.lit(1)),
@@ -113,7 +105,7 @@ def ingest_observations(
 
 def ingest_frames(metadata: DataFrame, blobs: DataFrame, existing: DataFrame | StoredIds, cfg: Config) -> IngestResult:
     """Frame requests and their blobs -> accepted ids, rejected requests and new frame rows."""
-    metadata = compute_once(metadata, {"ts_utc": parse_iso(F.col("ts"))})
+    metadata = metadata.withColumn("ts_utc", parse_iso(F.col("ts")))
     rules = validate.envelope_rules() | validate.frame_rules(F.col, F.col("ts_utc"))
     checked = _reject_envelopes(metadata, rules).join(blobs, "path", "left")
     reason = validate.blob_reason(F.col("length"), F.col("head"), cfg)

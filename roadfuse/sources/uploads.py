@@ -43,10 +43,10 @@ def read_frame_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_envelopes(envelopes: DataFrame) -> DataFrame:
-    """One row per item, with its position in the request; other columns are kept."""
+    """One row per item, with its position in the request; other columns are kept. A request with null events gives one row without both."""
     kept = [c for c in envelopes.columns if c not in ("device_id", "events")]
     return envelopes.select(
-        *kept, F.trim("device_id").alias("device_id"), F.posexplode("events").alias("pos", "_e")
+        *kept, F.trim("device_id").alias("device_id"), F.posexplode_outer("events").alias("pos", "_e")
     ).select(*kept, "device_id", "pos", "_e.*")
 
 

@@ -58,6 +58,16 @@ def test_whole_batch_mode_refuses_every_item(spark):
     assert [r.client_id for r in got.new_rows.collect()] == ["c"]
 
 
+def test_refused_requests_are_not_parsed_again(spark):
+    """All outputs read the cached items, those of requests that are refused as a whole, too."""
+    got = run(spark, [request([item("a"), item("b", lat=91.0)]), request([item("c")], 1, version="v2"), "{"])
+    leaves = got.rejected._jdf.queryExecution().withCachedData().collectLeaves()
+    assert {leaves.apply(i).nodeName() for i in range(leaves.size())} == {"InMemoryRelation"}
+    rejected = {(r.request_id, r.pos, r.client_id, tuple(r.reasons)) for r in got.rejected.collect()}
+    assert rejected == {("r0", 1, "b", ("lat",)), ("r1", None, None, ("accept_version",)), (None, None, None, ("malformed",))}
+    got.checked.unpersist()
+
+
 def test_envelope_rules(spark):
     texts = [
         request([], 0), request([item(f"m{i}") for i in range(101)], 1), request([item("v")], 2, version="v2"),
