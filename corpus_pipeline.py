@@ -47,8 +47,10 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Byte-level BPE ids of every document and their digests; the ids decode to the text's bytes."""
     import public_tokenizers
 
+    # The idle workers of earlier stages and Spark's full heap leave little of an executor.
+    small_batches(spark, 2 << 20)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    tokens = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 

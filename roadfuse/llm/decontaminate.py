@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadfuse.llm.shared import remembered, written
+from roadfuse.llm.shared import freed, remembered, written
 from roadfuse.llm.wordhash import mix, ragged
 
 #: Characters of a q-gram, and the largest share of a passage's characters that may be edited.
@@ -243,7 +243,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: floa
                 found = [[*b, *own.search(t.as_py())] for t, b in zip(text, before.to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], names=batch.schema.names)
 
-        added = added.mapInArrow(run, added.schema)
+        added = added.mapInArrow(freed(run), added.schema)
     return added
 
 

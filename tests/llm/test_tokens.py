@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from helpers import prose
+import corpus_pipeline
 from roadfuse.llm import bpe, tokenfile
 from roadfuse.llm.chunks import ChunkEncoder, encoded
 from roadfuse.llm.shared import file_system, shared_folder
@@ -83,6 +84,14 @@ def test_encode_decode_rows(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
 
 
+def test_round_trip_takes_one_worker_a_task(spark):
+    docs = documents(spark, [(i, t, "clash", 1) for i, t in enumerate(ODD)] + [(None, "a b", None, None), (7, None, "", 0)])
+    own, apart = bpe.round_trip(docs, RANKS, P.PATTERN), bpe.decode(bpe.encode(docs, RANKS, P.PATTERN).drop("text"), RANKS)
+    assert own.schema == apart.schema and sorted(map(str, own.collect())) == sorted(map(str, apart.collect()))
+    plan = corpus_pipeline.encode_tokens(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_encode_nothing(spark):
     assert bpe.decode(bpe.encode(documents(spark, []), RANKS, P.PATTERN), RANKS).count() == 0
 
