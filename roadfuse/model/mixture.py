@@ -80,6 +80,11 @@ def standard_points(rows: DataFrame, stats: FitStats) -> DataFrame:
     return rows.select(*z, F.md5("client_id").alias("h"))
 
 
+def distinct_points(points: DataFrame) -> DataFrame:
+    """Every point once, with the number of its rows as ``n``: sensors report rounded values, so passes need not meet each row."""
+    return points.groupBy("z0", "z1").agg(F.count("*").cast("double").alias("n"))
+
+
 class Parameters:
     """Weights, means and covariances of several restarts at once: arrays of (restart, component, ...)."""
 
@@ -87,23 +92,34 @@ class Parameters:
         self.weight, self.mean, self.cov = weight, mean, cov
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        """(row, restart, component): log of each weighted density."""
-        a, b, d = self.cov[..., 0, 0], self.cov[..., 0, 1], self.cov[..., 1, 1]
+        """(restart, component, row): log of each weighted density. Rows come last, so that numpy runs along them."""
+        a, b, d = self.cov[..., 0, 0, None], self.cov[..., 0, 1, None], self.cov[..., 1, 1, None]
         det = a * d - b * b
-        dx = x[:, None, None, :] - self.mean
-        q = (dx[..., 0] ** 2 * d - 2 * dx[..., 0] * dx[..., 1] * b + dx[..., 1] ** 2 * a) / det
-        return np.log(self.weight) - math.log(2 * math.pi) - 0.5 * (np.log(det) + q)
-
-    def statistics(self, x: np.ndarray) -> np.ndarray:
-        """(restart, component, 7): shares, their first and second moments, and the log-likelihood in the first component."""
-        logs = self.log_density(x)
-        top = logs.max(2, keepdims=True)
-        total = top[..., 0] + np.log(np.exp(logs - top).sum(2))
-        share = np.exp(logs - total[..., None])
+        d0, d1 = x[:, 0] - self.mean[..., 0, None], x[:, 1] - self.mean[..., 1, None]
+        q = d0 * d0
+        q *= d / det
+        d0 *= d1
+        d0 *= -2 * b / det
+        q += d0
+        d1 *= d1
+        d1 *= a / det
+        q += d1
+        q *= -0.5
+        q += np.log(self.weight)[..., None] - math.log(2 * math.pi) - 0.5 * np.log(det)
+        return q
+
+    def statistics(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(restart, component, 7): shares, their first and second moments, and the log-likelihood in the first component; row i counts ``n[i]`` times."""
+        share = self.log_density(x)
+        top = share.max(1)
+        share -= top[:, None]
+        np.exp(share, out=share)
+        whole = share.sum(1)
+        share *= (n / whole)[:, None]
         moments = np.column_stack([np.ones(len(x)), x, x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2])
         out = np.zeros((*self.weight.shape, 7))
-        out[..., :6] = np.einsum("nrk,nm->rkm", share, moments)
-        out[:, 0, 6] = total.sum(0)
+        out[..., :6] = share @ moments
+        out[:, 0, 6] = (top + np.log(whole)) @ n
         return out
 
     @classmethod
@@ -136,18 +152,20 @@ def _starts(sample: np.ndarray, k: int, seed: int, restarts: int) -> Parameters:
 
 
 def expectation(points: DataFrame, now: Parameters) -> np.ndarray:
-    """Sums of ``statistics`` over all rows; one row of sums per task is added up."""
+    """Sums of ``statistics`` over all rows, or over distinct points with their ``n``; one row of sums per task is added up."""
     parts, shape = (now.weight, now.mean, now.cov), (*now.weight.shape, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, own = np.zeros(shape), Parameters(*parts)
         for batch in batches:
             x = np.column_stack([batch.column(i).to_numpy() for i in (0, 1)])
+            n = batch.column(2).to_numpy()
             for lo in range(0, len(x), 2048):
-                total += own.statistics(x[lo : lo + 2048])
+                total += own.statistics(x[lo : lo + 2048], n[lo : lo + 2048])
         yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "v"])
 
-    sums = points.select("z0", "z1").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    n = F.col("n") if "n" in points.columns else F.lit(1.0).alias("n")
+    sums = points.select("z0", "z1", n).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(math.prod(shape))
     for row in sums:
         out[row.i] = row.v
@@ -157,14 +175,15 @@ def expectation(points: DataFrame, now: Parameters) -> np.ndarray:
 def fit_mixture(rows: DataFrame, stats: FitStats, k: int, seed: int, restarts: int) -> Mixture:
     """Best of ``restarts`` full-covariance fits; components come out by their energy.
 
-    Expectation maximisation: one aggregation per pass serves all restarts that still move. Starts
+    Expectation maximisation over the distinct points: one aggregation per pass serves all restarts that still move. Starts
     are drawn from the ``START_ROWS`` rows with the smallest md5 of their id, so neither they nor the result depend on
     how rows are dealt out. Components are ordered by the squared length of their mean, then by
     weight; the first is the first class, and those beyond the taxonomy share its last.
     """
-    points = standard_points(rows, stats).persist(StorageLevel.MEMORY_AND_DISK)
+    every = standard_points(rows, stats)
+    start = every.orderBy("h", "z0", "z1").limit(START_ROWS).select("z0", "z1").collect()
+    points = distinct_points(every).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        start = points.orderBy("h", "z0", "z1").limit(START_ROWS).select("z0", "z1").collect()
         now = _starts(np.array([(r.z0, r.z1) for r in start]), k, seed, restarts)
         likelihood, moving = np.full(restarts, -np.inf), np.arange(restarts)
         for _ in range(MAX_PASSES):
