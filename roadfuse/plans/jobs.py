@@ -446,11 +446,9 @@ def delete_device(tables: Tables, device_id: str) -> None:
     for child, parents in (("observation_score", events), ("frame_processed", frames)):
         rows = tables.read(child, partitions=True)
         tables.remove_rows(child, parents, [(r.batch, r.day) for r in rows.join(parents, "client_id", "left_semi").select("batch", "day").distinct().collect()])
-    limits = tables.read("device_rate_limit", partitions=True).filter(own)
-    devices = limits.select("device_id").distinct()
-    tables.remove_rows("device_rate_limit", cut_lineage(devices), [(r.batch, None) for r in limits.select("batch").distinct().collect()], "device_id")
+    tables.remove_rows_where("device_rate_limit", own)
     for name, ids in (("observation", events), ("frame", frames)):
-        tables.remove_rows(name, ids, [(r.batch, r.day) for r in gone[name].select("batch", "day").distinct().collect()])
+        tables.remove_rows_where(name, own)
         tables.forget_ids(name, ids)
 
 

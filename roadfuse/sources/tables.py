@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import datetime
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +122,27 @@ class Tables:
             rows = rows.filter(F.col("day").isin([d for d in days if d is not None]) | F.col("day").isNull())
         return rows if partitions else rows.select(*table_schema(name).names)
 
+    def remove_rows_where(self, name: str, gone: Column) -> None:
+        """Removes the rows that meet a condition on their own columns; only (batch, day) partitions that hold such rows are rewritten.
+
+        Nothing is shuffled or stored in between: every task copies what it reads, and the new files take the old ones' place when the
+        job commits. Partitions that lose all rows are removed after that.
+        """
+        base, folders = f"{self.root}/{name}", ["batch", "day"] if name in DATED else ["batch"]
+        rows, hit = self.read(name, partitions=True), F.coalesce(gone, F.lit(False))
+        sums = rows.groupBy(*folders).agg(F.count("*").alias("n"), F.count_if(hit).alias("gone")).filter("gone > 0").collect()
+        smaller = [tuple(r[f] for f in folders) for r in sums if r.gone < r.n]
+        if smaller:
+            names = [f"_{f}" for f in folders]
+            fields = [T.StructField(n, rows.schema[f].dataType) for f, n in zip(folders, names)]
+            named = F.broadcast(self.spark.createDataFrame(smaller, T.StructType(fields)))
+            same = reduce(and_, [rows[f].eqNullSafe(named[n]) for f, n in zip(folders, names)])
+            kept = rows.join(named, same, "left_semi").filter(~hit)
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(base)
+        for r in sums:
+            if r.gone == r.n:
+                self._remove("/".join([base, *[f"{f}={'__HIVE_DEFAULT_PARTITION__' if r[f] is None else r[f]}" for f in folders]]))
+
     def remove_rows(self, name: str, gone: DataFrame, touched: list[tuple[str, int | None]], key: str = "client_id") -> None:
         """Rewrites the (batch, day) partitions ``touched`` without the rows whose ``key`` is in ``gone``; day is None in tables without days.
 
