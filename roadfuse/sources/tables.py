@@ -34,6 +34,8 @@ WITH_IDS = ("observation", "frame")
 GROUPS = {"pairing": {"fusion_pair": "frame_client_id", "fused_max": "client_id"}, "clusters": {"cluster": "cluster_id", "cluster_link": "cluster_id", "tile_part": "asset_type"}}
 _GROUP_OF = {name: group for group, names in GROUPS.items() for name in names}
 _DAY_US = 86_400_000_000
+#: Tasks that share the rewriting of one folder.
+PIECES = 4
 
 Partition = tuple[int | None, int]
 
@@ -262,6 +264,11 @@ class Tables:
         """Rows of a keyed table in some partitions, with day and bucket; nothing else is listed or read."""
         return self._read_keyed(name, partitions=True, at=at)
 
+    def _dealt(self, rows: DataFrame, folders: list[str], spread: Column) -> DataFrame:
+        """Rows dealt to tasks by folder, those of one folder to ``PIECES`` tasks by ``spread``: neither a large folder nor many small ones wait for one task."""
+        tasks = 2 * self.spark.sparkContext.defaultParallelism
+        return rows.repartition(tasks, *folders, F.pmod(F.xxhash64(spread), F.lit(PIECES)))
+
     def rewrite(self, group: str, tables: dict[str, DataFrame], at: list[Partition]) -> None:
         """Replaces the partitions ``at`` of some tables of a group, in one job: readers see the old rows of all of them or the new ones.
 
@@ -274,7 +281,9 @@ class Tables:
             part = _fit(rows, name, ["day", "bucket"]).unionByName(marks).withColumn("part", F.lit(name))
             whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
         folders = ["part", "day", "bucket"]
-        whole = whole.repartition(*folders) if len(at) > 1 else whole.coalesce(1)
+        # Links have no days and far more rows than clusters; null in all other tables.
+        spread = F.col("member_id") if "cluster_link" in tables else F.lit(None)
+        whole = self._dealt(whole, folders, spread) if len(at) > 1 else whole.coalesce(1)
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(f"{self.root}/{group}/of={self.buckets}")
 
 
